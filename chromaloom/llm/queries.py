@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import bpe, decontaminate
 from .common import table
 
 
@@ -35,8 +35,20 @@ SELECT d.doc_id, cast(len(d.w) AS BIGINT) AS n_words, cast(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def _vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the pattern that cuts texts into pre-tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), *_vocabulary(), ids=False)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_byte_bpe": op3_byte_bpe,
 }
 
 ORACLE_SQL = {
