@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, quality, secrets
 from .common import table
 
 
@@ -46,11 +46,50 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), *_vocabulary(), ids=False)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "doc_failed", "host_rejected")
+
+
+OP8_SQL = r"""
+WITH t AS (
+  SELECT doc_id, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t
+), p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3
+), g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM p
+), many AS (SELECT doc_id, a, b, c FROM g GROUP BY ALL HAVING count(*) > 1
+), r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS q FROM g JOIN many USING (doc_id, a, b, c)) GROUP BY 1
+), m AS (
+  SELECT w.doc_id, source, cast(len(w) AS BIGINT) AS n_words, cast(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, cast(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+), d AS (
+  SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS doc_failed FROM f
+), h AS (SELECT source, count(*) AS n, sum(cast(doc_failed AS BIGINT)) AS k FROM d GROUP BY source
+), q AS (
+  SELECT sum(k)::DOUBLE / sum(n) AS mean, CASE WHEN coalesce(var_samp(k::DOUBLE / n), 0) = 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, avg(k::DOUBLE / n) * (1 - avg(k::DOUBLE / n)) / var_samp(k::DOUBLE / n) - 1)) END AS weight FROM h
+), bad AS (SELECT source, (k + mean * weight) / (n + weight) > 0.75 AS host_rejected FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT doc_failed AND NOT host_rejected AS kept, doc_failed, host_rejected
+FROM d JOIN bad ON d.source IS NOT DISTINCT FROM bad.source
+"""
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
+    "op8_quality_rules": OP8_SQL,
 }
