@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, secrets
+from . import bpe, decontaminate, html_extract, quality, secrets
 from .common import table
 
 
@@ -82,11 +82,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE_SQL = {
