@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, quality, secrets
+from . import bpe, decontaminate, html_extract, pii, quality, secrets
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), *_vocabulary(), ids=False)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "source"])
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "doc_failed", "host_rejected")
@@ -89,6 +93,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
+    "op7_personal_data": op7_personal_data,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_html_extract": op10_html_extract,
