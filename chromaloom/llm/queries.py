@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, pii, quality, secrets
+from . import bpe, classlm, decontaminate, html_extract, langid, pii, quality, secrets
 from .common import table
 
 
@@ -52,6 +52,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", ~langid.learnable()), model, ["doc_id", "held_out"])
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", classlm.remainder(10) == 0)
+    model, counts = classlm.fit(docs.where(~F.col("held_out")))
+    return classlm.score(docs, model, counts, ["doc_id", "held_out"])
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -100,6 +106,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
+    "op6_class_lm": op6_class_lm,
     "op7_personal_data": op7_personal_data,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
