@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classlm, decontaminate, html_extract, langid, pii, quality, secrets
+from . import bpe, classlm, decontaminate, dedup, html_extract, langid, pii, quality, secrets
 from .common import table
 
 
@@ -35,6 +35,10 @@ SELECT d.doc_id, cast(len(d.w) AS BIGINT) AS n_words, cast(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _vocabulary() -> tuple[str, str]:
     """Path of the rank file and the pattern that cuts texts into pre-tokens."""
     import public_tokenizers
@@ -104,6 +108,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
     "op6_class_lm": op6_class_lm,
