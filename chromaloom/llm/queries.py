@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classlm, decontaminate, dedup, html_extract, langid, pii, quality, secrets
+from . import bpe, classlm, decontaminate, dedup, html_extract, langid, ordering, pii, quality, secrets
 from .common import table
 
 
@@ -56,6 +56,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", ~langid.learnable()), model, ["doc_id", "held_out"])
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordering.materialise(docs, ordering.folder_for(docs), key=20240229)
+
+
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", classlm.remainder(10) == 0)
     model, counts = classlm.fit(docs.where(~F.col("held_out")))
@@ -111,6 +116,7 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
+    "op5_training_order": op5_training_order,
     "op6_class_lm": op6_class_lm,
     "op7_personal_data": op7_personal_data,
     "op8_quality_rules": op8_quality_rules,
