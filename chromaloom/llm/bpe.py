@@ -19,11 +19,14 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batches_of
 
+#: Columns that encoding adds.
+ADDED = ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 #: Pre-tokens kept with their ids by each Python worker; the memory is emptied when full.
 REMEMBERED = 200_000
 #: Characters at most of a remembered pre-token.
@@ -127,12 +130,8 @@ def _codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", ids: bool = True) -> DataFrame:
-    """Per row: the id column, n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids.
-
-    ``path`` names the rank file on every executor.  Rows stay in their partitions; nothing is shuffled.
-    """
-    kind = dict(docs.dtypes)[id_column]
+def _encoded(docs: DataFrame, keep: list[str], path: str, pattern: str, text_column: str, ids: bool) -> DataFrame:
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
@@ -145,13 +144,27 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
                 id_digests.append(digest(str(found)[1:-1].replace(" ", "").encode()))
                 text_digests.append(digest(codec.decode(found)))
                 if ids:
-                    lists.append(found)
-            columns = [batch.column(id_column), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
-            names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
+                    lists.append(pa.array(found, pa.int32()))
+            columns = [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+            names = [*keep, *ADDED[:3]]
             if ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
-                names.append("token_ids")
+                values = pa.concat_arrays(lists) if lists else pa.array([], pa.int32())
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), values))
+                names.append(ADDED[3])
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens bigint, ids_sha256 string, decoded_sha256 string"]) + ", token_ids array<int>" * ids
+    return docs.select(*dict.fromkeys([*keep, text_column])).mapInArrow(run, schema)
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", ids: bool = True) -> DataFrame:
+    """Per row: the id column, n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids.
+
+    ``path`` names the rank file on every executor.  Rows stay in their partitions; nothing is shuffled.
+    """
+    return _encoded(docs, [id_column], path, pattern, text_column, ids)
+
+
+def with_tokens(docs: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256, decoded_sha256 and token_ids; columns of ``docs`` with these names give way."""
+    return _encoded(docs, [c for c in docs.columns if c not in ADDED], path, pattern, text_column, True)

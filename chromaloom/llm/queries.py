@@ -39,7 +39,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     """Path of the rank file and the pattern that cuts texts into pre-tokens."""
     import public_tokenizers
 
@@ -47,7 +47,7 @@ def _vocabulary() -> tuple[str, str]:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), *_vocabulary(), ids=False)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), *vocabulary(), ids=False)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
