@@ -10,9 +10,15 @@ probability.  Bands of coordinates are joined; what shares a band is linked if
 the exact similarity of the two shingle sets reaches the threshold.
 
 Copies are collapsed first, so a group of any size is one candidate.  In a band
-each document meets only the band's first document.  Where that does not settle
-the matter (members in different classes), the members of different classes are
-paired in full, so no link between classes is lost to the shortcut.
+each document meets only the band's center, the document that shares most with
+most others.  Where that does not settle the matter (members in different
+classes), small bands are paired in full, and large ones go by their tokens:
+relative to the center of a connected group of large bands, a pair at the
+threshold either shares a shingle that the center lacks, of which a prefix in
+hash order suffices, or both lie in the center so far that their sizes betray
+them.  Both conditions are equi-joins, so no group is paired in full and no
+link between classes is lost to the shortcut.  Before an exact test, pairs
+whose signatures agree too rarely for the threshold are left out.
 
 Defined cases: texts of fewer than five words are one shingle; texts without a
 word (null ones too) are alike to nothing; a null id takes no part and gets a
@@ -34,7 +40,11 @@ from .common import batches_of, cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and coordinates in each; a pair at the threshold shares no band with probability 3e-5.
-BANDS, DEPTH = 20, 4
+BANDS, DEPTH = 26, 5
+#: Least equal coordinates of a pair that is tested: one at the threshold has fewer with probability 1e-7.
+AGREEING = 80
+#: Documents of a band that is paired in full.
+SMALL_BAND = 16
 #: Expected darts beyond those that fill all coordinates on average, in units of the coordinates.
 SLACK = 2.5
 
@@ -190,19 +200,34 @@ def _counted(a: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per row with an id and a word: _id, _f1, _f2 (of the words) and _bands."""
+    """Per row with an id and a word: _id, _f1, _f2 (of the words), _bands and _sig (16 bits of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_text", 1 << 20):
             hashes, sizes = word_hashes(batch.column("_text").cast(pa.binary()).to_pylist())
             prints = fingerprints(hashes, sizes)
-            keys = bands_of(signatures(*shingles(hashes, sizes)))
             some = np.flatnonzero(sizes)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys[some].view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(some)), pa.array(prints[some, 0].view(np.int64)), pa.array(prints[some, 1].view(np.int64)), lists], ["_id", "_f1", "_f2", "_bands"])
+            found = signatures(*shingles(hashes, sizes))[some]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(found).view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+            short = [row.tobytes() for row in (found >> _U(40)).astype(np.uint16)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(some)), pa.array(prints[some, 0].view(np.int64)), pa.array(prints[some, 1].view(np.int64)), lists, pa.array(short, pa.binary())], ["_id", "_f1", "_f2", "_bands", "_sig"])
 
     rows = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    return rows.mapInArrow(run, f"_id {dict(docs.dtypes)[id_column]}, _f1 bigint, _f2 bigint, _bands array<bigint>")
+    return rows.mapInArrow(run, f"_id {dict(docs.dtypes)[id_column]}, _f1 bigint, _f2 bigint, _bands array<bigint>, _sig binary")
+
+
+def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose signatures (_id, _sig) agree on AGREEING coordinates."""
+    kind = dict(pairs.dtypes)["a"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("_x", "_y"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREEING))
+
+    first, second = sigs.select(F.col("_id").alias("a"), F.col("_sig").alias("_x")), sigs.select(F.col("_id").alias("b"), F.col("_sig").alias("_y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "_x", "_y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -258,43 +283,121 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Join keys of documents (d, root, asks) around their group's center (c): c, kind, key, d, root, n, o.
+
+    kind 1: shingles that the center lacks (a prefix).  kind 2 and 3: sizes of
+    documents that could be linked to d by the center's shingles alone, asked for and owned.
+    n counts the shingles of d, o those that the center has.
+    """
+    kind = dict(members.dtypes)["d"]
+    share = least / (1 + least)  # of both sizes, that a pair at the threshold has in common
+
+    def size_class(n: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(np.maximum(n, 1)) / np.log(1.01)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, "_x", 8 << 20):
+            take, kinds, keys, sizes = [], [], [], []
+            last, center = None, None
+            for i, (x, y, c, asks) in enumerate(zip(batch.column("_x"), batch.column("_y"), batch.column("c").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
+                if last is None or c != last:
+                    last, center = c, _counted(np.frombuffer(y.as_buffer(), np.uint64))
+                own = _counted(np.frombuffer(x.as_buffer(), np.uint64))
+                inside = np.isin(own, center)
+                n, o = len(own), int(inside.sum())
+                other = np.sort(own[~inside])
+                common = max(1, int(np.ceil(least * n - 1e-9)) - o)
+                found = [(1, other[: len(other) - common + 1].view(np.int64))] if len(other) >= common else []
+                if o >= least * n - 1e-9:
+                    found.append((3, size_class(np.array([n]))))
+                    most = min(n / least, o / share - n)
+                    if asks and most >= least * n - 1e-9:
+                        low, high = size_class(np.array([np.ceil(least * n - 1e-9), np.floor(most + 1e-9)]))
+                        found.append((2, np.arange(low, high + 1)))
+                for k, values in found:
+                    take.append(np.full(len(values), i))
+                    kinds.append(np.full(len(values), k, np.int32))
+                    keys.append(values)
+                    sizes.append(np.tile([n, o], (len(values), 1)))
+            if take:
+                size = np.concatenate(sizes)
+                some = batch.select(["c", "d", "root"]).take(pa.array(np.concatenate(take)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)), pa.array(size[:, 0]), pa.array(size[:, 1])], ["c", "d", "root", "kind", "key", "n", "o"])
+
+    own = sets.select(F.col("_id").alias("d"), F.col("_set").alias("_x"))
+    center = sets.select(F.col("_id").alias("c"), F.col("_set").alias("_y"))
+    rows = members.join(own, "d").join(center, "c").select("c", "d", "root", "asks", "_x", "_y")
+    return rows.mapInArrow(run, f"c {kind}, d {kind}, root {kind}, kind int, key bigint, n bigint, o bigint")
+
+
+def _across(keyed: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes that the keys of ``_around`` bring together."""
+    share = least / (1 + least)
+    shared = keyed.where("kind = 1")
+    mixed = shared.groupBy("c", "key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("c", "key")
+    shared = shared.join(mixed, ["c", "key"], "left_semi")
+    side = lambda df, e: df.select("c", "key", F.col("d").alias(e), F.col("root").alias(f"r{e}"), F.col("n").alias(f"n{e}"), F.col("o").alias(f"o{e}"))
+    fit = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
+    by_token = side(shared, "a").join(side(shared, "b"), ["c", "key"]).where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & fit)
+    common = share * (F.col("na") + F.col("nb")) - 1e-9
+    asked, owned = side(keyed.where("kind = 2"), "a"), side(keyed.where("kind = 3"), "b")
+    by_size = asked.join(owned, ["c", "key"]).where((F.col("ra") != F.col("rb")) & fit & (F.col("oa") >= common) & (F.col("ob") >= common))
+    return by_token.select("a", "b").union(by_size.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
 def find_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Per id among the rows with an id and a word: id, class_id, class_size (documents) and copy_of (first with the same words).
 
-    Texts are read twice: for the sketches, and, of documents that share a band, for
-    the exact test.  Sketches, bands and links are small against the texts.
+    Texts are read twice: for the sketches, and, of documents with a promising
+    partner, for the exact test.  Sketches, bands and links are small against the texts.
     """
     sketch = cut(_sketch(docs, id_column, text_column))
-    first = sketch.groupBy("_f1", "_f2").agg(F.min("_id").alias("_first"), F.first("_bands").alias("_bands"))
-    first = cut(first)
-    members = sketch.select("_id", "_f1", "_f2").join(first.select("_f1", "_f2", "_first"), ["_f1", "_f2"]).select("_id", "_first").distinct()
-    members = cut(members)
-    exploded = first.select(F.col("_first").alias("d"), F.explode("_bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.min("d").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    bands = cut(exploded.join(shared.select("band", "center"), "band").select("band", "d", "center").distinct())
-
+    first = cut(sketch.groupBy("_f1", "_f2").agg(F.min("_id").alias("_first"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig")))
+    members = cut(sketch.select("_id", "_f1", "_f2").join(first.select("_f1", "_f2", "_first"), ["_f1", "_f2"]).select("_id", "_first").distinct())
     # an id that has several texts ties their groups of copies together
     copies = cut(members.groupBy("_id").agg(F.min("_first").alias("copy_of"), F.max("_first").alias("_last")))
     several = copies.where("copy_of <> _last").select("_id", "copy_of")
     links = [members.join(several, "_id").where("copy_of <> _first").select(F.col("copy_of").alias("a"), F.col("_first").alias("b"))]
-    star = bands.where("d <> center").select(F.col("center").alias("a"), F.col("d").alias("b")).distinct()
-    star = cut(star)
-    sets = cut(_shingle_sets(docs, star.select(F.col("a").alias("_id")).union(star.select(F.col("b").alias("_id"))).distinct(), id_column, text_column))
-    nearest = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    close = cut(_verified(nearest, sets, least))
-    links.append(close)
-    # documents whose first trial failed try the other centers of their bands
-    rest = star.join(close, ["a", "b"], "left_anti").join(nearest, ["a", "b"], "left_anti").join(close.select("b").distinct(), "b", "left_anti").select("a", "b")
-    links.append(cut(_verified(rest, sets, least)))
+
+    exploded = first.select(F.col("_first").alias("d"), F.explode("_bands").alias("band"))
+    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    together = cut(exploded.join(shared, "band").distinct())
+    central = together.groupBy("d").agg(F.sum("n").alias("weight"))
+    bands = cut(together.join(central, "d"))
+    centers = bands.groupBy("band").agg(F.max_by("d", F.struct(F.col("weight"), -F.col("d"))).alias("center"))
+    star = cut(bands.join(centers, "band").where("d <> center").groupBy(F.col("center").alias("a"), F.col("d").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+    ids = cut(first.select(F.col("_first").alias("_id"), "_sig").join(together.select(F.col("d").alias("_id")).distinct(), "_id", "left_semi"))
+    trials = cut(_agreeing(star.select("a", "b"), ids).join(star, ["a", "b"]))
+    large = bands.where(F.col("n") > SMALL_BAND).select(F.col("d").alias("_id"))
+    wanted = trials.select(F.col("a").alias("_id")).union(trials.select(F.col("b").alias("_id"))).union(large).distinct()
+    sets = cut(_shingle_sets(docs, wanted, id_column, text_column))
+
+    best = trials.groupBy("b").agg(F.max_by("a", F.struct(F.col("times"), -F.col("a"))).alias("a")).select("a", "b")
+    close = cut(_verified(best, sets, least))
+    rest = trials.select("a", "b").join(best, ["a", "b"], "left_anti").join(close.select("b").distinct(), "b", "left_anti").select("a", "b")
+    links += [close, cut(_verified(rest, sets, least))]
     found = components(reduce(DataFrame.union, links))
 
-    # bands whose members ended in different classes: their members are paired across classes
-    of = bands.select("band", "d").join(found.select(F.col("v").alias("d"), "root"), "d", "left").select("band", "d", F.coalesce("root", "d").alias("root"))
-    open_bands = of.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    left = cut(of.join(open_bands, "band", "left_semi"))
-    x, y = left.select("band", F.col("d").alias("a"), F.col("root").alias("ra")), left.select("band", F.col("d").alias("b"), F.col("root").alias("rb"))
-    across = x.join(y, "band").where("ra <> rb AND a < b").select("a", "b").distinct().join(star.union(star.select("b", "a")), ["a", "b"], "left_anti")
-    bridges = cut(_verified(across, sets, least))
+    # bands whose members ended in different classes
+    of = bands.join(found.select(F.col("v").alias("d"), "root"), "d", "left").select("band", "d", "n", "weight", F.coalesce("root", "d").alias("root"))
+    mixed = of.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    left = cut(of.join(mixed, "band", "left_semi"))
+    small = left.where(F.col("n") <= SMALL_BAND)
+    x, y = small.select("band", F.col("d").alias("a"), F.col("root").alias("ra")), small.select("band", F.col("d").alias("b"), F.col("root").alias("rb"))
+    tried = star.select("a", "b").union(star.select("b", "a"))
+    few = cut(_agreeing(x.join(y, "band").where("ra <> rb AND a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), ids))
+    crowd = left.where(F.col("n") > SMALL_BAND)
+    if crowd.limit(1).count():
+        hubs = crowd.groupBy("band").agg(F.min("d").alias("a"))
+        group = components(crowd.join(hubs, "band").select("a", F.col("d").alias("b")))
+        inside = crowd.select("d", "root", "weight").distinct().join(group.select(F.col("v").alias("d"), F.col("root").alias("g")), "d")
+        middle = inside.groupBy("g").agg(F.max_by(F.struct(F.col("d").alias("c"), F.col("root").alias("rc")), F.struct(F.col("weight"), -F.col("d"))).alias("m")).select("g", "m.*")
+        around = inside.join(middle, "g").select("c", "d", "root", (F.col("root") != F.col("rc")).alias("asks"))
+        keyed = cut(_around(around, sets, least))
+        few = few.union(_agreeing(_across(keyed, least), ids)).distinct()
+    more = few.select(F.col("a").alias("_id")).union(few.select(F.col("b").alias("_id"))).distinct().join(sets.select("_id"), "_id", "left_anti")
+    bridges = cut(_verified(few, sets.unionByName(_shingle_sets(docs, more, id_column, text_column)), least))
     if bridges.limit(1).count():
         found = components(reduce(DataFrame.union, [*links, bridges]))
 
