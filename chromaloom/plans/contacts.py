@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaloom.operators import coverage as cov
 from chromaloom.operators import preprocess as pre
-from chromaloom.sources.proxies import view, with_views
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *views: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
-    """Registers a function of frames, one for each view (in order), under ``name``, with its SQL."""
-
-    def put(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views))
-        if sql is not None:
-            ORACLE_SQL[name] = with_views(sql, *views)
-        return f
-
-    return put
+from chromaloom.plans.base import Book
 
+BOOK = Book()
+query = BOOK.query
 
 BAD_LEGS = """
 legs AS (SELECT cell, chrom1 AS chrom, pos1 AS pos FROM pairs UNION ALL SELECT cell, chrom2, pos2 FROM pairs),

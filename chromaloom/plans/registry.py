@@ -6,19 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaloom.plans import contacts
+from chromaloom.plans import contacts, structures
 
-MODULES = (contacts,)
+MODULES = (contacts, structures)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leg cleaning, binning at 20 kb and CPM."""
-    return contacts.QUERIES["clean_leg_cpm"](spark, sf_dir)
+    return contacts.BOOK.queries["clean_leg_cpm"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.BOOK.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.BOOK.sql.items()}
