@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaloom.plans import contacts, structures
+from chromaloom.plans import contacts, matrices, structures
 
-MODULES = (contacts, structures)
+MODULES = (contacts, structures, matrices)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
