@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaloom.plans import contacts, matrices, structures
+from chromaloom.plans import contacts, matrices, modelling, structures
 
-MODULES = (contacts, structures, matrices)
+MODULES = (contacts, structures, matrices, modelling)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
