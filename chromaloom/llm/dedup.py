@@ -13,8 +13,7 @@ Copies are collapsed first, so a group of any size is one candidate.  In a band
 each document meets only the band's center, the document that shares most with
 most others.  Where that does not settle the matter (members in different
 classes), small bands are paired in full, and large ones go by their tokens:
-relative to the center of a connected group of large bands, a pair at the
-threshold either shares a shingle that the center lacks, of which a prefix in
+relative to the center of the band, a pair at the threshold either shares a shingle that the center lacks, of which a prefix in
 hash order suffices, or both lie in the center so far that their sizes betray
 them.  Both conditions are equi-joins, so no group is paired in full and no
 link between classes is lost to the shortcut.  Before an exact test, pairs
@@ -43,6 +42,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, DEPTH = 26, 5
 #: Least equal coordinates of a pair that is tested: one at the threshold has fewer with probability 1e-7.
 AGREEING = 80
+#: Ids that are broadcast to pick texts; more of them meet the texts in a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Documents of a band that is paired in full.
 SMALL_BAND = 16
 #: Expected darts beyond those that fill all coordinates on average, in units of the coordinates.
@@ -100,8 +101,8 @@ def shingles(hashes: np.ndarray, sizes: np.ndarray, width: int = SHINGLE) -> tup
     n = len(hashes)
     places = np.arange(1, width + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)
     total = np.zeros(n, np.uint64)
-    for j in range(width):
-        total[: n - j if j else n] += mix(hashes[j:] + places[j])
+    for j in range(min(width, n)):
+        total[: n - j] += mix(hashes[j:] + places[j])
     ends = np.cumsum(sizes)
     starts = ends - sizes
     count = np.where(sizes >= width, sizes - width + 1, np.minimum(sizes, 1))
@@ -200,16 +201,16 @@ def _counted(a: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per row with an id and a word: _id, _f1, _f2 (of the words), _bands and _sig (16 bits of each coordinate)."""
+    """Per row with an id and a word: _id, _f1, _f2 (of the words), _bands and _sig (8 bits of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, "_text", 1 << 20):
+        for batch in batches_of(batches, "_text", 1 << 19):
             hashes, sizes = word_hashes(batch.column("_text").cast(pa.binary()).to_pylist())
             prints = fingerprints(hashes, sizes)
             some = np.flatnonzero(sizes)
             found = signatures(*shingles(hashes, sizes))[some]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(found).view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-            short = [row.tobytes() for row in (found >> _U(40)).astype(np.uint16)]
+            short = [row.tobytes() for row in (found >> _U(40)).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(some)), pa.array(prints[some, 0].view(np.int64)), pa.array(prints[some, 1].view(np.int64)), lists, pa.array(short, pa.binary())], ["_id", "_f1", "_f2", "_bands", "_sig"])
 
     rows = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
@@ -223,24 +224,47 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("_x", "_y"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_x", "_y"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREEING))
 
     first, second = sigs.select(F.col("_id").alias("a"), F.col("_sig").alias("_x")), sigs.select(F.col("_id").alias("b"), F.col("_sig").alias("_y"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "_x", "_y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _packed(units: np.ndarray) -> bytes:
+    """Five bytes of each sorted hash: enough to tell the shingles of two documents apart, and small."""
+    return np.ascontiguousarray(np.sort(units >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view(np.uint64).reshape(-1)
+
+
+def _shared_units(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``a`` (distinct, sorted) are in ``b`` (likewise)."""
+    if not len(b):
+        return np.zeros(len(a), bool)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return b[at] == a
+
+
 def _shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per text of the documents in ``ids`` (_id): _id and its sorted shingles as bytes."""
+    """Per text of the documents in ``ids`` (_id): _id and its units of weight, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, "_text", 1 << 20):
+        for batch in batches_of(batches, "_text", 1 << 19):
             found, count = shingles(*word_hashes(batch.column("_text").cast(pa.binary()).to_pylist()))
             ends = np.cumsum(count)
-            sets = [found[e - c : e].tobytes() for c, e in zip(count.tolist(), ends.tolist(), strict=True)]
+            units = _units(found, count)
+            sets = [_packed(units[e - c : e]) for c, e in zip(count.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], ["_id", "_set"])
 
-    rows = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(ids, "_id", "left_semi")
+    ids = cut(ids)
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    rows = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(some, "_id", "left_semi")
     return rows.mapInArrow(run, f"_id {dict(docs.dtypes)[id_column]}, _set binary").dropDuplicates()
 
 
@@ -252,10 +276,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for batch in batches_of(batches, "_x", 32 << 20):
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("_x"), batch.column("_y"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = _unpacked(x), _unpacked(y)
                 small, large = sorted((len(x), len(y)))
-                if small >= least * large and similarity(x, y) >= least:
-                    keep.append(i)
+                if small >= least * large - 1e-9:
+                    same = int(_shared_units(x, y).sum())
+                    if same >= least * (len(x) + len(y) - same) - 1e-9:
+                        keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     first = sets.select(F.col("_id").alias("a"), F.col("_set").alias("_x"))
@@ -271,6 +297,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     state = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
+    if not state.limit(1).count():
+        return state
     for _ in range(rounds):
         near = both.join(state.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("v")).agg(F.min("r").alias("r"))
         hop = state.join(near, "v", "left").select("v", "root", F.least("root", "r").alias("to"))
@@ -302,11 +330,11 @@ def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             last, center = None, None
             for i, (x, y, c, asks) in enumerate(zip(batch.column("_x"), batch.column("_y"), batch.column("c").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
                 if last is None or c != last:
-                    last, center = c, _counted(np.frombuffer(y.as_buffer(), np.uint64))
-                own = _counted(np.frombuffer(x.as_buffer(), np.uint64))
-                inside = np.isin(own, center)
+                    last, center = c, _unpacked(y)
+                own = _unpacked(x)
+                inside = _shared_units(own, center)
                 n, o = len(own), int(inside.sum())
-                other = np.sort(own[~inside])
+                other = own[~inside]
                 common = max(1, int(np.ceil(least * n - 1e-9)) - o)
                 found = [(1, other[: len(other) - common + 1].view(np.int64))] if len(other) >= common else []
                 if o >= least * n - 1e-9:
@@ -327,7 +355,8 @@ def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     own = sets.select(F.col("_id").alias("d"), F.col("_set").alias("_x"))
     center = sets.select(F.col("_id").alias("c"), F.col("_set").alias("_y"))
-    rows = members.join(own, "d").join(center, "c").select("c", "d", "root", "asks", "_x", "_y")
+    # the documents' own sets come last: the rows are then dealt by document, however many share a center
+    rows = members.join(center, "c").join(own, "d").select("c", "d", "root", "asks", "_x", "_y")
     return rows.mapInArrow(run, f"c {kind}, d {kind}, root {kind}, kind int, key bigint, n bigint, o bigint")
 
 
@@ -362,44 +391,48 @@ def find_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     exploded = first.select(F.col("_first").alias("d"), F.explode("_bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    together = cut(exploded.join(shared, "band").distinct())
+    together = cut(exploded.join(shared, "band"))
     central = together.groupBy("d").agg(F.sum("n").alias("weight"))
     bands = cut(together.join(central, "d"))
-    centers = bands.groupBy("band").agg(F.max_by("d", F.struct(F.col("weight"), -F.col("d"))).alias("center"))
-    star = cut(bands.join(centers, "band").where("d <> center").groupBy(F.col("center").alias("a"), F.col("d").alias("b")).agg(F.count(F.lit(1)).alias("times")))
-    ids = cut(first.select(F.col("_first").alias("_id"), "_sig").join(together.select(F.col("d").alias("_id")).distinct(), "_id", "left_semi"))
-    trials = cut(_agreeing(star.select("a", "b"), ids).join(star, ["a", "b"]))
-    large = bands.where(F.col("n") > SMALL_BAND).select(F.col("d").alias("_id"))
-    wanted = trials.select(F.col("a").alias("_id")).union(trials.select(F.col("b").alias("_id"))).union(large).distinct()
+    centers = bands.groupBy("band").agg(F.max_by("d", F.struct(F.col("weight"), -F.col("d"))).alias("c"))
+    bands = cut(bands.join(centers, "band"))
+    star = cut(bands.where("d <> c").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.max("weight").alias("weight")))
+    sigs = first.select(F.col("_first").alias("_id"), "_sig")
+    trials = cut(_agreeing(star.select("a", "b"), sigs))
+    wanted = trials.select(F.explode(F.array("a", "b")).alias("_id")).union(bands.where(F.col("n") > SMALL_BAND).select("d")).distinct()
     sets = cut(_shingle_sets(docs, wanted, id_column, text_column))
-
-    best = trials.groupBy("b").agg(F.max_by("a", F.struct(F.col("times"), -F.col("a"))).alias("a")).select("a", "b")
-    close = cut(_verified(best, sets, least))
-    rest = trials.select("a", "b").join(best, ["a", "b"], "left_anti").join(close.select("b").distinct(), "b", "left_anti").select("a", "b")
-    links += [close, cut(_verified(rest, sets, least))]
-    found = components(reduce(DataFrame.union, links))
-
-    # bands whose members ended in different classes
-    of = bands.join(found.select(F.col("v").alias("d"), "root"), "d", "left").select("band", "d", "n", "weight", F.coalesce("root", "d").alias("root"))
-    mixed = of.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    close = cut(_verified(trials, sets, least))
+
+    # who a document hangs from: the heaviest center it is linked to, centers likewise (weights rise, so this ends)
+    up = cut(close.join(central.select(F.col("d").alias("a"), "weight"), "a").groupBy(F.col("b").alias("v")).agg(F.max_by("a", F.struct(F.col("weight"), -F.col("a"))).alias("root")))
+    for _ in range(2):
+        jump = up.select(F.col("v").alias("root"), F.col("root").alias("_further"))
+        up = cut(up.join(jump, "root", "left").select("v", F.coalesce("_further", "root").alias("root")))
+    rooted = lambda df, c, name: df.join(up.select(F.col("v").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+
+    # bands whose members hang from different roots
+    of = rooted(bands, "d", "root")
+    mixed = of.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("band")
     left = cut(of.join(mixed, "band", "left_semi"))
     small = left.where(F.col("n") <= SMALL_BAND)
     x, y = small.select("band", F.col("d").alias("a"), F.col("root").alias("ra")), small.select("band", F.col("d").alias("b"), F.col("root").alias("rb"))
-    tried = star.select("a", "b").union(star.select("b", "a"))
-    few = cut(_agreeing(x.join(y, "band").where("ra <> rb AND a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), ids))
-    crowd = left.where(F.col("n") > SMALL_BAND)
-    if crowd.limit(1).count():
-        hubs = crowd.groupBy("band").agg(F.min("d").alias("a"))
-        group = components(crowd.join(hubs, "band").select("a", F.col("d").alias("b")))
-        inside = crowd.select("d", "root", "weight").distinct().join(group.select(F.col("v").alias("d"), F.col("root").alias("g")), "d")
-        middle = inside.groupBy("g").agg(F.max_by(F.struct(F.col("d").alias("c"), F.col("root").alias("rc")), F.struct(F.col("weight"), -F.col("d"))).alias("m")).select("g", "m.*")
-        around = inside.join(middle, "g").select("c", "d", "root", (F.col("root") != F.col("rc")).alias("asks"))
-        keyed = cut(_around(around, sets, least))
-        few = few.union(_agreeing(_across(keyed, least), ids)).distinct()
-    more = few.select(F.col("a").alias("_id")).union(few.select(F.col("b").alias("_id"))).distinct().join(sets.select("_id"), "_id", "left_anti")
+    few = x.join(y, "band").where("ra <> rb AND a < b").select("a", "b")
+    inside = left.where(F.col("n") > SMALL_BAND).select("c", "d", "root").distinct()
+    around = rooted(inside, "c", "_rc").select("c", "d", "root", (F.col("root") != F.col("_rc")).alias("asks"))
+    keyed = cut(_around(around, sets, least))
+    few = few.union(_across(keyed, least)).distinct()
+    few = cut(_agreeing(few.join(trials.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sigs))
+    more = few.select(F.explode(F.array("a", "b")).alias("_id")).distinct().join(sets.select("_id"), "_id", "left_anti")
     bridges = cut(_verified(few, sets.unionByName(_shingle_sets(docs, more, id_column, text_column)), least))
-    if bridges.limit(1).count():
-        found = components(reduce(DataFrame.union, [*links, bridges]))
+
+    # what remains is a graph of roots: links between documents that hang from different ones
+    between = rooted(rooted(reduce(DataFrame.union, [close, bridges, *links]), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    top = components(between)
+    hung = up.select("v", "root").join(top.select(F.col("v").alias("root"), F.col("root").alias("_top")), "root", "left").select("v", F.coalesce("_top", "root").alias("root"))
+    alone = top.join(up.select("v"), "v", "left_anti")
+    tree = cut(hung.union(alone.select("v", "root")).union(up.select(F.col("root").alias("v")).join(up.select("v"), "v", "left_anti").join(top.select("v"), "v", "left_anti").select("v", F.col("v").alias("root"))).distinct())
+    lows = tree.groupBy("root").agg(F.min("v").alias("_low"))
+    found = tree.join(lows, "root").select("v", F.col("_low").alias("root"))
 
     named = cut(copies.join(found, F.col("copy_of") == F.col("v"), "left").select("_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of"))
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
