@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -172,3 +173,17 @@ def peak_windows(fragments: DataFrame, peaks: DataFrame, resolution: int = 100,
     reach = flank // resolution
     asked = peaks.select("chrom", "start", "end", midpoint_bin("start", "end", resolution).alias("_middle"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset")).withColumn("pos", F.col("_middle") + F.col("offset") * resolution)
     return asked.join(counted, ["chrom", "pos"], "left").select("chrom", "start", "end", "offset", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def library_sizes(reads: DataFrame) -> DataFrame:
+    """Molecules in each cell's library from its read pairs and unique pairs (cell, read_pairs, unique_pairs); null where that cannot be."""
+    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.types import LongType
+
+    from chromaloom.functions.numeric import library_size
+
+    @pandas_udf(LongType())
+    def size(n: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([library_size(int(a), int(b)) for a, b in zip(n, c, strict=True)], dtype="Int64")
+
+    return reads.withColumn("library_size", size(F.coalesce("read_pairs", F.lit(0)), F.coalesce("unique_pairs", F.lit(0))))

@@ -326,3 +326,18 @@ def leg_counts(pairs: DataFrame, resolution: int, keys: list[str] | None = None)
     """Marginals: legs by bin."""
     keys = ["cell"] if keys is None else keys
     return legs(pairs, keys).groupBy(*keys, "chrom", bin_start("pos", resolution).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def filled_from_track(values: DataFrame, track: DataFrame) -> DataFrame:
+    """Long values (chrom, pos, value) with nulls taken from a track (chrom, pos, cpg)."""
+    return values.join(track.select("chrom", "pos", "cpg"), ["chrom", "pos"], "left").withColumn("value", F.coalesce("value", "cpg")).select(*values.columns)
+
+
+def shifted_bins(lines: DataFrame, shift: int = 10_000) -> DataFrame:
+    """Bin literals like (chr1, 30000) in ``value`` as chrom and pos, moved back by ``shift``."""
+    return lines.select(F.regexp_extract("value", r"\(?\s*'?(\w+)'?\s*,", 1).alias("chrom"), (F.regexp_extract("value", r",\s*(\d+)", 1).cast("bigint") - shift).alias("pos"))
+
+
+def springs_within(pairs: DataFrame, most: int) -> DataFrame:
+    """Pairs that are trans or at most ``most`` apart."""
+    return pairs.where((F.col("chrom1") != F.col("chrom2")) | (F.abs(F.col("pos1") - F.col("pos2")) <= most))

@@ -153,8 +153,8 @@ def dedup_pairs(pairs: DataFrame, order: str = "read_id", gap: int = 500, keys:
     for i in (1, 2):
         out = chains(out, [*keys, f"chrom{i}"], f"pos{i}", gap, f"_chain{i}")
     names = [*keys, "chrom1", "chrom2", "_chain1", "_chain2"]
-    least = out.groupBy(*names).agg(F.min_by(F.struct(*[F.col(c) for c in pairs.columns]), F.col(order)).alias("_first"))
-    return least.select("_first.*")
+    least = out.groupBy(*names).agg(F.min(order).alias(order))
+    return out.join(least, [*names, order], "left_semi").dropDuplicates(names).select(*pairs.columns)
 
 
 def removed_share(before: DataFrame, after: DataFrame) -> DataFrame:

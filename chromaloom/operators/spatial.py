@@ -379,3 +379,47 @@ def slices(particles: DataFrame, region: Region | None = None) -> DataFrame:
     from chromaloom.functions.coords import in_region
 
     return particles if region is None else particles.where(in_region(region))
+
+
+def grid_points(low: tuple[float, float, float], high: tuple[float, float, float], step: float, spark) -> DataFrame:  # noqa: ANN001
+    """A regular grid from ``low`` on in steps, past ``high`` by one step at most: x, y, z."""
+    out = spark.range(1).select()
+    for a, lo, hi in zip(AXES, low, high, strict=True):
+        n = max(0, math.ceil((hi + step - lo) / step - 1e-9) - 1)
+        out = out.withColumn(f"_{a}", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn(a, F.lit(float(lo)) + F.col(f"_{a}") * step)
+    return out.select(*AXES)
+
+
+def within_distance(particles: DataFrame, point: tuple[float, float, float], most: float) -> DataFrame:
+    """All particles, with their distance to a point and whether it is ``most`` at most."""
+    d = [F.col(a) - F.lit(float(p)) for a, p in zip(AXES, point, strict=True)]
+    return particles.withColumn("distance", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).withColumn("is_near", F.col("distance") <= most)
+
+
+def relative_differences(values: DataFrame, refs: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """Euclidean distance of feature vectors to reference vectors, and that by the reference's length (+ 1e-10)."""
+    both = values.select(*by, *columns).join(refs.select(*by, *[F.col(c).alias(f"r_{c}") for c in columns]), by)
+    square = lambda e: sum((e(c) * e(c) for c in columns), F.lit(0.0))
+    out = both.withColumn("distance", F.sqrt(square(lambda c: F.col(c) - F.col(f"r_{c}"))))
+    return out.select(*by, "distance", (F.col("distance") / (F.sqrt(square(lambda c: F.col(f"r_{c}"))) + 1e-10)).alias("relative"))
+
+
+def chromosome_stats(particles: DataFrame, feature: str, keys: list[str] | None = None) -> DataFrame:
+    """Mean, sample deviation and number of a feature's values by chromosome."""
+    keys = ["cell"] if keys is None else keys
+    return particles.groupBy(*keys, "chrom").agg(F.avg(feature).alias("mean"), F.stddev_samp(feature).alias("sd"), F.count(feature).alias("n"))
+
+
+def histogram(particles: DataFrame, feature: str, bins: int, keys: list[str] | None = None) -> DataFrame:
+    """Values by equal bins between a feature's extremes, the greatest in the last bin: keys, bin, n."""
+    keys = ["cell"] if keys is None else keys
+    ends = particles.groupBy(*keys).agg(F.min(feature).alias("_l"), F.max(feature).alias("_h"))
+    at = F.least(F.floor(F.coalesce(F.try_divide((F.col(feature) - F.col("_l")) * bins, F.col("_h") - F.col("_l")), F.lit(0.0))), F.lit(bins - 1))
+    return particles.where(F.col(feature).isNotNull()).join(ends, keys).groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def nearest_of_top(particles: DataFrame, feature: str, share: float, k: int, start: float, keys: list[str] | None = None) -> DataFrame:
+    """Mean distance to the ``k`` nearest others, among the particles with the greatest feature: keys, chrom, pos, mean."""
+    keys = ["cell"] if keys is None else keys
+    top = top_share(particles, feature, share, keys)
+    return k_nearest(top, k, start, keys).groupBy(*keys, "chrom", "pos").agg(F.avg("distance").alias("mean"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaloom.plans import contacts, matrices, modelling, structures
+from chromaloom.plans import contacts, matrices, modelling, small, structures
 
-MODULES = (contacts, structures, matrices, modelling)
+MODULES = (contacts, structures, matrices, modelling, small)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
