@@ -59,10 +59,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that neither a lost executor nor a second use recomputes it."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    with small_batches(df.sparkSession):
+def cut(df: DataFrame, gather: bool = False) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that neither a lost executor nor a second use recomputes it.
+
+    ``gather`` is for narrow tables behind a shuffle: they are written as fewer
+    files, two for each core or one for 16 shuffle partitions, whichever is more.
+    Each file costs a process start on some file systems, and a read later.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if gather:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    with small_batches(spark):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -50,6 +50,13 @@ SMALL_BAND = 16
 SLACK = 2.5
 
 _U = np.uint64
+
+
+def _table(df: DataFrame) -> DataFrame:
+    """An intermediate table of ids, written in few files."""
+    return cut(df, gather=True)
+
+
 _WORD_BYTE = np.zeros(256, np.bool_)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -201,20 +208,21 @@ def _counted(a: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per row with an id and a word: _id, _f1, _f2 (of the words), _bands and _sig (8 bits of each coordinate)."""
+    """Per row with an id and a word: _id, _f1, _f2 (of the words), _n (shingles), _bands and _sig (8 bits of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_text", 1 << 19):
             hashes, sizes = word_hashes(batch.column("_text").cast(pa.binary()).to_pylist())
             prints = fingerprints(hashes, sizes)
             some = np.flatnonzero(sizes)
-            found = signatures(*shingles(hashes, sizes))[some]
+            sets, count = shingles(hashes, sizes)
+            found = signatures(sets, count)[some]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(found).view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
             short = [row.tobytes() for row in (found >> _U(40)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(some)), pa.array(prints[some, 0].view(np.int64)), pa.array(prints[some, 1].view(np.int64)), lists, pa.array(short, pa.binary())], ["_id", "_f1", "_f2", "_bands", "_sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(some)), pa.array(prints[some, 0].view(np.int64)), pa.array(prints[some, 1].view(np.int64)), pa.array(count[some].astype(np.int64)), lists, pa.array(short, pa.binary())], ["_id", "_f1", "_f2", "_n", "_bands", "_sig"])
 
     rows = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    return rows.mapInArrow(run, f"_id {dict(docs.dtypes)[id_column]}, _f1 bigint, _f2 bigint, _bands array<bigint>, _sig binary")
+    return rows.mapInArrow(run, f"_id {dict(docs.dtypes)[id_column]}, _f1 bigint, _f2 bigint, _n bigint, _bands array<bigint>, _sig binary")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -262,7 +270,7 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column:
             sets = [_packed(units[e - c : e]) for c, e in zip(count.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], ["_id", "_set"])
 
-    ids = cut(ids)
+    ids = _table(ids)
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(some, "_id", "left_semi")
     return rows.mapInArrow(run, f"_id {dict(docs.dtypes)[id_column]}, _set binary").dropDuplicates()
@@ -295,15 +303,15 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Each round every vertex takes the least root around it and then that root's
     root; rounds end when nothing changes.  Each round is written, so lineage stays short.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    state = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
+    both = _table(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    state = _table(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
     if not state.limit(1).count():
         return state
     for _ in range(rounds):
         near = both.join(state.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("v")).agg(F.min("r").alias("r"))
         hop = state.join(near, "v", "left").select("v", "root", F.least("root", "r").alias("to"))
         jump = state.select(F.col("v").alias("to"), F.col("root").alias("further"))
-        new = cut(hop.join(jump, "to", "left").select("v", F.least("to", "further").alias("root"), (F.least("to", "further") < F.col("root")).alias("moved")))
+        new = _table(hop.join(jump, "to", "left").select("v", F.least("to", "further").alias("root"), (F.least("to", "further") < F.col("root")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         state = new.select("v", "root")
         if not moved:
@@ -312,11 +320,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Join keys of documents (d, root, asks) around their group's center (c): c, kind, key, d, root, n, o.
+    """Join keys of documents (d, root, asks) around their band's center (c): c, kind, key, d, root, n, o, rest.
 
-    kind 1: shingles that the center lacks (a prefix).  kind 2 and 3: sizes of
-    documents that could be linked to d by the center's shingles alone, asked for and owned.
-    n counts the shingles of d, o those that the center has.
+    kind 1: shingles that the center lacks (a prefix, in hash order).  kind 2 and 3:
+    sizes of documents that could be linked to d by the center's shingles alone,
+    asked for and owned.  n counts the shingles of d, o those that the center has,
+    rest those from the key on that it lacks.  ``sizes`` lists the sizes that occur
+    around the center; no smaller partner need be reckoned with.
     """
     kind = dict(members.dtypes)["d"]
     share = least / (1 + least)  # of both sizes, that a pair at the threshold has in common
@@ -326,38 +336,43 @@ def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_x", 8 << 20):
-            take, kinds, keys, sizes = [], [], [], []
+            take, kinds, keys, numbers = [], [], [], []
             last, center = None, None
-            for i, (x, y, c, asks) in enumerate(zip(batch.column("_x"), batch.column("_y"), batch.column("c").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
+            for i, (x, y, c, asks, around) in enumerate(zip(batch.column("_x"), batch.column("_y"), batch.column("c").to_pylist(), batch.column("asks").to_pylist(), batch.column("sizes").to_pylist(), strict=True)):
                 if last is None or c != last:
                     last, center = c, _unpacked(y)
                 own = _unpacked(x)
                 inside = _shared_units(own, center)
                 n, o = len(own), int(inside.sum())
                 other = own[~inside]
-                common = max(1, int(np.ceil(least * n - 1e-9)) - o)
-                found = [(1, other[: len(other) - common + 1].view(np.int64))] if len(other) >= common else []
-                if o >= least * n - 1e-9:
-                    found.append((3, size_class(np.array([n]))))
+                partner = min(s for s in [*around, n] if s >= least * n - 1e-9)
+                fewest = int(np.ceil(share * (n + partner) - 1e-9))  # shingles in common with any partner
+                needed = max(1, fewest - o)
+                found = []
+                if len(other) >= needed:
+                    prefix = other[: len(other) - needed + 1]
+                    found.append((1, prefix.view(np.int64), len(other) - np.arange(len(prefix))))
+                if o >= fewest:
+                    found.append((3, size_class(np.array([n])), np.zeros(1, np.int64)))
                     most = min(n / least, o / share - n)
-                    if asks and most >= least * n - 1e-9:
-                        low, high = size_class(np.array([np.ceil(least * n - 1e-9), np.floor(most + 1e-9)]))
-                        found.append((2, np.arange(low, high + 1)))
-                for k, values in found:
+                    if asks and most >= partner - 1e-9:
+                        low, high = size_class(np.array([partner, np.floor(most + 1e-9)]))
+                        found.append((2, np.arange(low, high + 1), np.zeros(high - low + 1, np.int64)))
+                for k, values, rest in found:
                     take.append(np.full(len(values), i))
                     kinds.append(np.full(len(values), k, np.int32))
                     keys.append(values)
-                    sizes.append(np.tile([n, o], (len(values), 1)))
+                    numbers.append(np.column_stack([np.tile([n, o], (len(values), 1)), rest]))
             if take:
-                size = np.concatenate(sizes)
+                number = np.concatenate(numbers)
                 some = batch.select(["c", "d", "root"]).take(pa.array(np.concatenate(take)))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)), pa.array(size[:, 0]), pa.array(size[:, 1])], ["c", "d", "root", "kind", "key", "n", "o"])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)), *(pa.array(number[:, j]) for j in range(3))], ["c", "d", "root", "kind", "key", "n", "o", "rest"])
 
     own = sets.select(F.col("_id").alias("d"), F.col("_set").alias("_x"))
     center = sets.select(F.col("_id").alias("c"), F.col("_set").alias("_y"))
     # the documents' own sets come last: the rows are then dealt by document, however many share a center
-    rows = members.join(center, "c").join(own, "d").select("c", "d", "root", "asks", "_x", "_y")
-    return rows.mapInArrow(run, f"c {kind}, d {kind}, root {kind}, kind int, key bigint, n bigint, o bigint")
+    rows = members.join(center, "c").join(own, "d").select("c", "d", "root", "asks", "sizes", "_x", "_y")
+    return rows.mapInArrow(run, f"c {kind}, d {kind}, root {kind}, kind int, key bigint, n bigint, o bigint, rest bigint")
 
 
 def _across(keyed: DataFrame, least: float) -> DataFrame:
@@ -366,10 +381,12 @@ def _across(keyed: DataFrame, least: float) -> DataFrame:
     shared = keyed.where("kind = 1")
     mixed = shared.groupBy("c", "key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("c", "key")
     shared = shared.join(mixed, ["c", "key"], "left_semi")
-    side = lambda df, e: df.select("c", "key", F.col("d").alias(e), F.col("root").alias(f"r{e}"), F.col("n").alias(f"n{e}"), F.col("o").alias(f"o{e}"))
+    side = lambda df, e: df.select("c", "key", F.col("d").alias(e), *[F.col(c).alias(c[:1] + e if c != "rest" else f"left{e}") for c in ("root", "n", "o", "rest")])
     fit = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
-    by_token = side(shared, "a").join(side(shared, "b"), ["c", "key"]).where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & fit)
     common = share * (F.col("na") + F.col("nb")) - 1e-9
+    # what the center lacks must make up for what it has of one of them at most; from the shared shingle on, enough must be left
+    enough = F.least("lefta", "leftb") + F.least("oa", "ob") >= common
+    by_token = side(shared, "a").join(side(shared, "b"), ["c", "key"]).where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & fit & enough)
     asked, owned = side(keyed.where("kind = 2"), "a"), side(keyed.where("kind = 3"), "b")
     by_size = asked.join(owned, ["c", "key"]).where((F.col("ra") != F.col("rb")) & fit & (F.col("oa") >= common) & (F.col("ob") >= common))
     return by_token.select("a", "b").union(by_size.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
@@ -382,59 +399,61 @@ def find_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     partner, for the exact test.  Sketches, bands and links are small against the texts.
     """
     sketch = cut(_sketch(docs, id_column, text_column))
-    first = cut(sketch.groupBy("_f1", "_f2").agg(F.min("_id").alias("_first"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig")))
-    members = cut(sketch.select("_id", "_f1", "_f2").join(first.select("_f1", "_f2", "_first"), ["_f1", "_f2"]).select("_id", "_first").distinct())
+    first = _table(sketch.groupBy("_f1", "_f2").agg(F.min("_id").alias("_first"), F.max("_n").alias("_n"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig")))
+    members = _table(sketch.select("_id", "_f1", "_f2").join(first.select("_f1", "_f2", "_first"), ["_f1", "_f2"]).select("_id", "_first").distinct())
     # an id that has several texts ties their groups of copies together
-    copies = cut(members.groupBy("_id").agg(F.min("_first").alias("copy_of"), F.max("_first").alias("_last")))
+    copies = _table(members.groupBy("_id").agg(F.min("_first").alias("copy_of"), F.max("_first").alias("_last")))
     several = copies.where("copy_of <> _last").select("_id", "copy_of")
     links = [members.join(several, "_id").where("copy_of <> _first").select(F.col("copy_of").alias("a"), F.col("_first").alias("b"))]
 
     exploded = first.select(F.col("_first").alias("d"), F.explode("_bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    together = cut(exploded.join(shared, "band"))
+    together = _table(exploded.join(shared, "band"))
     central = together.groupBy("d").agg(F.sum("n").alias("weight"))
-    bands = cut(together.join(central, "d"))
+    bands = _table(together.join(central, "d"))
     centers = bands.groupBy("band").agg(F.max_by("d", F.struct(F.col("weight"), -F.col("d"))).alias("c"))
-    bands = cut(bands.join(centers, "band"))
-    star = cut(bands.where("d <> c").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.max("weight").alias("weight")))
+    bands = _table(bands.join(centers, "band"))
+    star = _table(bands.where("d <> c").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.max("weight").alias("weight")))
     sigs = first.select(F.col("_first").alias("_id"), "_sig")
-    trials = cut(_agreeing(star.select("a", "b"), sigs))
+    trials = _table(_agreeing(star.select("a", "b"), sigs))
     wanted = trials.select(F.explode(F.array("a", "b")).alias("_id")).union(bands.where(F.col("n") > SMALL_BAND).select("d")).distinct()
     sets = cut(_shingle_sets(docs, wanted, id_column, text_column))
-    close = cut(_verified(trials, sets, least))
+    close = _table(_verified(trials, sets, least))
 
     # who a document hangs from: the heaviest center it is linked to, centers likewise (weights rise, so this ends)
-    up = cut(close.join(central.select(F.col("d").alias("a"), "weight"), "a").groupBy(F.col("b").alias("v")).agg(F.max_by("a", F.struct(F.col("weight"), -F.col("a"))).alias("root")))
+    up = _table(close.join(central.select(F.col("d").alias("a"), "weight"), "a").groupBy(F.col("b").alias("v")).agg(F.max_by("a", F.struct(F.col("weight"), -F.col("a"))).alias("root")))
     for _ in range(2):
         jump = up.select(F.col("v").alias("root"), F.col("root").alias("_further"))
-        up = cut(up.join(jump, "root", "left").select("v", F.coalesce("_further", "root").alias("root")))
+        up = _table(up.join(jump, "root", "left").select("v", F.coalesce("_further", "root").alias("root")))
     rooted = lambda df, c, name: df.join(up.select(F.col("v").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
 
     # bands whose members hang from different roots
     of = rooted(bands, "d", "root")
     mixed = of.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("band")
-    left = cut(of.join(mixed, "band", "left_semi"))
+    left = _table(of.join(mixed, "band", "left_semi"))
     small = left.where(F.col("n") <= SMALL_BAND)
     x, y = small.select("band", F.col("d").alias("a"), F.col("root").alias("ra")), small.select("band", F.col("d").alias("b"), F.col("root").alias("rb"))
     few = x.join(y, "band").where("ra <> rb AND a < b").select("a", "b")
     inside = left.where(F.col("n") > SMALL_BAND).select("c", "d", "root").distinct()
-    around = rooted(inside, "c", "_rc").select("c", "d", "root", (F.col("root") != F.col("_rc")).alias("asks"))
+    inside = _table(inside.join(first.select(F.col("_first").alias("d"), F.col("_n")), "d"))
+    sizes = inside.groupBy("c").agg(F.collect_set("_n").alias("sizes"))
+    around = rooted(inside.join(sizes, "c"), "c", "_rc").select("c", "d", "root", (F.col("root") != F.col("_rc")).alias("asks"), "sizes")
     keyed = cut(_around(around, sets, least))
     few = few.union(_across(keyed, least)).distinct()
-    few = cut(_agreeing(few.join(trials.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sigs))
+    few = _table(_agreeing(few.join(trials.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sigs))
     more = few.select(F.explode(F.array("a", "b")).alias("_id")).distinct().join(sets.select("_id"), "_id", "left_anti")
-    bridges = cut(_verified(few, sets.unionByName(_shingle_sets(docs, more, id_column, text_column)), least))
+    bridges = _table(_verified(few, sets.unionByName(_shingle_sets(docs, more, id_column, text_column)), least))
 
     # what remains is a graph of roots: links between documents that hang from different ones
     between = rooted(rooted(reduce(DataFrame.union, [close, bridges, *links]), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     top = components(between)
     hung = up.select("v", "root").join(top.select(F.col("v").alias("root"), F.col("root").alias("_top")), "root", "left").select("v", F.coalesce("_top", "root").alias("root"))
     alone = top.join(up.select("v"), "v", "left_anti")
-    tree = cut(hung.union(alone.select("v", "root")).union(up.select(F.col("root").alias("v")).join(up.select("v"), "v", "left_anti").join(top.select("v"), "v", "left_anti").select("v", F.col("v").alias("root"))).distinct())
+    tree = _table(hung.union(alone.select("v", "root")).union(up.select(F.col("root").alias("v")).join(up.select("v"), "v", "left_anti").join(top.select("v"), "v", "left_anti").select("v", F.col("v").alias("root"))).distinct())
     lows = tree.groupBy("root").agg(F.min("v").alias("_low"))
     found = tree.join(lows, "root").select("v", F.col("_low").alias("root"))
 
-    named = cut(copies.join(found, F.col("copy_of") == F.col("v"), "left").select("_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of"))
+    named = _table(copies.join(found, F.col("copy_of") == F.col("v"), "left").select("_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of"))
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     return named.join(sizes, "class_id").select(F.col("_id").alias(id_column), "class_id", "class_size", "copy_of")
 
