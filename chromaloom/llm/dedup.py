@@ -370,8 +370,8 @@ def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     own = sets.select(F.col("_id").alias("d"), F.col("_set").alias("_x"))
     center = sets.select(F.col("_id").alias("c"), F.col("_set").alias("_y"))
-    # the documents' own sets come last: the rows are then dealt by document, however many share a center
-    rows = members.join(center, "c").join(own, "d").select("c", "d", "root", "asks", "sizes", "_x", "_y")
+    # dealt anew by both, as many documents may share a center and a document may have many
+    rows = members.join(center, "c").join(own, "d").select("c", "d", "root", "asks", "sizes", "_x", "_y").repartition("c", "d")
     return rows.mapInArrow(run, f"c {kind}, d {kind}, root {kind}, kind int, key bigint, n bigint, o bigint, rest bigint")
 
 
