@@ -16,12 +16,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import cut, words_of
 
 #: Words in a window.
 WINDOW = 10
 #: Windows are broadcast while they take up to so many bytes; a larger set is dealt into blocks, one pass each.
 BROADCAST_BYTES = 64 << 20
+#: Contaminated documents whose ids are broadcast; more of them meet the documents in a shuffle.
+BROADCAST_HITS = 1_000_000
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -98,6 +100,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, mode:
         raise ValueError(f"mode must be documents or spans, not {mode!r}")
     hits = find_contamination(docs, benchmark, n, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("_hit_doc"), F.col("text_key").alias("_hit_text"), F.col("spans").alias("_hit_spans"))
     hits = hits.dropDuplicates(["_hit_doc", "_hit_text"])
+    if mode == "documents":
+        hits = cut(hits.drop("_hit_spans"), gather=True)
+        hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
     same = docs["doc_id"].eqNullSafe(hits["_hit_doc"]) & (F.xxhash64(docs["text"]) == hits["_hit_text"])
     if mode == "documents":
         return docs.join(hits, same, "left_anti")

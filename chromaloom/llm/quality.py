@@ -31,6 +31,8 @@ LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOL_PERCENT, DUP_LINE_PERCENT, WORD_LENGTHS = 10, 20, (2, 20)
 #: A domain is rejected when its shrunk failure rate exceeds this.
 HOST_RATE = 0.75
+#: Rejected hosts that are broadcast; more of them meet the documents in a shuffle.
+BROADCAST_HOSTS = 200_000
 #: The prior weighs as much as so many documents at least and at most.
 PRIOR_WEIGHT = (2.0, 1000.0)
 
@@ -106,8 +108,10 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
 
 
 def _rejected(judged: DataFrame, host_column: str) -> DataFrame:
+    """Rejected hosts (_bad_host, _bad), marked for broadcast while they are few: a host may hold a third of all texts."""
     verdicts = host_verdicts(judged.select(F.col(host_column).alias("host"), F.col("doc_failed").alias("failed")))
-    return verdicts.where("host_rejected").select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad"))
+    bad = cut(verdicts.where("host_rejected").select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad")), gather=True)
+    return F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
 
 
 def judge(docs: DataFrame, keep: list[str], host_column: str = "source", text_column: str = "text") -> DataFrame:
