@@ -1,11 +1,13 @@
 """Brown class bigrams: a language model whose words are put into classes by exchange clustering.
 
-Training counts every word.  The CLUSTERED most frequent ones are dealt into
-CLASSES classes; each is moved in turn to the class that raises the likelihood
-of the class bigrams most, until none moves.  All other words, unknown ones
-included, make up one open class; the end of a text is a class of its own.  A
-token costs the transition from the class of the last clustered token (the end
-class at the start) to its own class and the emission of the word from it:
+Training counts every word.  The CLUSTERED most frequent ones, the core, are
+dealt into CLASSES classes; each is moved in turn to the class that raises the
+likelihood of the class bigrams most, until none moves.  Every other word that
+occurs FLOOR times or more joins the class its neighbours in the core speak for
+(``assign``), in a distributed pass.  Words below FLOOR and unknown ones make up
+one open class; the end of a text is a class of its own.  A token costs the
+transition from the class of the token before it (the end class at the start) to
+its own class and the emission of the word from it:
 
     log10 P(class | state) + log10 P(word | class)
 
@@ -13,9 +15,10 @@ Transitions are smoothed towards the class frequencies; the open class emits a
 word seen c times with (c + 0.1) / (N + 0.1 (V + 1)), N and V being its tokens
 and words.
 
-Counts of words and class bigrams cover all training texts.  What reaches the
-driver is bounded by the model's size: FREQUENT words and a matrix of the
-clustered ones.  Words beyond the frequent ones are joined by a shuffle.
+Counts of words and transitions of classes cover all training texts.  What
+reaches the driver is bounded by the model's size: FREQUENT words with their
+classes and matrices of the core and of the classes.  Classes of words beyond
+the frequent ones are joined by a shuffle.
 
 Defined cases: a null text counts as empty and still has its end token; a null
 id has remainder 0 and is held out; without training texts every count is 0.
@@ -25,25 +28,30 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, cut
 
-#: Words that are clustered, their classes, and words whose counts every task holds.
+#: Words of the core, classes, and words whose classes every task holds.
 CLUSTERED, CLASSES, FREQUENT = 1500, 40, 200_000
+#: Occurrences that a word needs for a class; a vocabulary that every task holds whole.
+FLOOR, FEW = 2, 10_000
 #: Weight of the class frequencies in a transition, and the count added to a word.
 PRIOR, ADDED = 20.0, 0.1
 #: A byte that no word holds stands for the end of a text.
 END = b"\n"
 #: Different words that a task counts before it passes them on.
 HELD_WORDS = 300_000
+#: A class beside a word (before it, or behind it after all those before) and how often it was seen there.
+SEEN = np.dtype([("cell", "u2"), ("n", "<u4")])
 
 
 def remainder(n: int, id_column: str = "doc_id") -> Column:
@@ -98,36 +106,39 @@ def least_frequent(counts: DataFrame, most: int) -> int:
 
 
 def count_bigrams(docs: DataFrame, vocabulary: list[bytes], text_column: str = "text") -> np.ndarray:
-    """Matrix (state, word) over the clustered words (END is the first) and, as last word, the open class."""
+    """Matrix (word before, word) over the core words (END is the first) and, as the last, all others."""
     m = len(vocabulary)
+    side = m + 1
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, total = shared.value.get, np.zeros(m * (m + 1), np.int64)
+        get, total = shared.value.get, np.zeros(side * side, np.int64)
         for batch in batches_of(batches, text_column):
             tokens, _ = tokens_of(batch.column(text_column).to_pylist())
             ids = np.fromiter(map(get, tokens, repeat(m)), np.int64, len(tokens))
-            total += np.bincount(states(ids, m) * (m + 1) + ids, minlength=len(total))
-        at = np.flatnonzero(total)
-        for a in range(0, len(at), 100_000):
-            some = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+            total += np.bincount(before(ids, 0) * side + ids, minlength=len(total))
+        yield from _cells(total)
 
-    cells = docs.select(text_column).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(m * (m + 1), np.int64)
-    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    return out.reshape(m, m + 1)
+    return _summed(docs.select(text_column).mapInArrow(run, "cell bigint, n bigint"), side)
 
 
-def states(ids: np.ndarray, open_id: int) -> np.ndarray:
-    """For each token the last clustered word before it; 0, the end, at the start.  Texts are laid end to end."""
-    at = np.where(ids != open_id, np.arange(len(ids)), -1)
-    last = np.maximum.accumulate(at)
-    out = np.zeros(len(ids), ids.dtype)
-    if len(ids) > 1:
-        before = last[:-1]
-        out[1:] = np.where(before >= 0, ids[before], 0)
-    return out
+def _cells(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(total)
+    for a in range(0, len(at), 100_000):
+        some = at[a : a + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+
+def _summed(cells: DataFrame, side: int) -> np.ndarray:
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(side * side, np.int64)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(side, side)
+
+
+def before(ids: np.ndarray, end: int) -> np.ndarray:
+    """For each token the one before it.  Texts are laid end to end and closed by ``end``."""
+    return np.append(np.array([end], ids.dtype), ids[:-1])[: len(ids)]
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -137,21 +148,25 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 def exchange(bigrams: np.ndarray, classes: int, rounds: int = 20) -> np.ndarray:
     """Class of each clustered word; class ``classes`` is the end's.  Words start dealt out by frequency.
 
-    ``bigrams``: (state, word), word 0 the end, the last column the open class.
+    ``bigrams``: (word before, word), word 0 the end, the last column all other words, which a last row may stand for too.
     """
-    m = bigrams.shape[0]
+    m = bigrams.shape[1] - 1
     k = min(classes, max(1, m - 1))
     end, other = k, k + 1
     of = np.concatenate([[end], np.arange(max(0, m - 1)) % k]).astype(np.int64)
     b = bigrams.astype(np.float64)
     # between words and classes: o[w, h] w followed by class h; i[w, g] w behind class g
     o = np.zeros((m, k + 2))
-    np.add.at(o.T, of, b[:, :m].T)
-    o[:, other] = b[:, m]
+    np.add.at(o.T, of, b[:m, :m].T)
+    o[:, other] = b[:m, m]
     i = np.zeros((m, k + 2))
-    np.add.at(i.T, of, b[:, :m])
+    np.add.at(i.T, of, b[:m, :m])
     n = np.zeros((k + 2, k + 2))
     np.add.at(n, of, o)
+    if len(b) > m:
+        i[:, other] = b[m, :m]
+        np.add.at(n[other], of, b[m, :m])
+        n[other, other] = b[m, m]
     for _ in range(rounds):
         moved = 0
         for w in range(1, m):
@@ -180,8 +195,8 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 20) -> np.ndarray:
             if to != a:
                 moved += 1
                 of[w] = to
-                o[:, a] -= b[:, w]
-                o[:, to] += b[:, w]
+                o[:, a] -= b[:m, w]
+                o[:, to] += b[:m, w]
                 i[:, a] -= b[w, :m]
                 i[:, to] += b[w, :m]
         if not moved:
@@ -189,15 +204,118 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 20) -> np.ndarray:
     return of
 
 
+def class_bigrams(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The matrix of ``count_bigrams`` by class; words outside the core make up the last one."""
+    to = np.append(of, of[0] + 1)
+    n = np.zeros((to[-1] + 1, to[-1] + 1))
+    np.add.at(n, (to[:, None], to[None]), bigrams)
+    return n
+
+
+def context_weights(n: np.ndarray) -> np.ndarray:
+    """Row for each class before a word, then for each class behind it; column for each class the word may join.
+
+    A word's counts by these rows times the matrix is, in the first order, what
+    the likelihood of the class bigrams gains as the word joins the class.
+    """
+    k = len(n) - 2
+    share = lambda x: (x + ADDED) / (x.sum() + ADDED * len(x))
+    back = (n + PRIOR * share(n.sum(1))[:, None]) / (n.sum(0) + PRIOR)
+    ahead = (n.T + PRIOR * share(n.sum(0))[:, None]) / (n.sum(1) + PRIOR)
+    return np.log(np.concatenate([back, ahead]))[:, :k]
+
+
+def assign(docs: DataFrame, vocabulary: list[bytes], of: np.ndarray, n: np.ndarray, text_column: str = "text") -> DataFrame:
+    """Every word outside the core: word, n and the class that its neighbours speak for; words below FLOOR are open."""
+    m, size = len(vocabulary), len(n)
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+    klass, weights = np.append(of, size - 1), context_weights(n)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, index = shared.value.get, {}
+        cells, times, parts, waiting = np.zeros(0, np.int64), np.zeros(0), [], 0
+
+        def merge() -> None:
+            nonlocal cells, times, waiting
+            every = np.concatenate([cells, *parts])
+            cells, at = np.unique(every, return_inverse=True)
+            times = np.bincount(at, np.append(times, np.ones(len(every) - len(times))), len(cells))
+            parts.clear()
+            waiting = 0
+
+        def out() -> pa.RecordBatch:
+            merge()
+            starts = np.flatnonzero(np.diff(cells // (2 * size), prepend=-1))
+            seen = np.zeros(len(cells), SEEN)
+            seen["cell"], seen["n"] = cells % (2 * size), times
+            return pa.RecordBatch.from_arrays([pa.array(list(index), pa.binary()), _binary(seen.tobytes(), np.append(starts, len(cells)) * SEEN.itemsize)], ["word", "seen"])
+
+        for batch in batches_of(batches, text_column):
+            tokens, _ = tokens_of(batch.column(text_column).to_pylist())
+            ids = np.fromiter(map(get, tokens, repeat(m)), np.int64, len(tokens))
+            at = np.flatnonzero(ids == m)
+            c = klass[ids]
+            word = np.fromiter((index.setdefault(tokens[i], len(index)) for i in at.tolist()), np.int64, len(at)) * (2 * size)
+            # an end closes every text, so that a word outside the core has a token behind it
+            parts += [word + before(c, klass[0])[at], word + size + c[at + 1]]
+            waiting += 2 * len(at)
+            if len(index) >= HELD_WORDS:
+                yield out()
+                index.clear()
+                cells, times = cells[:0], times[:0]
+            elif waiting > 2_000_000:
+                merge()
+        if index:
+            yield out()
+
+    def settle(part: pa.RecordBatch) -> pa.RecordBatch:
+        word, seen = part.column(0), part.column(1)
+        first = _changes(word)
+        offsets = np.frombuffer(seen.buffers()[1], np.int32)[seen.offset : seen.offset + len(seen) + 1]
+        pairs = np.frombuffer(seen.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(SEEN)
+        at = np.repeat(np.cumsum(first) - 1, np.diff(offsets) // SEEN.itemsize)
+        x = np.bincount(at * (2 * size) + pairs["cell"], pairs["n"], first.sum() * 2 * size).reshape(-1, 2 * size)
+        total = x[:, :size].sum(1).astype(np.int64)
+        joined = np.where(total < FLOOR, size - 1, np.round(x @ weights, 9).argmax(1))
+        return pa.RecordBatch.from_arrays([word.take(pa.array(np.flatnonzero(first))), pa.array(total), pa.array(joined.astype(np.int32))], ["word", "n", "class"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            last = int(np.flatnonzero(_changes(batch.column(0)))[-1])
+            if last:
+                yield settle(batch.slice(0, last))
+            rest = batch.slice(last)
+        if rest is not None:
+            yield settle(rest)
+
+    seen = docs.select(text_column).mapInArrow(count, "word binary, seen binary")
+    return seen.repartition("word").sortWithinPartitions("word").mapInArrow(join, "word binary, n bigint, class int")
+
+
+def _changes(words: pa.Array) -> np.ndarray:
+    """True where a word differs from the one before it."""
+    return np.append(True, pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False))
+
+
+def _binary(data: bytes, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
 @dataclass
 class Model:
-    """words: rows of ``id`` to ``emission``.  Classes: 0 to k-1, the end's, the open one (last)."""
+    """Held words: rows of ``id`` to ``klass``.  Classes: 0 to k-1, the end's, the open one (last)."""
 
     id: dict[bytes, int]
     base: np.ndarray  # log10 of the unigram probability, by word
     emission: np.ndarray  # log10 P(word | class), by word
     klass: np.ndarray  # by word
     transition: np.ndarray  # log10 P(class | class)
+    mass: np.ndarray  # tokens, by class
     tokens: int  # N
     words: int  # V
     open_tokens: float
@@ -210,111 +328,158 @@ class Model:
     def base_of(self, c: Column) -> Column:
         return F.log10((c + ADDED) / F.lit(self.tokens + ADDED * (self.words + 1)))
 
-    def open_emission_of(self, c: Column) -> Column:
-        return F.log10((c + ADDED) / F.lit(self.open_tokens + ADDED * (self.open_words + 1)))
+    def emission_of(self, c: Column, klass: Column) -> Column:
+        of_open = F.log10((c + ADDED) / F.lit(self.open_tokens + ADDED * (self.open_words + 1)))
+        return F.when(klass == self.open, of_open).otherwise(F.log10(c / F.get(F.lit(self.mass.tolist()), klass)))
 
 
-def fit(docs: DataFrame, text_column: str = "text", clustered: int = CLUSTERED, classes: int = CLASSES, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model and the table of all words' counts (word, n), learned from all rows of ``docs``."""
+def learn(docs: DataFrame, text_column: str = "text", clustered: int = CLUSTERED, classes: int = CLASSES, frequent: int = FREQUENT, few: int = FEW) -> tuple[Model, DataFrame]:
+    """The model, but for its transitions, and the table of all words (word, n, class)."""
     counts = cut(count_words(docs, text_column))
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, words = total["n"] or 0, total["v"]
-    least = least_frequent(counts, frequent)
-    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= least).toLocalIterator()), key=lambda x: (x[0] != END, -x[1], x[0]))
-    vocabulary = [w for w, _ in top[: clustered + 1]] if top else []
-    c = np.array([n for _, n in top], np.float64)
-    if vocabulary and vocabulary[0] != END:  # fewer ends than the least frequent of the top words
-        ends = docs.count()
-        top.insert(0, (END, ends))
-        vocabulary = [END, *vocabulary[:clustered]]
-        c = np.concatenate([[ends], c])
-    m = len(vocabulary)
-    if not m:
-        one = np.zeros((2, 2))
-        return Model({}, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), one, 0, 0, 0.0, 0.0), counts
+    if not words:
+        return Model({}, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros((2, 2)), np.zeros(2), 0, 0, 0.0, 0.0), counts.withColumn("class", F.lit(1))
+    least = 1 if words <= few else least_frequent(counts, frequent)
+    first = lambda x: (x[0] != END, -x[1], x[0])
+    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= max(least, FLOOR)).toLocalIterator()), key=first)[: clustered + 1]
+    if not top or top[0][0] != END:  # fewer ends than the least frequent of the top words
+        top = [(END, docs.count()), *top[:clustered]]
+    vocabulary = [w for w, _ in top]
     bigrams = count_bigrams(docs, vocabulary, text_column)
     of = exchange(bigrams, classes)
-    k = int(of[0])
-    size = k + 2
-    n = np.zeros((size, size))
-    by = np.zeros((m, size))
-    np.add.at(by.T, of, bigrams[:, :m].T.astype(np.float64))
-    by[:, k + 1] = bigrams[:, m]
-    np.add.at(n, of, by)
-    mass = np.zeros(size)
-    np.add.at(mass, of, c[:m])
-    mass[k + 1] = tokens - mass.sum()
-    share = (mass + ADDED) / (tokens + ADDED * size)
-    transition = np.log10((n + PRIOR * share) / (n.sum(1, keepdims=True) + PRIOR))
-    klass = np.full(len(c), k + 1, np.int64)
-    klass[:m] = of
-    open_tokens, open_words = float(mass[k + 1]), float(words - m)
-    emission = np.log10((c + ADDED) / (open_tokens + ADDED * (open_words + 1)))
-    emission[:m] = np.log10(c[:m] / mass[of])
+    n = class_bigrams(bigrams, of)
+    core = docs.sparkSession.createDataFrame([(bytearray(w), c, int(g)) for (w, c), g in zip(top, of, strict=True)], "word binary, n bigint, class int")
+    table = cut(assign(docs, vocabulary, of, n, text_column).union(core))
+    size = len(n)
+    mass, members = np.zeros(size), np.zeros(size)
+    for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        mass[r["class"]], members[r["class"]] = r["n"], r["words"]
+    held = sorted(((bytes(r["word"]), r["n"], r["class"]) for r in table.where((F.col("n") >= least) | (F.col("class") == size - 2)).toLocalIterator()), key=first)
+    c, klass = np.array([x[1] for x in held], np.float64), np.array([x[2] for x in held], np.int64)
+    emission = np.where(klass == size - 1, np.log10((c + ADDED) / (mass[-1] + ADDED * (members[-1] + 1))), np.log10(c / np.maximum(mass[klass], 1)))
     base = np.log10((c + ADDED) / (tokens + ADDED * (words + 1)))
-    return Model({w: j for j, (w, _) in enumerate(top)}, base, emission, klass, transition, tokens, words, open_tokens, open_words), counts
+    return Model({x[0]: i for i, x in enumerate(held)}, base, emission, klass, np.zeros((size, size)), mass, tokens, words, float(mass[-1]), float(members[-1])), table
+
+
+def with_transitions(model: Model, coded: DataFrame) -> Model:
+    """The model with the transitions between neighbouring tokens of ``coded`` texts."""
+    size, end = len(model.transition), model.open - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            c = _codes(batch.column(0))[0].astype(np.int64)
+            total += np.bincount(before(c, end) * size + c, minlength=len(total))
+        yield from _cells(total)
+
+    n = _summed(coded.select("_classes").mapInArrow(run, "cell bigint, n bigint"), size)
+    share = (model.mass + ADDED) / (model.tokens + ADDED * size)
+    return replace(model, transition=np.log10((n + PRIOR * share) / (n.sum(1, keepdims=True) + PRIOR)))
+
+
+def fit(docs: DataFrame, text_column: str = "text", clustered: int = CLUSTERED, classes: int = CLASSES, frequent: int = FREQUENT, few: int = FEW) -> tuple[Model, DataFrame]:
+    """The model and the table of all words (word, n, class), learned from all rows of ``docs``."""
+    model, counts = learn(docs, text_column, clustered, classes, frequent, few)
+    return (with_transitions(model, code(docs, model, counts, [], text_column)) if model.words else model), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
-    """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score and perplexity, for every row.
+    """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score and perplexity, for every row."""
+    return rate(code(docs, model, counts, keep, text_column), model, keep)
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column end to end, and where each row starts, the end of the last one included."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
-    Texts are read once, in place.  Words that tasks do not hold leave as one row
-    for each text and word and meet their counts in a shuffle.
+
+def code(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
+    """``keep`` columns, n_tokens, n_known, base_score, the sum of emissions and a byte for the class of each token, for every row.
+
+    Texts are read once, in place.  Words that tasks do not hold leave with their
+    place and meet their counts and classes in a shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.id, model.base, model.emission, model.klass))
     kinds = dict(docs.dtypes)
-    sums = ["n_tokens", "n_known", "base_score", "score"]
-    schema = ", ".join(["_row bigint", "_word binary", "_tf bigint", *(f"`{c}` {kinds[c]}" for c in keep), "n_tokens bigint, n_known bigint, base_score double, score double"])
+    sums = ["n_tokens", "n_known", "base_score", "_emission"]
+    kept = [f"`{c}` {kinds[c]}" for c in keep]
+    numbers = "n_tokens bigint, n_known bigint, base_score double, _emission double, _classes binary"
+    schema = ", ".join(["_row bigint", "_word binary", "_at bigint", *kept, numbers])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        get, row = m.id.get, TaskContext.get().partitionId() << 40
-        klass = np.append(m.klass, m.open)
-        base, emission = np.append(m.base, 0.0), np.append(m.emission, 0.0)
-        known = np.append(np.ones(len(m.klass), np.int64), 0)
-        start = klass[0] if len(m.klass) else m.open
+        id_of, base, emission, klass = shared.value
+        get, row = id_of.get, TaskContext.get().partitionId() << 40
+        base, emission = np.append(base, 0.0), np.append(emission, 0.0)
+        known, klass = np.append(np.ones(len(klass), np.int64), 0), np.append(klass, 0).astype(np.uint8)
         for batch in batches_of(batches, text_column):
             tokens, sizes = tokens_of(batch.column(text_column).to_pylist())
             ends = np.cumsum(sizes)
             starts = ends - sizes
             ids = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
-            c = klass[ids]
-            at = np.maximum.accumulate(np.where(c != m.open, np.arange(len(c)), -1))
-            state = np.full(len(c), start)
-            state[1:] = np.where(at[:-1] >= 0, c[at[:-1]], start)
-            state[starts] = start
-            value = m.transition[state, c] + emission[ids]
             rows = np.arange(row, row + len(sizes))
             row += len(sizes)
             whole = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64()), *(batch.column(k) for k in keep), pa.array(sizes), pa.array(whole(known[ids])), pa.array(whole(base[ids])), pa.array(whole(value))],
-                ["_row", "_word", "_tf", *keep, *sums],
+                [pa.array(rows), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64()), *(batch.column(k) for k in keep), pa.array(sizes), pa.array(whole(known[ids])), pa.array(whole(base[ids])), pa.array(whole(emission[ids])), _binary(klass[ids].tobytes(), np.append(starts, ends[-1]))],
+                ["_row", "_word", "_at", *keep, *sums, "_classes"],
             )
             rare = np.flatnonzero(ids < 0)
-            if len(rare):
-                who = (np.searchsorted(starts, rare, "right") - 1).tolist()
-                pairs = Counter(zip(who, map(tokens.__getitem__, rare.tolist()), strict=True))
-                n = len(pairs)
+            if n := len(rare):
+                who = np.searchsorted(starts, rare, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[0] + r for r, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64()), *(pa.nulls(n, batch.column(k).type) for k in keep), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
-                    ["_row", "_word", "_tf", *keep, *sums],
+                    [pa.array(rows[who]), pa.array([tokens[i] for i in rare.tolist()], pa.binary()), pa.array(rare - starts[who]), *(pa.nulls(n, batch.column(k).type) for k in keep), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))],
+                    ["_row", "_word", "_at", *keep, *sums, "_classes"],
                 )
 
     found = cut(docs.select(*dict.fromkeys([*keep, text_column])).mapInArrow(run, schema))
-    rare = found.where(F.col("_word").isNotNull()).select("_row", F.col("_word").alias("word"), "_tf")
-    c = F.coalesce(F.col("n"), F.lit(0))
+    rare = found.where(F.col("_word").isNotNull()).select("_row", F.col("_word").alias("word"), "_at")
+    c, g = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("class"), F.lit(model.open))
     late = rare.join(counts, "word", "left").groupBy("_row").agg(
-        F.sum(F.when(c > 0, F.col("_tf")).otherwise(0)).alias("_known"), F.sum(F.col("_tf") * model.base_of(c)).alias("_base"), F.sum(F.col("_tf") * model.open_emission_of(c)).alias("_score")
+        F.sum((c > 0).cast("bigint")).alias("_known"), F.sum(model.base_of(c)).alias("_base"), F.sum(model.emission_of(c, g)).alias("_late"), F.collect_list(F.col("_at") * 256 + g).alias("_places")
     )
-    both = found.where(F.col("_word").isNull()).join(late, "_row", "left")
     zero = F.lit(0)
-    out = both.select(
+    both = found.where(F.col("_word").isNull()).join(late, "_row", "left").select(
         *keep,
         "n_tokens",
         (F.col("n_known") + F.coalesce("_known", zero)).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("_score", zero)).alias("score"),
+        (F.col("_emission") + F.coalesce("_late", zero)).alias("_emission"),
+        "_classes",
+        "_places",
     )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, offsets = _codes(batch.column("_classes"))
+            codes, places = codes.copy(), batch.column("_places")
+            n = np.nan_to_num(pc.list_value_length(places).to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            codes[np.repeat(offsets[:-1], n) + flat // 256] = flat % 256
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keep, *sums]), _binary(codes.tobytes(), offsets)], [*keep, *sums, "_classes"])
+
+    return cut(both.mapInArrow(fill, ", ".join([*kept, numbers])))
+
+
+def rate(coded: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """Scores of ``coded`` texts."""
+    transition, end = model.transition, model.open - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, offsets = _codes(batch.column("_classes"))
+            state = before(codes, end)
+            state[offsets[:-1]] = end
+            steps = np.add.reduceat(transition[state, codes], offsets[:-1])
+            score = steps + batch.column("_emission").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keep, "n_tokens", "n_known", "base_score"]), pa.array(score)], [*keep, "n_tokens", "n_known", "base_score", "score"])
+
+    kinds = dict(coded.dtypes)
+    out = coded.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens bigint, n_known bigint, base_score double, score double"]))
+    out = out.select(*keep, "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), F.least(F.lit(300.0), -F.col("score") / F.col("n_tokens"))))

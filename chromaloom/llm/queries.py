@@ -63,8 +63,11 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", classlm.remainder(10) == 0)
-    model, counts = classlm.fit(docs.where(~F.col("held_out")))
-    return classlm.score(docs, model, counts, ["doc_id", "held_out"])
+    model, counts = classlm.learn(docs.where(~F.col("held_out")))
+    coded = classlm.code(docs, model, counts, ["doc_id", "held_out"])
+    if model.words:
+        model = classlm.with_transitions(model, coded.where(~F.col("held_out")))
+    return classlm.rate(coded, model, ["doc_id", "held_out"])
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,37 @@ def test_class_model(spark, documents):
     assert all(r["n_known"] == 0 and r["base_score"] == pytest.approx(0) for r in classlm.score(docs, empty, none, ["doc_id"]).collect())
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_words_outside_the_core_have_classes(spark, documents, few):
+    rng = random.Random(2)
+    # x and y words alternate; two of each are frequent, the others are rare
+    kinds = [[f"{c}{i}" for i in range(40)] for c in "xy"]
+    pick = lambda k: kinds[k][rng.randrange(2) if rng.random() < 0.5 else rng.randrange(2, 40)]
+    docs = documents(*((i, " ".join(pick(j % 2) for j in range(40))) for i in range(60)), (60, "x5 once y7"), (61, "x30 y31 x32 y33"), (62, "x30 x31 x32 x33"))
+    model, counts = classlm.fit(docs.where("doc_id <= 60"), clustered=4, classes=2, frequent=10, few=few)
+    table = {bytes(r["word"]).decode(): (r["n"], r["class"]) for r in counts.collect()}
+    assert (len(model.id) == 82) if few else (len(model.id) <= 10)
+    assert len({table[w][1] for w in kinds[0]}) == len({table[w][1] for w in kinds[1]}) == 1 and table["x9"][1] != table["y9"][1]
+    assert table["once"] == (1, model.open) and [w for w, (_, g) in table.items() if g == model.open] == ["once"]
+    got = rows(classlm.score(docs, model, counts, ["doc_id"]))
+    mass, pairs = Counter(), Counter()
+    texts = {r["doc_id"]: (r["text"] or "").lower().split() + ["\n"] for r in docs.collect()}
+    of = lambda w: table[w][1]
+    for i, t in texts.items():
+        if i <= 60:
+            mass.update(map(of, t))
+            pairs.update(zip(map(of, ["\n", *t]), map(of, t)))
+    n, size = sum(mass.values()), model.open + 1
+    for i, t in texts.items():
+        want = 0.0
+        for a, b in zip(["\n", *t], t):
+            row = sum(v for (s, _), v in pairs.items() if s == of(a))
+            want += math.log10((pairs[of(a), of(b)] + 20 * (mass[of(b)] + 0.1) / (n + 0.1 * size)) / (row + 20))
+            want += math.log10(1.1 / 1.2 if b == "once" else table[b][0] / mass[of(b)])
+        assert got[i]["score"] == pytest.approx(want)
+    assert got[61]["score"] > got[62]["score"] + 2  # the order of rare words counts
+
+
 # 7 -----------------------------------------------------------------------------------
 
 PII = {
