@@ -365,35 +365,53 @@ def energy(particles: DataFrame, radius: float, core: float = 0.0) -> DataFrame:
     return pairs.groupBy("cell").agg(F.sum(1 / (d6 * d6) - 1 / d6).alias("energy"))
 
 
-def layout_step(x: np.ndarray, springs: np.ndarray, strength: float, repulsion: float, radius: float, dt: float) -> np.ndarray:
-    """One explicit step: springs of length 1 on pairs, repulsion of all within ``radius``."""
+#: Pairs of particles whose differences are held at once.
+PAIRS_HELD = 1_000_000
+
+
+def _row_blocks(n: int) -> list[slice]:
+    step = max(1, PAIRS_HELD // max(1, n))
+    return [slice(a, a + step) for a in range(0, n, step)]
+
+
+def layout_forces(x: np.ndarray, springs: np.ndarray, spring: float = 1.0, repulsion: float = 1.0, length: float = 1.0, radius: float = 2.0) -> np.ndarray:
+    """Forces of springs of a length on pairs, one for each row, and of a repulsion by 1 / d^2 of all within ``radius``."""
     force = np.zeros_like(x)
     if len(springs):
         i, j = springs.T
         d = x[j] - x[i]
         r = np.linalg.norm(d, axis=1, keepdims=True)
-        f = strength * (r - 1) * d / np.maximum(r, 1e-9)
+        f = np.where(r > 0, spring * (r - length) * d / np.where(r > 0, r, 1), 0)
         np.add.at(force, i, f)
         np.add.at(force, j, -f)
-    d = x[None] - x[:, None]
-    r = np.sqrt((d * d).sum(2))
-    close = (r > 0) & (r < radius)
-    force -= (d * np.where(close, repulsion * (radius - r) / np.maximum(r, 1e-9), 0)[:, :, None]).sum(1)
-    return x + dt * force
+    for at in _row_blocks(len(x)):
+        d = x[None] - x[at, None]
+        r = np.sqrt((d * d).sum(2))
+        size = np.where((r > 0) & (r < radius), repulsion / (r * r + 1e-10) / np.where(r > 0, r, 1), 0)
+        force[at] -= np.einsum("ijk,ij->ik", d, size)
+    return force
+
 
+def layout(particles: DataFrame, pairs: DataFrame, steps: int = 1000, spring: float = 1.0, repulsion: float = 1.0, radius: float = 2.0, rate: float = 0.01, tolerance: float = 1e-6) -> DataFrame:
+    """Force-directed positions of each cell's particles; each row of ``pairs`` (cell, chrom1, pos1, chrom2, pos2) is a spring.
 
-def layout(particles: DataFrame, pairs: DataFrame, steps: int = 50, strength: float = 0.1, repulsion: float = 0.05, radius: float = 1.5, dt: float = 0.5) -> DataFrame:
-    """Force-directed positions of each cell's particles; springs join the particles of ``pairs`` (cell, chrom1, pos1, chrom2, pos2) and chain neighbours."""
+    Every 100 steps the sum of squared forces is compared with the one before; within ``tolerance`` the steps end.
+    """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(["chrom", "pos"]).reset_index(drop=True)
-        index = {k: i for i, k in enumerate(zip(left["chrom"], left["pos"], strict=True))}
-        chain = [(i, i + 1) for i in range(len(left) - 1) if left["chrom"][i] == left["chrom"][i + 1]]
+        index = {k: i for i, k in reversed(list(enumerate(zip(left["chrom"], left["pos"], strict=True))))}
         contacts = [(index.get((a, p)), index.get((b, q))) for a, p, b, q in zip(right["chrom1"], right["pos1"], right["chrom2"], right["pos2"], strict=True)]
-        springs = np.array(sorted({*chain, *((i, j) for i, j in contacts if i is not None and j is not None and i != j)}), np.int64).reshape(-1, 2)
-        x = left[list(AXES)].to_numpy(float)
-        for _ in range(steps):
-            x = layout_step(x, springs, strength, repulsion, radius, dt)
+        springs = np.array(sorted((i, j) for i, j in contacts if i is not None and j is not None and i != j), np.int64).reshape(-1, 2)
+        x, last = left[list(AXES)].to_numpy(float).copy(), math.inf
+        for t in range(steps):
+            force = layout_forces(x, springs, spring, repulsion, 1.0, radius)
+            x += rate * force
+            if t % 100 == 0:
+                now = float((force * force).sum())
+                if abs(last - now) < tolerance:
+                    break
+                last = now
         return pd.DataFrame({"cell": left["cell"], "chrom": left["chrom"], "pos": left["pos"], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
 
     a = particles.select("cell", "chrom", "pos", *[F.col(c).cast("double").alias(c) for c in AXES])
@@ -401,45 +419,76 @@ def layout(particles: DataFrame, pairs: DataFrame, steps: int = 50, strength: fl
     return a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(run, "cell string, chrom string, pos bigint, x double, y double, z double")
 
 
-def _energy(x: np.ndarray) -> tuple[float, np.ndarray]:
-    d = x[:, None] - x[None]
-    r2 = (d * d).sum(2)
-    np.fill_diagonal(r2, np.inf)
-    i6 = 1 / np.maximum(r2, 0.25) ** 3
-    return float((i6 * i6 - i6).sum() / 2), ((-12 * i6 * i6 + 6 * i6) / np.maximum(r2, 0.25))[:, :, None].__mul__(d).sum(1)
+def _energy(x: np.ndarray) -> float:
+    """Sum over pairs of 1 / d^12 - 1 / d^6; a particle and itself add 0."""
+    total = 0.0
+    for at in _row_blocks(len(x)):
+        d = x[at, None] - x[None]
+        d6 = (d * d).sum(2) ** 3
+        total += float((1 / (d6 * d6 + 1e-10) - 1 / (d6 + 1e-10)).sum())
+    return total / 2
 
 
-def optimise(particles: DataFrame, method: str = "gradient", rounds: int = 50, rate: float = 0.01, seed: int = 0) -> DataFrame:
-    """Coordinates of lower energy in each cell: gradient descent, annealing or a genetic search, seeded; never worse than at the start."""
+def _gradient(x: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(x)
+    for at in _row_blocks(len(x)):
+        d = x[at, None] - x[None]
+        r = np.sqrt((d * d).sum(2))
+        size = np.where(r > 0, (-12 / (r**13 + 1e-10) + 6 / (r**7 + 1e-10)) / np.where(r > 0, r, 1), 0)
+        out[at] = np.einsum("ijk,ij->ik", d, size)
+    return out
+
+
+def _anneal(x: np.ndarray, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """The best of ``rounds`` moves by normal steps of 0.1; the temperature falls from 1000 by 0.95 a step, to 1."""
+    best, least, e, temperature = x, _energy(x), _energy(x), 1000.0
+    for _ in range(rounds):
+        new = x + rng.normal(0, 0.1, x.shape)
+        f = _energy(new)
+        if f < e or rng.random() < math.exp(-(f - e) / temperature):
+            x, e = new, f
+            if e < least:
+                best, least = x, e
+        temperature = max(1.0, temperature * 0.95)
+    return best
+
+
+def _breed(x: np.ndarray, rounds: int, population: int, rng: np.random.Generator) -> np.ndarray:
+    """The fittest, by 1 / energy, after ``rounds`` generations: tournaments of three, single-point crossover (0.8), mutation (0.1)."""
+    fitness = lambda crowd: [1 / (_energy(c) + 1e-10) for c in crowd]
+    crowd = [x + rng.normal(0, 0.5, x.shape) for _ in range(population)]
+    for _ in range(rounds):
+        fit = fitness(crowd)
+        picked = [rng.choice(population, 3, replace=False) for _ in range(population)]
+        new = [crowd[max(p, key=lambda i: fit[i])].copy() for p in picked]
+        for i in range(0, population - 1, 2):
+            if rng.random() < 0.8 and len(x) > 1:
+                at = rng.integers(1, len(x))
+                new[i][at:], new[i + 1][at:] = new[i + 1][at:].copy(), new[i][at:].copy()
+            for c in (i, i + 1):
+                if rng.random() < 0.1:
+                    new[c] += rng.normal(0, 0.1, x.shape)
+        crowd = new
+    return crowd[int(np.argmax(fitness(crowd)))]
+
+
+def optimise(particles: DataFrame, method: str = "gradient", rounds: int | None = None, rate: float = 0.01, population: int = 50, seed: int = 0) -> DataFrame:
+    """Coordinates of each cell after gradient descent, annealing (1000 rounds each) or a genetic search (100 generations), seeded."""
     if method not in ("gradient", "annealing", "genetic"):
         raise ValueError(f"unknown method {method!r}")
+    turns = rounds if rounds is not None else 100 if method == "genetic" else 1000
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["chrom", "pos"])
         rng = np.random.default_rng([seed, *str(key[0]).encode()])
-        x = pdf[list(AXES)].to_numpy(float)
-        best, least = x, _energy(x)[0]
-        if method == "gradient":
-            for _ in range(rounds):
-                e, g = _energy(x)
-                if e < least:
-                    best, least = x, e
-                x = x - rate * np.clip(g, -10, 10)
-        elif method == "annealing":
-            e = least
-            for i in range(rounds):
-                new = x + rng.normal(0, rate, x.shape)
-                f = _energy(new)[0]
-                if f < e or rng.random() < math.exp(-(f - e) / max(1e-9, 1 - i / rounds)):
-                    x, e = new, f
-                if e < least:
-                    best, least = x, e
-        else:
-            crowd = [x] + [x + rng.normal(0, rate, x.shape) for _ in range(9)]
-            for _ in range(rounds):
-                crowd = sorted(crowd, key=lambda c: _energy(c)[0])[:5]
-                crowd += [np.where(rng.random((len(x), 1)) < 0.5, crowd[rng.integers(5)], crowd[rng.integers(5)]) + rng.normal(0, rate, x.shape) for _ in range(5)]
-            best = min(crowd, key=lambda c: _energy(c)[0])
-        return pdf.assign(**{a: best[:, i] for i, a in enumerate(AXES)})[["cell", "chrom", "pos", *AXES]]
+        x = pdf[list(AXES)].to_numpy(float).copy()
+        with np.errstate(over="ignore"):
+            if method == "gradient":
+                for _ in range(turns):
+                    x -= rate * _gradient(x)
+            else:
+                x = _anneal(x, turns, rng) if method == "annealing" else _breed(x, turns, population, rng)
+        return pdf.assign(**{a: x[:, i] for i, a in enumerate(AXES)})[["cell", "chrom", "pos", *AXES]]
 
     a = particles.select("cell", "chrom", "pos", *[F.col(c).cast("double").alias(c) for c in AXES])
     return a.groupBy("cell").applyInPandas(run, a.schema)

@@ -117,13 +117,13 @@ def energy(tdg: DataFrame) -> DataFrame:
 @query("layout", None, "cells3d")
 def layout(cells: DataFrame) -> DataFrame:
     pairs = cells.select("cell", F.col("chrom").alias("chrom1"), F.col("pos").alias("pos1"), F.col("chrom").alias("chrom2"), (F.col("pos") + 100_000).alias("pos2"))
-    return md.layout(cells, pairs, 10)
+    return md.layout(cells, pairs)
 
 
 def _optimised(method: str) -> None:
     @query(f"optimise_{method}", None, "cells3d")
     def run(cells: DataFrame) -> DataFrame:
-        return md.optimise(cells, method, 5)
+        return md.optimise(cells, method)
 
 
 for _name in ("gradient", "annealing", "genetic"):
