@@ -95,10 +95,17 @@ def slice_covariance(particles: DataFrame, region: Region, width: float, slices:
     return membership_covariance(member, ["cell", "_s"])
 
 
-def sphere_covariance(particles: DataFrame, region: Region, radius: float, spheres: int, seed: int = 0) -> DataFrame:
-    """The same over balls around particles of the region, drawn from all cells by a seeded hash."""
+def sphere_covariance(particles: DataFrame, region: Region, radius: float, spheres: int = 2000, seed: int = 0) -> DataFrame:
+    """The same over balls: each draws, by a seeded hash of its number, a cell and then one of the cell's particles in the region, with replacement."""
     inside = _bounded(particles, region)
-    drawn = inside.orderBy(F.xxhash64(F.lit(seed), "cell", "pos"), "cell", "pos").limit(spheres).select("cell", F.col("pos").alias("_s"), *[F.col(c).alias(f"r_{c}") for c in "xyz"])
+    cells = sorted(r["cell"] for r in inside.select("cell").distinct().collect())
+    if not cells:
+        return membership_covariance(inside.select("cell", F.lit(0).alias("_s"), "pos", F.lit(0.0).alias("m")), ["cell", "_s"])
+    draw = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), n)
+    balls = particles.sparkSession.range(spheres).select(F.col("id").alias("_s"), F.get(F.lit(cells), draw(1, F.lit(len(cells))).cast("int")).alias("cell"), draw(2, F.lit(1 << 40)).alias("_u"))
+    centers = inside.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("_p"))
+    one = F.get("_p", F.pmod("_u", F.size("_p")).cast("int"))
+    drawn = balls.join(centers, "cell").select("cell", "_s", *[one[c].alias(f"r_{c}") for c in "xyz"])
     member = inside.join(F.broadcast(drawn), "cell").select("cell", "_s", "pos", (F.sqrt(squared_distance()) <= radius).cast("double").alias("m"))
     return membership_covariance(member, ["cell", "_s"])
 

@@ -286,7 +286,7 @@ def gam_covariance(cells: DataFrame) -> DataFrame:
 
 @query("sprite_covariance", None, "cells3d")
 def sprite_covariance(cells: DataFrame) -> DataFrame:
-    return mc.sphere_covariance(cells, REGION, 3.0, 100)
+    return mc.sphere_covariance(cells, REGION, 3.0)
 
 
 @query("membership_covariance", "m AS (SELECT cell, pos, CASE WHEN value > 500 THEN 1.0e0 ELSE 0 END AS m FROM loci WHERE chrom = 'chr1') SELECT a.pos AS pos1, b.pos AS pos2, covar_pop(a.m, b.m) AS value, count(*) AS n FROM m a JOIN m b ON a.cell = b.cell AND a.pos <= b.pos GROUP BY ALL", "loci")
