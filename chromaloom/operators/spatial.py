@@ -259,10 +259,11 @@ def rotate(particles: DataFrame, degrees: tuple[float, float, float], transposed
     return particles.withColumns({a: sum((F.col(b) * F.lit(entry(i, j)) for j, b in enumerate(AXES)), F.lit(0.0)) for i, a in enumerate(AXES)})
 
 
-def pairwise_distances(a: DataFrame, b: DataFrame, metric: str = "euclidean", keys: list[str] | None = None) -> DataFrame:
+def pairwise_distances(a: DataFrame, b: DataFrame, metric: str = "euclidean", keys: list[str] | None = None, blocks: int = 1) -> DataFrame:
     """All distances between two frames of particles within a cell: euclidean, manhattan or chebyshev.
 
     Every pair is the result itself; give a bounded ``b``, such as reference points.
+    ``blocks`` deals ``a`` out within a cell and copies ``b`` to each block.
     """
     keys = ["cell"] if keys is None else keys
     left, _ = _sides(a, keys, ["chrom", "pos"], [])
@@ -271,7 +272,10 @@ def pairwise_distances(a: DataFrame, b: DataFrame, metric: str = "euclidean", ke
     value = {"euclidean": F.sqrt(squared_distance()), "manhattan": d[0] + d[1] + d[2], "chebyshev": F.greatest(*d)}
     if metric not in value:
         raise ValueError(f"unknown metric {metric!r}")
-    return left.join(right, keys).select(*keys, "chrom", "pos", "r_chrom", "r_pos", value[metric].alias("distance"))
+    if blocks > 1:
+        left = left.withColumn("_block", F.pmod(F.xxhash64("chrom", "pos"), F.lit(blocks)))
+        right = right.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return left.join(right, [*keys, "_block"] if blocks > 1 else keys).select(*keys, "chrom", "pos", "r_chrom", "r_pos", value[metric].alias("distance"))
 
 
 def feature_distances(particles: DataFrame, feature: str, refs: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:

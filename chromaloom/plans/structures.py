@@ -291,6 +291,16 @@ for _name, _sql in (("euclidean", f"sqrt({D2})"), ("manhattan", "abs(a.x - b.x)
     _pairwise(_name, _sql)
 
 
+def _pairwise_all(metric: str) -> None:
+    @query(f"pairwise_all_{metric}", None, "tdg")
+    def run(tdg: DataFrame) -> DataFrame:
+        return sp.pairwise_distances(tdg, tdg, metric, blocks=64).drop("cell")
+
+
+for _name in ("euclidean", "manhattan", "chebyshev"):
+    _pairwise_all(_name)
+
+
 @query("feature_distances", f"{CENTER} SELECT chrom, pos, radial AS distance FROM rad WHERE feature > 0", "tdg")
 def feature_distances(tdg: DataFrame) -> DataFrame:
     return sp.feature_distances(tdg, "feature").drop("cell")
