@@ -132,9 +132,11 @@ for _name in ("gradient", "annealing", "genetic"):
 
 @query("gene_regression", None, "rna", "loci")
 def gene_regression(rna: DataFrame, loci: DataFrame) -> DataFrame:
-    wide = loci.where("chrom = 'chr1' AND pos < 100000").withColumn("k", F.concat(F.lit("f"), (F.col("pos") / R).cast("int"))).groupBy("cell").pivot("k", ["f0", "f1", "f2", "f3", "f4"]).agg(F.first("value") / 1000).na.fill(0.0)
+    # a locus is a column: bins of a genome, ordered by chrom and pos like the weights
+    names = [f"{r['chrom']}_{r['pos']}" for r in loci.select("chrom", "pos").distinct().orderBy("chrom", "pos").collect()]
+    wide = loci.withColumn("k", F.concat_ws("_", "chrom", "pos")).groupBy("cell").pivot("k", names).agg(F.first("value") / 1000).na.fill(0.0)
     rows = rna.groupBy("cell", "gene").agg(F.sum("umi").alias("umi")).join(wide, "cell")
-    return md.gene_regression(rows, ["f0", "f1", "f2", "f3", "f4"])
+    return md.gene_regression(rows, names)
 
 
 @query("bootstrap_shares", None, "cells3d")

@@ -18,3 +18,10 @@ def test_pairwise_all_has_every_ordered_pair(spark, metric, norm):
     assert len({c for c, _ in p}) == 10 and len(got) == len(p) ** 2
     for a, b in [(a, b) for a in p for b in list(p)[::50]]:
         assert got[*a, *b] == pytest.approx(np.linalg.norm(p[a] - p[b], norm), abs=1e-9)
+
+
+def test_gene_regression_has_a_weight_for_every_locus(spark):
+    loci = view(spark, DATA, "loci").select("chrom", "pos").distinct().count()
+    got = registry.queries()["gene_regression"](spark, DATA).collect()
+    assert loci > 100 and {len(r["weights"]) for r in got} == {loci} and len(got) == 60
+    assert any(w > 0 for r in got for w in r["weights"][5:])
