@@ -162,11 +162,13 @@ def rmsd(a: DataFrame, b: DataFrame) -> float | None:
     return kabsch_from(cross, squares, r["n"])[1]
 
 
-def gene_abc_correlation(expression: DataFrame, scores: DataFrame) -> DataFrame:
-    """Spearman correlation, across cells, of a gene's expression (cell, gene, umi) with each bin's score (cell, pos, score)."""
+def gene_abc_correlation(expression: DataFrame, scores: DataFrame, locus: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Spearman correlation, across cells, of a gene's expression (cell, gene, umi) with each bin's score (cell, locus, score)."""
+    by = ["gene", *locus]
     joined = expression.join(scores, "cell")
-    ranked = joined.select("gene", "pos", average_rank("umi", ["gene", "pos"]).alias("_a"), average_rank("score", ["gene", "pos"]).alias("_b"))
-    return ranked.groupBy("gene", "pos").agg(F.corr("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"))
+    ranked = joined.select(*by, average_rank("umi", by).alias("_a"), average_rank("score", by).alias("_b"))
+    rho = F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))  # null where one of them is constant
+    return ranked.groupBy(*by).agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def gini(values: DataFrame, by: list[str]) -> DataFrame:

@@ -328,6 +328,12 @@ def gene_abc_correlation(rna: DataFrame, loci: DataFrame) -> DataFrame:
     return mc.gene_abc_correlation(expression, loci.where("chrom = 'chr1'").select("cell", "pos", F.col("value").alias("score")))
 
 
+@query("gene_abc_correlation_all", None, "rna", "loci")
+def gene_abc_correlation_all(rna: DataFrame, loci: DataFrame) -> DataFrame:
+    expression = rna.groupBy("cell", "gene").agg(F.sum("umi").alias("umi"))
+    return mc.gene_abc_correlation(expression, loci.select("cell", "chrom", "pos", F.col("value").alias("score")), ("chrom", "pos"))
+
+
 @query("gini", "r AS (SELECT cell, value, row_number() OVER (PARTITION BY cell ORDER BY value) AS i, count(*) OVER (PARTITION BY cell) AS n FROM loci) SELECT cell, n, (2 * sum(i * value) / (n * sum(value)) - (n + 1) * 1.0e0 / n) * n / (n - 1) AS gini FROM r GROUP BY cell, n", "loci")
 def gini(loci: DataFrame) -> DataFrame:
     return mc.gini(loci, ["cell"])

@@ -25,3 +25,23 @@ def test_gene_regression_has_a_weight_for_every_locus(spark):
     got = registry.queries()["gene_regression"](spark, DATA).collect()
     assert loci > 100 and {len(r["weights"]) for r in got} == {loci} and len(got) == 60
     assert any(w > 0 for r in got for w in r["weights"][5:])
+
+
+def test_gene_abc_correlation_all_equals_brute_force(spark):
+    umi, score = {}, {}
+    for r in view(spark, DATA, "rna").collect():
+        umi[r["gene"], r["cell"]] = umi.get((r["gene"], r["cell"]), 0) + r["umi"]
+    for r in view(spark, DATA, "loci").collect():
+        score.setdefault((r["chrom"], r["pos"]), {})[r["cell"]] = r["value"]
+    rank = lambda v: [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+    want = {}
+    for g in {g for g, _ in umi}:
+        for at, s in score.items():
+            if both := [(umi[g, c], s[c]) for c in s if (g, c) in umi]:
+                a, b = rank([x for x, _ in both]), rank([y for _, y in both])
+                want[g, *at] = (len(both), np.corrcoef(a, b)[0, 1] if len(set(a)) > 1 and len(set(b)) > 1 else None)
+    got = {(r["gene"], r["chrom"], r["pos"]): r for r in registry.queries()["gene_abc_correlation_all"](spark, DATA).collect()}
+    assert len({g for g, _, _ in got}) == 60 and len({c for _, c, _ in got}) == 3 and got.keys() == want.keys()
+    for k, (n, rho) in want.items():
+        assert got[k]["n"] == n
+        assert got[k]["rho"] == (None if rho is None else pytest.approx(rho, abs=1e-9))
