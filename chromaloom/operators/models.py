@@ -533,7 +533,7 @@ def gene_regression(rows: DataFrame, features: list[str], alpha: float = 0.01, n
     return rows.groupBy("gene").applyInPandas(run, "gene string, weights array<double>, intercept double, r double")
 
 
-def bootstrap_shares(rows: DataFrame, weights: dict[str, float], draws: int = 500, size: int = 30, least: int = 40, seed: int = 0) -> DataFrame:
+def bootstrap_shares(rows: DataFrame, weights: dict[str, float], draws: int = 5000, size: int = 30, least: int = 40, seed: int = 0) -> DataFrame:
     """By cluster and feature the share of bootstrap means of w (x - mean x) above 0; zeros for clusters of fewer than ``least`` cells.
 
     ``rows``: cluster, cell and the features.

@@ -57,7 +57,7 @@ def hull_volumes(tdg: DataFrame) -> DataFrame:
 
 @query("spatial_autocorrelation", None, "cells3d")
 def spatial_autocorrelation(cells: DataFrame) -> DataFrame:
-    return md.corrected_correlation(cells, 0.5, 3.0, 5)
+    return md.corrected_correlation(cells, 0.5, 10.0)
 
 
 @query("dbscan", None, "tdg")
@@ -141,7 +141,7 @@ def gene_regression(rna: DataFrame, loci: DataFrame) -> DataFrame:
 
 @query("bootstrap_shares", None, "cells3d")
 def bootstrap_shares(cells: DataFrame) -> DataFrame:
-    return md.bootstrap_shares(cells.select(F.col("chrom").alias("cluster"), F.concat("cell", F.lit("_"), "pos").alias("cell"), "x", "y"), {"x": 1.0, "y": 0.5}, 100)
+    return md.bootstrap_shares(cells.select(F.col("chrom").alias("cluster"), F.concat("cell", F.lit("_"), "pos").alias("cell"), "x", "y"), {"x": 1.0, "y": 0.5})
 
 
 @query("principal_components", None, "tdg")

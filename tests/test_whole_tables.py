@@ -45,3 +45,10 @@ def test_gene_abc_correlation_all_equals_brute_force(spark):
     for k, (n, rho) in want.items():
         assert got[k]["n"] == n
         assert got[k]["rho"] == (None if rho is None else pytest.approx(rho, abs=1e-9))
+
+
+def test_autocorrelation_and_bootstrap_take_the_reference_range_and_draws(spark):
+    shells = registry.queries()["spatial_autocorrelation"](spark, DATA).groupBy("cell").count().collect()
+    assert len(shells) == 5 and {r["count"] for r in shells} == {20}  # up to 10.0 by 0.5
+    shares = [r["share"] for r in registry.queries()["bootstrap_shares"](spark, DATA).collect()]
+    assert any(abs(s * 100 - round(s * 100)) > 1e-6 for s in shares) and all(abs(s * 5000 - round(s * 5000)) < 1e-6 for s in shares)
