@@ -1,20 +1,36 @@
 """Main text of HTML pages by scoring the document tree.
 
 A small tolerant parser builds the tree.  Each text block passes points, for
-its length and its commas, to its parent and in part to higher ancestors;
-containers are discounted by the share of their text that is in links and by
-what their tag, class, id and role say.  The best container is kept, with those
-of its siblings that score like content.
+its length and its commas, to the container it stands in and in part to higher
+ones; containers are discounted by the share of their text that is in links and
+favoured by what their tag, class, id and role say.  The best container is kept,
+with those of its siblings that score like content, and the page's heading if
+it stands before it.
+
+Menus, adverts, notices and the like are told by tags and by the names of
+containers; names of paragraphs, headings and inline elements are not looked
+at, but for whole names that say advert or cookie notice.  If nothing but parts
+with such names holds text, the names are not believed and the page is read
+without them.
+
+Every step costs a constant or a logarithm for each tag, however deep or
+misnested the page.
 
 Defined cases: null or empty html, or a page without text, gives an empty
 string; unclosed, misnested and unknown tags are tolerated; white space inside
-a block becomes one space; blocks are joined by an empty line, in page order.
+a block becomes one space; blocks are joined by an empty line, in page order;
+of containers with equal scores the first in the page is kept; repeated rows
+are pages of their own; an empty table gives an empty result; further columns
+are left out unless ``keep`` names them, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -24,13 +40,17 @@ from .common import batches_of
 
 # The roles of HTML elements.
 VOID = frozenset("area base basefont br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math head nav header footer aside menu form button select option input label fieldset dialog canvas object audio video map datalist".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
+#: What these hold is no text even if they are never closed.
+SWALLOWING = frozenset({"script", "style"})
+DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg head nav header footer aside menu form button select option input label fieldset dialog canvas object audio video map datalist annotation annotation-xml".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body article main section div td center blockquote".split())
+#: Blocks that are texts rather than parts of a page: their names say nothing.
+TEXTS = HEADINGS | {"p", "pre", "hr", "caption", "figcaption", "summary", "address"}
 #: What an opening tag ends, up to the nearest of the fences.
 IMPLIED = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
@@ -43,126 +63,167 @@ IMPLIED = {
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-#: An end tag does not reach beyond these.
-FENCES = frozenset({"table", "td", "th", "html", "body"})
-
-#: Names of parts that are not the article, as whole words of class, id or role.
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|adslot|banner|breadcrumbs?|comments?|comment-?list|disqus|respond|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|"
-    r"sidebar|side|widget|menu|menubar|nav|navbar|navigation|navi|footer|foot|masthead|header|topbar|toolbar|share|sharing|social|related|recommended|recommendations|promo|promoted|promotion|sponsor|sponsored|sponsors|pagination|pager|tags|toc|login|search|skip|contentinfo|complementary|dialog|form|legal|copyright|outbrain|taboola)(?:$|[\s_-])",
-    re.I,
+#: An end tag of an inline element does not reach beyond these.
+FENCES = ("table", "td", "th")
+
+# Words that name parts of pages.
+UNLIKELY = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner breadcrumb breadcrumbs comment comments commentlist disqus
+    respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar side widget
+    menu menubar nav navbar navigation navi footer foot masthead header topbar toolbar share sharing social related recommended recommendations promo promoted
+    promotion sponsor sponsored sponsors pagination pager tags toc login search skip contentinfo complementary dialog form legal copyright outbrain taboola""".split()
 )
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
-
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Of these, what no article's body bears, whatever else it is called.
+PLAINLY = frozenset("ad ads advert adverts advertisement advertisements advertising comment comments commentlist sidebar nav navbar navigation menu menubar footer cookie cookies newsletter promo promoted promotion sponsor sponsored sponsors related share sharing social".split())
+LIKELY = frozenset("article articlebody body content entry main page post story text blog".split())
+#: A name that begins so, or is joined so, tells what is beside the text: has-sidebar, content-with-nav.
+BESIDE = frozenset("has no with without is open show hide".split())
+#: Names of paragraphs and inline elements that are adverts or notices.
+LEAF = frozenset("ad ads advert advertisement sponsored promo cookie-notice cookie-banner cookie-consent".split())
+
+_TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    r"|</?([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_WORDS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "gone", "score", "chars", "linked")
+    """An element.  ``up`` is the nearest container around it, ``enter`` and ``leave`` frame its place in page order."""
+
+    __slots__ = ("tag", "parent", "children", "names", "gone", "up", "inside", "score", "chars", "linked", "enter", "leave")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", gone: bool = False):
         self.tag, self.parent, self.names, self.gone = tag, parent, names, gone
         self.children: list[Node | str] = []
-        self.score, self.chars, self.linked = 0.0, 0, 0
-
-
-def _described(attributes: str) -> tuple[str, bool]:
-    """The names in class, id and role; whether the element is hidden."""
+        self.score, self.chars, self.linked, self.enter, self.leave = 0.0, 0, 0, 0, 0
+        self.up: Node | None = None if parent is None else parent if parent.tag in CONTAINERS else parent.up
+        # in an article: a header there holds the article's headings
+        self.inside: bool = parent is not None and (parent.inside or parent.tag in ("article", "main") or parent.tag in CONTAINERS and bool(parent.names) and told(parent.names)[1])
+
+
+@lru_cache(maxsize=4096)
+def told(names: str) -> tuple[bool, bool, bool, bool]:
+    """What class, id and role say: unlikely, likely, plainly unlikely; and whether a whole name marks an advert."""
+    unlikely = likely = plainly = leaf = False
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        leaf = leaf or name.lower() in LEAF
+        if not BESIDE.isdisjoint(words[:-1]):
+            first = next(i for i, w in enumerate(words) if w in BESIDE)
+            words = words[:first]
+        likely = likely or not LIKELY.isdisjoint(words)
+        unlikely = unlikely or not UNLIKELY.isdisjoint(words)
+        plainly = plainly or not PLAINLY.isdisjoint(words)
+    return unlikely, likely, plainly, leaf
+
+
+def described(attributes: str) -> tuple[str, bool]:
+    """The names in class, id, role and itemprop; whether the element is hidden."""
     names, hidden = [], False
     for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id", "role", "itemprop"):
-            names.append(value)
-        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            hidden = True
+        key = key.lower()
+        if key in ("class", "id", "role", "itemprop", "hidden", "aria-hidden", "style"):
+            value = unescape(value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value)
+            if key in ("class", "id", "role", "itemprop"):
+                names.append(value)
+            elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _UNSEEN.search(value):
+                hidden = True
     return " ".join(names), hidden
 
 
-def parse(html: str) -> Node:
-    """A tree of elements and (undecoded) texts; dropped elements are marked, their content is left out."""
+def _by_name(tag: str, names: str) -> bool:
+    """A part of the page that its names rule out."""
+    unlikely, likely, plainly, leaf = told(names)
+    if tag in ("article", "main"):
+        return tag == "article" and not {"comment", "reply"}.isdisjoint(names.lower().split())
+    if tag not in BLOCKS or tag in TEXTS:
+        return leaf
+    return unlikely and not (likely and tag in CONTAINERS and not plainly)
+
+
+@lru_cache(maxsize=64)
+def _end_of(tag: str) -> re.Pattern[str]:
+    return re.compile(f"</{re.escape(tag)}(?![^\\s/>])[^>]*>?", re.I)
+
+
+def parse(html: str, by_name: bool = True) -> Node:
+    """A tree of elements and decoded texts; elements that hold no article text are marked gone."""
     root = Node("html", None)
-    here, at = root, 0
-    scan = _TAG.search
+    path = [root]  # the open elements
+    opened: dict[str, list[int]] = defaultdict(list)  # their places in ``path``, by tag
+    blocks = [0]  # places of open blocks other than paragraphs
+
+    def close(to: int) -> None:
+        while len(path) > to:
+            node = path.pop()
+            opened[node.tag].pop()
+            if blocks[-1] == len(path):
+                blocks.pop()
+
+    endless: set[str] = set()
+    at, scan = 0, _TAG.search
     while m := scan(html, at):
         if m.start() > at:
-            here.children.append(html[at : m.start()])
+            text = html[at : m.start()]
+            path[-1].children.append(unescape(text) if "&" in text else text)
         at = m.end()
         tag = m[1]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                path[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if html[m.start() + 1] == "/":
-            node = here
-            while node is not None and node.tag != tag and not (node.tag in FENCES and tag not in BLOCKS):
-                node = node.parent
-            if node is not None and node.tag == tag and node.parent is not None:
-                here = node.parent
+            places = opened.get(tag)
+            fence = -1 if tag in BLOCKS else max((opened[f][-1] for f in FENCES if opened.get(f)), default=-1)
+            if places and places[-1] > fence:
+                close(places[-1])
             elif tag == "p":
-                here.children.append(Node("p", here))
+                path[-1].children.append(Node("p", path[-1]))
             continue
+        closed = m[2].endswith("/")
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?![^\\s/>])[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if tag == "svg" and closed or tag in endless:
+                continue
+            if end := _end_of(tag).search(html, at):
+                at = end.end()
+            elif tag in SWALLOWING:
+                at = len(html)
+            else:
+                endless.add(tag)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in ENDS_PARAGRAPH:
-            node = here
-            while node is not None and node.tag != "p" and (node.tag not in BLOCKS):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                here = node.parent
+        if tag in ENDS_PARAGRAPH and opened.get("p") and opened["p"][-1] > blocks[-1]:
+            close(opened["p"][-1])
         if tag in IMPLIED:
-            ended, fence = IMPLIED[tag]
-            node, to = here, None
-            while node is not None and node.tag not in fence:
-                if node.tag in ended:
-                    to = node
-                node = node.parent
-            if to is not None:
-                here = to.parent
-        names, hidden = _described(m[2]) if m[2] and "=" in m[2] or "hidden" in m[2] else ("", False)
-        if names and tag not in ("article", "main") and UNLIKELY.search(names) and not (LIKELY.search(names) and tag in CONTAINERS and not _plainly_unlikely(names)):
-            hidden = True
-        node = Node(tag, here, names, hidden or tag in DROPPED)
-        here.children.append(node)
-        if tag not in VOID and not m[2].endswith("/") or tag in BLOCKS and tag != "hr":
-            here = node
+            ended, fences = IMPLIED[tag]
+            fence = max((opened[f][-1] for f in fences if opened.get(f)), default=0)
+            to = len(path)
+            for name in ended:
+                if places := opened.get(name):
+                    first = bisect_right(places, fence)
+                    if first < len(places):
+                        to = min(to, places[first])
+            close(to)
+        names, hidden = described(m[2]) if m[2] else ("", False)
+        node = Node(tag, path[-1], names, hidden or tag in DROPPED or by_name and bool(names) and _by_name(tag, names))
+        path[-1].children.append(node)
+        if tag not in VOID and not closed or tag in BLOCKS and tag != "hr":
+            opened[tag].append(len(path))
+            if tag in BLOCKS and tag != "p":
+                blocks.append(len(path))
+            path.append(node)
     if at < len(html):
-        here.children.append(html[at:])
+        path[-1].children.append(unescape(html[at:]))
     return root
 
 
-def _plainly_unlikely(names: str) -> bool:
-    """A name that no article body bears, whatever else it is called."""
-    return bool(re.search(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|sidebar|nav\w*|menu|footer|cookies?|newsletter|promo\w*|sponsor\w*|related|share|social)(?:$|[\s_-])", names, re.I))
-
-
-def _header_in_article(node: Node) -> bool:
-    """A header inside an article holds its headings; its other texts stay out."""
-    up = node.parent
-    while up is not None:
-        if up.tag in ("article", "main") or (up.names and up.tag in CONTAINERS and LIKELY.search(up.names)):
-            return True
-        up = up.parent
-    return False
-
-
-def _beside_heading(owner: Node) -> bool:
-    """In a header, but not in one of its headings."""
-    while owner is not None:
-        if owner.tag in HEADINGS:
-            return False
-        if owner.tag == "header":
-            return True
-        owner = owner.parent
-    return False
-
-
 class Block:
     __slots__ = ("text", "owner", "linked", "heading")
 
@@ -171,28 +232,38 @@ class Block:
 
 
 def blocks_of(root: Node) -> list[Block]:
-    """Text blocks in page order, each with the block element it stands in and how many characters are in links."""
+    """Text blocks in page order, each with the block element it stands in and how many characters are in links.
+
+    Counts the characters of every element on the way, and numbers the elements.
+    """
     out: list[Block] = []
     parts: list[str] = []
-    linked, headers = 0, False
+    linked = number = 0
 
-    def flush(owner: Node) -> None:
-        nonlocal parts, linked
+    def flush(owner: Node, skip: bool) -> None:
+        nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", unescape("".join(parts))).strip()
-            if text and not (headers and _beside_heading(owner)):
-                out.append(Block(text, owner, min(linked, len(text)), owner.tag in HEADINGS))
-            parts, linked = [], 0
-
-    # (node, next child, owner, in a link): no recursion, however deep the page
-    stack: list[list] = [[root, 0, root, False]]
+            if not skip and (text := _SPACE.sub(" ", "".join(parts)).strip()):
+                n = min(linked, len(text))
+                out.append(Block(text, owner, n, owner.tag in HEADINGS))
+                owner.chars += len(text)
+                owner.linked += n
+            parts.clear()
+            linked = 0
+
+    # (node, next child, owner, in a link, beside a header's headings): no recursion, however deep the page
+    stack: list[list] = [[root, 0, root, False, False]]
     while stack:
         top = stack[-1]
-        node, i, owner, link = top
+        node, i, owner, link, beside = top
         if i == len(node.children):
             stack.pop()
             if node.tag in BLOCKS:
-                flush(owner)
+                flush(owner, beside)
+            node.leave = number
+            if node.parent is not None:
+                node.parent.chars += node.chars
+                node.parent.linked += node.linked
             continue
         top[1] = i + 1
         child = node.children[i]
@@ -200,102 +271,118 @@ def blocks_of(root: Node) -> list[Block]:
             parts.append(child)
             if link:
                 linked += len(child)
-        elif child.gone and not (child.tag == "header" and _header_in_article(child) and not child.names):
+            continue
+        number += 1
+        child.enter = child.leave = number
+        in_header = child.tag == "header" and child.inside
+        if child.gone and not in_header or in_header and child.names and told(child.names)[2]:
             if child.tag in BLOCKS:
-                flush(owner)
+                flush(owner, beside)
             else:
                 parts.append(" ")
-        elif child.tag in ("br", "wbr", "img", "hr"):
-            parts.append(" " if child.tag != "wbr" else "")
+        elif child.tag in VOID:
             if child.tag == "hr":
-                flush(owner)
+                flush(owner, beside)
+            elif child.tag != "wbr":
+                parts.append(" ")
         elif child.tag in BLOCKS:
-            flush(owner)
-            headers = headers or child.tag == "header"
-            stack.append([child, 0, child, link])
+            flush(owner, beside)
+            stack.append([child, 0, child, link, child.tag not in HEADINGS and (beside or in_header)])
         else:
-            stack.append([child, 0, owner, link or child.tag == "a"])
-    flush(root)
+            stack.append([child, 0, owner, link or child.tag == "a", beside])
+    flush(root, False)
+    root.leave = number
     return out
 
 
-def _weight(node: Node) -> float:
-    """What tag and names add to a container's score."""
-    add = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "td": 1.0, "li": -3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}.get(node.tag, 0.0)
-    if node.names and LIKELY.search(node.names):
-        add += 15.0
-    return add
+# What a tag adds to a container's score; a likely name adds NAMED.
+WEIGHTS = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "td": 1.0}
+NAMED = 15.0
+#: Shares of a block's points that go to the container around it and to those further out.
+SHARES = (1.0, 1 / 2, 1 / 6, 1 / 9)
+COMMAS = re.compile("[,、，]")
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks joined by an empty line."""
-    if not html:
-        return ""
-    root = parse(html)
+def points_of(block: Block) -> float:
+    return 0.0 if block.heading else 1.0 + len(COMMAS.findall(block.text)) + min(len(block.text) / 100.0, 3.0)
+
+
+def scores(blocks: list[Block]) -> list[Node]:
+    """Containers that got points, with their scores set, links discounted, in the order in which they were met."""
+    found: dict[int, Node] = {}
+    for b in blocks:
+        points = points_of(b)
+        node = b.owner if b.owner.tag in CONTAINERS else b.owner.up
+        for share in SHARES:
+            if node is None:
+                break
+            if id(node) not in found:
+                found[id(node)] = node
+                node.score = WEIGHTS.get(node.tag, 0.0) + NAMED * (bool(node.names) and told(node.names)[1])
+            node.score += points * share
+            node = node.up
+    for node in found.values():
+        node.score *= 1 - density(node)
+    return list(found.values())
+
+
+def density(node: Node) -> float:
+    """The share of an element's characters that is in links."""
+    return node.linked / node.chars if node.chars else 0.0
+
+
+def _kept(best: Node) -> list[Node]:
+    """The best container and those of its siblings that are content like it."""
+    kept = [best]
+    if best.parent is None:
+        return kept
+    whole = best.tag in ("article", "main")
+    least = max(10.0, best.score * 0.2)
+    for x in best.parent.children:
+        if not isinstance(x, Node) or x is best or x.gone or not x.chars:
+            continue
+        alike = 0.2 * best.score if x.names and x.names == best.names else 0.0
+        good = x.tag == best.tag and x.score + alike >= least
+        if not whole and x.tag == "p":
+            good = good or x.chars > 80 and density(x) < 0.25 or density(x) == 0 and x.chars > 20
+        if not whole and x.tag in ("h1", "h2", "h3", "pre", "blockquote", "table", "ul", "ol", "dl", "figure") and density(x) < 0.25:
+            good = True
+        if good:
+            kept.append(x)
+    return kept
+
+
+def _read(html: str, by_name: bool) -> list[str]:
+    root = parse(html, by_name)
     blocks = blocks_of(root)
     if not blocks:
-        return ""
-    scored: dict[int, Node] = {}
-    for b in blocks:
-        points = 1.0 + b.text.count(",") + b.text.count("、") + b.text.count("，") + min(len(b.text) / 100.0, 3.0)
-        if b.heading:
-            points = 0.0
-        node, share = (b.owner if b.owner.tag in CONTAINERS else b.owner.parent), 1.0
-        depth = 0
-        up = b.owner
-        while up is not None:
-            up.chars += len(b.text)
-            up.linked += b.linked
-            up = up.parent
-        while node is not None and depth < 4:
-            if node.tag in CONTAINERS or node.parent is None:
-                if id(node) not in scored:
-                    scored[id(node)] = node
-                    node.score += _weight(node)
-                node.score += points * share
-                depth += 1
-                share = 0.5 if depth == 1 else 1.0 / (3 * depth)
-            node = node.parent
-    density = lambda n: n.linked / n.chars if n.chars else 0.0
-    final = {k: n.score * (1 - density(n)) for k, n in scored.items()}
-    best = max(scored.values(), key=lambda n: final[id(n)]) if scored else root
+        return []
+    best = max(scores(blocks) or [root], key=lambda n: n.score)
     # the article as a whole rather than a part of it
-    node = best.parent
+    node = best.up
     while node is not None:
-        if node.tag in ("article", "main") or (node.names and node.tag in CONTAINERS and LIKELY.search(node.names) and re.search(r"articlebody|article|entry|post", node.names, re.I)):
+        if node.tag in ("article", "main") or node.names and not {"articlebody", "article", "entry", "post"}.isdisjoint(w.lower() for w in _WORDS.findall(node.names)):
             best = node
-        node = node.parent
-    kept = {id(best)}
-    if best.parent is not None:
-        least = max(10.0, final.get(id(best), 0.0) * 0.2)
-        for x in best.parent.children:
-            if not isinstance(x, Node) or x is best or x.gone:
-                continue
-            alike = 0.2 * final.get(id(best), 0.0) if x.names and x.names == best.names else 0.0
-            good = final.get(id(x), 0.0) + alike >= least and x.tag == best.tag
-            if best.tag not in ("article", "main") and x.tag == "p" and x.chars:
-                good = good or (x.chars > 80 and density(x) < 0.25) or (density(x) == 0 and x.chars > 20)
-            if best.tag not in ("article", "main") and x.tag in ("h1", "h2", "pre", "blockquote", "table", "ul", "ol") and x.chars and density(x) < 0.25:
-                good = True
-            if good:
-                kept.add(id(x))
-
-    def inside(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in kept:
-                return True
-            node = node.parent
-        return False
-
-    known: dict[int, bool] = {}
-    out = []
-    for b in blocks:
-        key = id(b.owner)
-        if key not in known:
-            known[key] = inside(b.owner)
-        if known[key]:
-            out.append(b.text)
-    return "\n\n".join(out)
+        node = node.up
+    kept = sorted((n.enter, n.leave) for n in _kept(best))
+    starts = [a for a, _ in kept]
+
+    def inside(b: Block) -> bool:
+        i = bisect_right(starts, b.owner.enter) - 1
+        return i >= 0 and b.owner.enter <= kept[i][1]
+
+    taken = [i for i, b in enumerate(blocks) if inside(b)]
+    # the page's heading may stand before the container
+    if taken and not any(blocks[i].owner.tag == "h1" for i in taken):
+        taken = [i for i in range(taken[0]) if blocks[i].owner.tag == "h1"][-1:] + taken
+    return [blocks[i].text for i in taken]
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks joined by an empty line."""
+    if not html:
+        return ""
+    return "\n\n".join(_read(html, True) or _read(html, False))
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
