@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -21,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(taken: Iterable[str], wanted: Iterable[str]) -> list[str]:
+    """The ``wanted`` names, with underscores in front of those that are taken (letter case apart)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` would also fold other scripts, so it serves all-ASCII texts alone."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -32,15 +45,58 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set up only where the session names none."""
+    """The folder that all executors share: what the session names.
+
+    One is set up only for a local master, where driver and executors are one
+    process; on a cluster a folder of one machine would lose data, so that is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="corpus-shared-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Folders written by ``cut`` in each scope that is open, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders, wherever Spark can reach them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Folders that ``cut`` writes within it go at its end, but for those of frames passed through what it yields.
+
+    Only frames that are passed through may be used afterwards.
+    """
+    mine: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = cut(df)
+        kept.add(mine[-1])
+        return out
+
+    _scopes.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        remove(spark, [p for p in mine if p not in kept])
+        if _scopes:
+            _scopes[-1].extend(p for p in mine if p in kept)
+
+
 #: Bounds of what a Python worker is handed at once while ``cut`` runs.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -68,6 +124,8 @@ def cut(df: DataFrame, gather: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     if gather:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     with small_batches(spark):

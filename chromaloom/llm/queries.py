@@ -76,7 +76,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "source"])
-    return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "doc_failed", "host_rejected")
+    return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "doc_failed", "host_rejected", "host_risk")
 
 
 OP8_SQL = r"""
@@ -94,15 +94,20 @@ WITH t AS (
     cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     cast(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, cast(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN r ON w.doc_id = r.doc_id
-), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
-), d AS (
-  SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS doc_failed FROM f
-), h AS (SELECT source, count(*) AS n, sum(cast(doc_failed AS BIGINT)) AS k FROM d GROUP BY source
+), f AS (
+  SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, 100 * n_symbols > 10 * n_words AS f2, 100 * n_dup_lines > 20 * n_words AS f3, word_chars < 2 * n_words OR word_chars > 20 * n_words AS f4 FROM m
+), each_rule AS (
+  SELECT source, r, f FROM (SELECT source, unnest([0, 1, 2, 3, 4]) AS r, unnest([f0, f1, f2, f3, f4]) AS f FROM f)
+), h AS (SELECT source, r, count(*) AS n, sum(cast(f AS BIGINT)) AS k FROM each_rule GROUP BY source, r
 ), q AS (
-  SELECT sum(k)::DOUBLE / sum(n) AS mean, CASE WHEN coalesce(var_samp(k::DOUBLE / n), 0) = 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, avg(k::DOUBLE / n) * (1 - avg(k::DOUBLE / n)) / var_samp(k::DOUBLE / n) - 1)) END AS weight FROM h
-), bad AS (SELECT source, (k + mean * weight) / (n + weight) > 0.75 AS host_rejected FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT doc_failed AND NOT host_rejected AS kept, doc_failed, host_rejected
-FROM d JOIN bad ON d.source IS NOT DISTINCT FROM bad.source
+  SELECT r, sum(k)::DOUBLE / sum(n) AS mean, coalesce(var_samp(k::DOUBLE / n), 0) - sum(k)::DOUBLE / sum(n) * (1 - sum(k)::DOUBLE / sum(n)) * avg(1.0::DOUBLE / n) AS spread FROM h GROUP BY r
+), priors AS (SELECT r, mean, CASE WHEN spread > 0 THEN least(1000.0, greatest(2.0, mean * (1 - mean) / spread - 1)) ELSE 1000.0 END AS weight FROM q
+), s AS (SELECT source, n, mean, weight, (k + mean * weight) / (n + weight) AS shrunk FROM h JOIN priors USING (r)
+), bad AS (
+  SELECT source, max((shrunk - 2 * sqrt(shrunk * (1 - shrunk) / (n + weight + 1))) / least(0.75::DOUBLE, greatest(0.3::DOUBLE, 3 * mean))) AS risk FROM s GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed, NOT (f0 OR f1 OR f2 OR f3 OR f4) AND NOT risk > 1 AS kept, f0 OR f1 OR f2 OR f3 OR f4 AS doc_failed, risk > 1 AS host_rejected, round(risk, 6) AS host_risk
+FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source
 """
 
 
