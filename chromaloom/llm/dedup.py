@@ -1,28 +1,39 @@
 """Near-duplicate documents by DartMinHash signatures.
 
 A document is the weighted set of its five-word shingles, weighted by how often
-each occurs.  Every unit of weight of a shingle is a region into which a
-Poisson stream of darts, seeded by the region's own hash, is thrown; the darts
+each occurs.  The weights of an element are cut into regions, [0, 1) and then
+one for each power of two; into each region that the element's weight reaches a
+Poisson stream of darts is thrown, seeded by the element and the region, and
+darts above the weight miss.  So a heavy element costs its logarithm in regions,
+and what it shares with a lighter one is told by the darts below both.  The darts
 before a rank bound that suits the document's total weight are dealt over the
 signature's coordinates, and each coordinate keeps its earliest dart.  Two
 documents agree on a coordinate with their weighted Jaccard similarity as
 probability.  Bands of coordinates are joined; what shares a band is linked if
 the exact similarity of the two shingle sets reaches the threshold.
 
-Copies are collapsed first, so a group of any size is one candidate.  In a band
-each document meets only the band's center, the document that shares most with
-most others.  Where that does not settle the matter (members in different
-classes), small bands are paired in full, and large ones go by their tokens:
-relative to the center of the band, a pair at the threshold either shares a shingle that the center lacks, of which a prefix in
-hash order suffices, or both lie in the center so far that their sizes betray
-them.  Both conditions are equi-joins, so no group is paired in full and no
-link between classes is lost to the shortcut.  Before an exact test, pairs
-whose signatures agree too rarely for the threshold are left out.
+Texts with the same words are one vertex, named by a 64-bit hash of the words,
+so a group of copies of any size is one candidate.  In a band each vertex meets
+only the band's center, the one that shares most with most others.  Where that
+does not settle the matter (members in different classes), small bands are
+paired in full, and large ones go by their tokens: relative to the center of the
+band, a pair at the threshold either shares a shingle that the center lacks, of
+which a prefix in hash order suffices, or both lie in the center so far that
+their sizes betray them.  Both conditions are equi-joins, so no group is paired
+in full and no link between classes is lost to the shortcut.  Before an exact
+test, pairs whose signatures agree too rarely for the threshold are left out.
+
+Groups that may hold many rows (copies, classes) are joined in two parts: the
+large groups, of which there are LARGE_GROUPS at most, by broadcast, the others
+by a shuffle.
 
 Defined cases: texts of fewer than five words are one shingle; texts without a
 word (null ones too) are alike to nothing; a null id takes no part and gets a
-null class; rows that repeat an id are one document, whose texts all count;
-the class is named by its least id.
+null class; in ``near_duplicates`` rows that repeat an id are one document,
+whose texts all count; in ``deduplicate`` every text counts for itself.  The
+class is named by its least id, which is also the one that stays; of texts with
+the same id the one with the lesser hash.  An empty table gives an empty result;
+ids may be of any type that has an order; further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -34,8 +45,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import batches_of, cut
+from .common import batches_of, cut, free_names, scope
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and coordinates in each; a pair at the threshold shares no band with probability 3e-5.
@@ -44,8 +56,12 @@ BANDS, DEPTH = 26, 5
 AGREEING = 80
 #: Ids that are broadcast to pick texts; more of them meet the texts in a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Groups that count as large at most; the others hold fewer rows than this share of all, or SMALL_GROUP.
+LARGE_GROUPS, SMALL_GROUP = 10_000, 1_000
 #: Documents of a band that is paired in full.
 SMALL_BAND = 16
+#: Sizes of one class differ by less than this factor.
+SIZE_STEP = 1.01
 #: Expected darts beyond those that fill all coordinates on average, in units of the coordinates.
 SLACK = 2.5
 
@@ -131,16 +147,15 @@ def shingles(hashes: np.ndarray, sizes: np.ndarray, width: int = SHINGLE) -> tup
 
 
 def fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of each text's word sequence."""
+    """A 64-bit hash of each text's word sequence."""
     ends = np.cumsum(sizes)
     starts = ends - sizes
     place = (np.arange(len(hashes)) - np.repeat(starts, sizes)).astype(np.uint64)
-    out = np.zeros((len(sizes), 2), np.uint64)
+    out = np.zeros(len(sizes), np.uint64)
     full = sizes > 0
     if full.any():
-        for k, salt in enumerate((0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F)):
-            out[full, k] = np.add.reduceat(mix(hashes ^ mix(place + _U(salt))), starts[full])
-    return mix(out + sizes.astype(np.uint64)[:, None])
+        out[full] = np.add.reduceat(mix(hashes ^ mix(place + _U(0x8CB92BA72F3D8DD7))), starts[full])
+    return mix(out + sizes.astype(np.uint64))
 
 
 def _units(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -158,30 +173,58 @@ def _units(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, count: np.ndarray, size: int = BANDS * DEPTH) -> np.ndarray:
-    """The earliest dart of each coordinate, for each text (rows); zeros for a text without shingles."""
+    """Signatures of texts, whose shingles are sorted within each, weighted by how often they occur."""
+    first = np.ones(len(hashes), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    first[(np.cumsum(count) - count)[count > 0]] = True
+    at = np.flatnonzero(first)
+    owner = np.repeat(np.arange(len(count)), count)[at]
+    return weighted_signatures(hashes[at], np.diff(at, append=len(hashes)).astype(np.float64), np.bincount(owner, minlength=len(count)), size)
+
+
+def weighted_signatures(elements: np.ndarray, weights: np.ndarray, count: np.ndarray, size: int = BANDS * DEPTH) -> np.ndarray:
+    """The earliest dart of each coordinate, for each set (rows); zeros for a set without weight.
+
+    ``elements`` (hashes, distinct in a set) and their ``weights`` lie end to end, ``count`` of them in each
+    set.  Weights are best scaled so that most are about 1 or more: a lighter element wastes darts.
+    """
     texts = len(count)
     out = np.zeros((texts, size), np.uint64)
     best = np.full((texts, size), np.inf)
-    unit, owner = _units(hashes, count), np.repeat(np.arange(texts), count)
-    with np.errstate(divide="ignore"):
-        bound = size * (np.log(size) + SLACK) / np.maximum(count, 1)
-    todo = count > 0
+    owner = np.repeat(np.arange(texts), count)
+    weights = np.maximum(np.asarray(weights, np.float64), 0.0)
+    total = np.bincount(owner, weights, texts)
+    # regions of weight: [0, 1), [1, 2), [2, 4) and so on, as far as the weight reaches
+    levels = 1 + np.ceil(np.log2(np.maximum(weights, 1.0))).astype(np.int64)
+    of = np.repeat(np.arange(len(elements)), levels)
+    level = np.arange(len(of)) - np.repeat(np.cumsum(levels) - levels, levels)
+    low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
+    width = np.where(level > 0, low, 1.0)
+    seeds = np.where(level > 0, mix(elements[of] + level.astype(np.uint64) * _U(0xE7037ED1A0B428DB)), elements[of])
+    owner, top = owner[of], weights[of]
+    unit = lambda h: (h >> _U(11)).astype(np.float64) * 2.0**-53
+    bound = size * (np.log(size) + SLACK) / np.where(total > 0, total, 1.0)
+    todo = total > 0
     while todo.any():
-        mine = todo[owner]
-        seed, who = unit[mine], owner[mine]
-        rank, turn = np.zeros(len(seed)), 0
+        at = np.flatnonzero(todo[owner])
+        rank, turn = np.zeros(len(at)), 0
         best[todo] = np.inf
-        while len(seed):
+        while len(at):
             turn += 1
-            h = mix(seed + _U(turn * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
-            rank = rank - np.log1p(-((h >> _U(11)).astype(np.float64) * 2.0**-53))
-            live = rank < bound[who]
-            seed, who, rank, h = seed[live], who[live], rank[live], h[live]
+            h = mix(seeds[at] + _U(turn * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
+            rank = rank - np.log1p(-unit(h)) / width[at]
+            live = rank < bound[owner[at]]
+            at, rank, h = at[live], rank[live], h[live]
             dart = mix(h ^ _U(0x589965CC75374CC3))
-            cell = who * size + (dart % _U(size)).astype(np.int64)
+            cell, hit = owner[at] * size + (dart % _U(size)).astype(np.int64), top[at] >= low[at] + width[at]
+            if not hit.all():  # the region reaches beyond the weight: darts above it miss
+                hit |= low[at] + unit(mix(h ^ _U(0xA0761D6478BD642F))) * width[at] < top[at]
+                cell, dart, when = cell[hit], dart[hit], rank[hit]
+            else:
+                when = rank
             flat, ids = best.reshape(-1), out.reshape(-1)
-            np.minimum.at(flat, cell, rank)
-            won = flat[cell] == rank
+            np.minimum.at(flat, cell, when)
+            won = flat[cell] == when
             ids[cell[won]] = dart[won]
         todo = todo & np.isinf(best).any(1)
         bound = bound * 2
@@ -208,7 +251,7 @@ def _counted(a: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per row with an id and a word: _id, _f1, _f2 (of the words), _n (shingles), _bands and _sig (8 bits of each coordinate)."""
+    """Per row with an id and a word: _id, _v (hash of the words), _n (shingles), _bands and _sig (8 bits of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_text", 1 << 19):
@@ -219,10 +262,33 @@ def _sketch(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             found = signatures(sets, count)[some]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(found).view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
             short = [row.tobytes() for row in (found >> _U(40)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(some)), pa.array(prints[some, 0].view(np.int64)), pa.array(prints[some, 1].view(np.int64)), pa.array(count[some].astype(np.int64)), lists, pa.array(short, pa.binary())], ["_id", "_f1", "_f2", "_n", "_bands", "_sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(some)), pa.array(prints[some].view(np.int64)), pa.array(count[some].astype(np.int64)), lists, pa.array(short, pa.binary())], ["_id", "_v", "_n", "_bands", "_sig"])
 
     rows = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    return rows.mapInArrow(run, f"_id {dict(docs.dtypes)[id_column]}, _f1 bigint, _f2 bigint, _n bigint, _bands array<bigint>, _sig binary")
+    return rows.mapInArrow(run, f"_id {dict(docs.dtypes)[id_column]}, _v bigint, _n bigint, _bands array<bigint>, _sig binary")
+
+
+def sketch_sets(sets: DataFrame, id_column: str, elements_column: str, weights_column: str) -> DataFrame:
+    """Signature (array of bigint) and bands of weighted sets: id, an array of distinct strings and one of their weights.
+
+    A null array is an empty set; a null or negative weight counts as 0; a set without weight has null in both columns.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, "_e"):
+            names = [x or [] for x in batch.column("_e").to_pylist()]
+            weights = [[w or 0.0 for w in x or []] for x in batch.column("_w").to_pylist()]
+            flat = [(n or "").encode().hex().encode() for x in names for n in x]  # one word each, whatever it holds
+            hashes, _ = word_hashes(flat)
+            w = np.array([v for x in weights for v in x], np.float64)
+            found = weighted_signatures(hashes, w, np.array([len(x) for x in names], np.int64))
+            bands = bands_of(found)
+            some = found.any(1)
+            lists = lambda x: pa.array([row.tolist() if ok else None for row, ok in zip(x.view(np.int64), some, strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), lists(found), lists(bands)], [id_column, "signature", "bands"])
+
+    kind = dict(sets.dtypes)[id_column]
+    return sets.select(F.col(id_column).alias("_id"), F.col(elements_column).alias("_e"), F.col(weights_column).cast("array<double>").alias("_w")).mapInArrow(run, f"`{id_column}` {kind}, signature array<bigint>, bands array<bigint>")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -259,21 +325,22 @@ def _shared_units(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[at] == a
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per text of the documents in ``ids`` (_id): _id and its units of weight, packed."""
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, first: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Per vertex in ``wanted`` (_id): _id and its units of weight, packed, from the text of the vertex' first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_text", 1 << 19):
-            found, count = shingles(*word_hashes(batch.column("_text").cast(pa.binary()).to_pylist()))
+            hashes, sizes = word_hashes(batch.column("_text").cast(pa.binary()).to_pylist())
+            found, count = shingles(hashes, sizes)
             ends = np.cumsum(count)
             units = _units(found, count)
             sets = [_packed(units[e - c : e]) for c, e in zip(count.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], ["_id", "_set"])
+            yield pa.RecordBatch.from_arrays([pa.array(fingerprints(hashes, sizes).view(np.int64)), pa.array(sets, pa.binary())], ["_id", "_set"])
 
-    ids = _table(ids)
+    ids = _table(first.join(wanted.withColumnRenamed("_id", "_v"), "_v", "left_semi").select(F.col("_first").alias("_id")).distinct())
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(some, "_id", "left_semi")
-    return rows.mapInArrow(run, f"_id {dict(docs.dtypes)[id_column]}, _set binary").dropDuplicates()
+    return rows.select("_text").mapInArrow(run, "_id bigint, _set binary").dropDuplicates(["_id"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -325,27 +392,35 @@ def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     kind 1: shingles that the center lacks (a prefix, in hash order).  kind 2 and 3:
     sizes of documents that could be linked to d by the center's shingles alone,
     asked for and owned.  n counts the shingles of d, o those that the center has,
-    rest those from the key on that it lacks.  ``sizes`` lists the sizes that occur
-    around the center; no smaller partner need be reckoned with.
+    rest those from the key on that it lacks.  ``sizes`` lists the classes of sizes
+    (some two thousand at most) that occur around the center; no smaller partner
+    need be reckoned with.
     """
     kind = dict(members.dtypes)["d"]
     share = least / (1 + least)  # of both sizes, that a pair at the threshold has in common
 
     def size_class(n: np.ndarray) -> np.ndarray:
-        return np.floor(np.log(np.maximum(n, 1)) / np.log(1.01)).astype(np.int64)
+        return np.floor(np.log(np.maximum(n, 1)) / np.log(SIZE_STEP)).astype(np.int64)
+
+    def least_partner(n: int, around: np.ndarray) -> int:
+        """No document around the center that could be linked to one of n shingles has fewer than so many; n itself at most."""
+        smallest = int(np.ceil(least * n - 1e-9))
+        highs = np.ceil(SIZE_STEP ** (around + 1.0)) + 1  # beyond every size of the class, rounding errors included
+        lows = np.floor(SIZE_STEP**around.astype(float)) - 1
+        return max(smallest, min([n, *lows[highs >= smallest].astype(np.int64).tolist()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_x", 8 << 20):
             take, kinds, keys, numbers = [], [], [], []
-            last, center = None, None
+            last, center, known = None, None, np.zeros(0, np.int64)
             for i, (x, y, c, asks, around) in enumerate(zip(batch.column("_x"), batch.column("_y"), batch.column("c").to_pylist(), batch.column("asks").to_pylist(), batch.column("sizes").to_pylist(), strict=True)):
                 if last is None or c != last:
-                    last, center = c, _unpacked(y)
+                    last, center, known = c, _unpacked(y), np.array(around, np.int64)
                 own = _unpacked(x)
                 inside = _shared_units(own, center)
                 n, o = len(own), int(inside.sum())
                 other = own[~inside]
-                partner = min(s for s in [*around, n] if s >= least * n - 1e-9)
+                partner = least_partner(n, known)
                 fewest = int(np.ceil(share * (n + partner) - 1e-9))  # shingles in common with any partner
                 needed = max(1, fewest - o)
                 found = []
@@ -392,36 +467,47 @@ def _across(keyed: DataFrame, least: float) -> DataFrame:
     return by_token.select("a", "b").union(by_size.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def find_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Per id among the rows with an id and a word: id, class_id, class_size (documents) and copy_of (first with the same words).
+def _joined(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (a row for each key, ``n`` rows belong to it), large groups by broadcast."""
+    total = groups.agg(F.sum(n).alias("n")).first()["n"] or 0
+    large = F.col(n) > max(SMALL_GROUP, total // LARGE_GROUPS)
+    heavy = _table(groups.where(large))
+    near = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups.where(~large), key)
+    return near.unionByName(rest)
+
 
-    Texts are read twice: for the sketches, and, of documents with a promising
-    partner, for the exact test.  Sketches, bands and links are small against the texts.
+def _linked(docs: DataFrame, id_column: str, text_column: str, least: float, tied: bool) -> tuple[DataFrame, DataFrame]:
+    """Documents (_id, _v, _rows) and vertices: _v, _first (least id), _docs, _root (of the class), _named (the class' least id), _lead (of its class).
+
+    Texts are read twice: for the sketches, and, of vertices with a promising
+    partner, for the exact test.  Sketches, bands and links are small against the
+    texts.  ``tied``: an id that has several texts ties their vertices together.
     """
     sketch = cut(_sketch(docs, id_column, text_column))
-    first = _table(sketch.groupBy("_f1", "_f2").agg(F.min("_id").alias("_first"), F.max("_n").alias("_n"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig")))
-    members = _table(sketch.select("_id", "_f1", "_f2").join(first.select("_f1", "_f2", "_first"), ["_f1", "_f2"]).select("_id", "_first").distinct())
-    # an id that has several texts ties their groups of copies together
-    copies = _table(members.groupBy("_id").agg(F.min("_first").alias("copy_of"), F.max("_first").alias("_last")))
-    several = copies.where("copy_of <> _last").select("_id", "copy_of")
-    links = [members.join(several, "_id").where("copy_of <> _first").select(F.col("copy_of").alias("a"), F.col("_first").alias("b"))]
-
-    exploded = first.select(F.col("_first").alias("d"), F.explode("_bands").alias("band"))
+    members = _table(sketch.groupBy("_id", "_v").agg(F.count(F.lit(1)).alias("_rows")))
+    first = _table(sketch.groupBy("_v").agg(F.min("_id").alias("_first"), F.max("_n").alias("_n"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig"), F.count(F.lit(1)).alias("_docs")))
+    links = []
+    if tied:
+        several = members.groupBy("_id").agg(F.min("_v").alias("a"), F.max("_v").alias("_last")).where("a <> _last").select("_id", "a")
+        links.append(members.join(several, "_id").where("a <> _v").select("a", F.col("_v").alias("b")))
+
+    exploded = first.select(F.col("_v").alias("d"), F.explode("_bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     together = _table(exploded.join(shared, "band"))
     central = together.groupBy("d").agg(F.sum("n").alias("weight"))
     bands = _table(together.join(central, "d"))
-    centers = bands.groupBy("band").agg(F.max_by("d", F.struct(F.col("weight"), -F.col("d"))).alias("c"))
+    centers = bands.groupBy("band").agg(F.max_by("d", F.struct(F.col("weight"), F.col("d"))).alias("c"))
     bands = _table(bands.join(centers, "band"))
     star = _table(bands.where("d <> c").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.max("weight").alias("weight")))
-    sigs = first.select(F.col("_first").alias("_id"), "_sig")
+    sigs = first.select(F.col("_v").alias("_id"), "_sig")
     trials = _table(_agreeing(star.select("a", "b"), sigs))
     wanted = trials.select(F.explode(F.array("a", "b")).alias("_id")).union(bands.where(F.col("n") > SMALL_BAND).select("d")).distinct()
-    sets = cut(_shingle_sets(docs, wanted, id_column, text_column))
+    sets = cut(_shingle_sets(docs, wanted, first, id_column, text_column))
     close = _table(_verified(trials, sets, least))
 
-    # who a document hangs from: the heaviest center it is linked to, centers likewise (weights rise, so this ends)
-    up = _table(close.join(central.select(F.col("d").alias("a"), "weight"), "a").groupBy(F.col("b").alias("v")).agg(F.max_by("a", F.struct(F.col("weight"), -F.col("a"))).alias("root")))
+    # who a vertex hangs from: the heaviest center it is linked to, centers likewise (weights rise, so this ends)
+    up = _table(close.join(central.select(F.col("d").alias("a"), "weight"), "a").groupBy(F.col("b").alias("v")).agg(F.max_by("a", F.struct(F.col("weight"), F.col("a"))).alias("root")))
     for _ in range(2):
         jump = up.select(F.col("v").alias("root"), F.col("root").alias("_further"))
         up = _table(up.join(jump, "root", "left").select("v", F.coalesce("_further", "root").alias("root")))
@@ -435,27 +521,39 @@ def find_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     x, y = small.select("band", F.col("d").alias("a"), F.col("root").alias("ra")), small.select("band", F.col("d").alias("b"), F.col("root").alias("rb"))
     few = x.join(y, "band").where("ra <> rb AND a < b").select("a", "b")
     inside = left.where(F.col("n") > SMALL_BAND).select("c", "d", "root").distinct()
-    inside = _table(inside.join(first.select(F.col("_first").alias("d"), F.col("_n")), "d"))
-    sizes = inside.groupBy("c").agg(F.collect_set("_n").alias("sizes"))
+    inside = _table(inside.join(first.select(F.col("_v").alias("d"), F.floor(F.log(F.col("_n").cast("double")) / F.log(F.lit(SIZE_STEP))).alias("_size")), "d"))
+    sizes = inside.groupBy("c").agg(F.collect_set("_size").alias("sizes"))
     around = rooted(inside.join(sizes, "c"), "c", "_rc").select("c", "d", "root", (F.col("root") != F.col("_rc")).alias("asks"), "sizes")
     keyed = cut(_around(around, sets, least))
     few = few.union(_across(keyed, least)).distinct()
     few = _table(_agreeing(few.join(trials.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sigs))
     more = few.select(F.explode(F.array("a", "b")).alias("_id")).distinct().join(sets.select("_id"), "_id", "left_anti")
-    bridges = _table(_verified(few, sets.unionByName(_shingle_sets(docs, more, id_column, text_column)), least))
+    bridges = _table(_verified(few, sets.unionByName(_shingle_sets(docs, _table(more), first, id_column, text_column).join(sets.select("_id"), "_id", "left_anti")), least))
 
-    # what remains is a graph of roots: links between documents that hang from different ones
+    # what remains is a graph of roots: links between vertices that hang from different ones
     between = rooted(rooted(reduce(DataFrame.union, [close, bridges, *links]), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     top = components(between)
     hung = up.select("v", "root").join(top.select(F.col("v").alias("root"), F.col("root").alias("_top")), "root", "left").select("v", F.coalesce("_top", "root").alias("root"))
     alone = top.join(up.select("v"), "v", "left_anti")
-    tree = _table(hung.union(alone.select("v", "root")).union(up.select(F.col("root").alias("v")).join(up.select("v"), "v", "left_anti").join(top.select("v"), "v", "left_anti").select("v", F.col("v").alias("root"))).distinct())
-    lows = tree.groupBy("root").agg(F.min("v").alias("_low"))
-    found = tree.join(lows, "root").select("v", F.col("_low").alias("root"))
+    tree = hung.union(alone.select("v", "root")).union(up.select(F.col("root").alias("v")).join(up.select("v"), "v", "left_anti").join(top.select("v"), "v", "left_anti").select("v", F.col("v").alias("root")))
+
+    # classes of several vertices get their least id; every other vertex is a class of its own
+    vertices = _table(tree.distinct().select(F.col("v").alias("_v"), F.col("root").alias("_root")).join(first.select("_v", "_first", "_docs"), "_v"))
+    classes = vertices.groupBy("_root").agg(F.min(F.struct("_first", "_v")).alias("_least"), F.count(F.lit(1)).alias("_vertices"))
+    named = _joined(vertices, _table(classes), "_root", "_vertices").select("_v", "_root", F.col("_least")["_first"].alias("_named"), (F.col("_least")["_v"] == F.col("_v")).alias("_lead"))
+    out = first.select("_v", "_first", "_docs").join(named, "_v", "left").select("_v", "_first", "_docs", F.coalesce("_root", "_v").alias("_root"), F.coalesce("_named", "_first").alias("_named"), F.coalesce("_lead", F.lit(True)).alias("_lead"))
+    return members, _table(out)
+
 
-    named = _table(copies.join(found, F.col("copy_of") == F.col("v"), "left").select("_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of"))
-    sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return named.join(sizes, "class_id").select(F.col("_id").alias(id_column), "class_id", "class_size", "copy_of")
+def find_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """Per id among the rows with an id and a word: id, class_id, class_size (documents) and copy_of (first with the same words)."""
+    with scope(docs.sparkSession) as keep:
+        members, vertices = _linked(docs, id_column, text_column, least, True)
+        each = _joined(members, vertices, "_v", "_docs").groupBy("_id").agg(F.min("_named").alias("class_id"), F.min("_first").alias("copy_of"), F.min("_root").alias("_root"))
+        each = _table(each)
+        sizes = _table(each.groupBy("_root").agg(F.count(F.lit(1)).alias("class_size"), F.min("class_id").alias("_named")))
+        found = keep(_joined(each, sizes, "_root", "class_size").select("_id", F.col("_named").alias("class_id"), "class_size", "copy_of"))
+    return found.select(F.col("_id").alias(id_column), "class_id", "class_size", "copy_of")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -469,11 +567,45 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class; of rows that repeat its id one stays; rows without an id all stay."""
-    gone = find_classes(docs, id_column, text_column, least).where(F.col("class_id") != F.col(id_column)).select(F.col(id_column).alias("_gone"))
-    named = docs.where(F.col(id_column).isNotNull())
-    kept = named.join(gone, named[id_column] == gone["_gone"], "left_anti")
-    repeated = named.groupBy(id_column).count().where(F.col("count") > 1).limit(1).count()
-    if repeated:
-        kept = kept.dropDuplicates([id_column])
-    return kept.unionByName(docs.where(F.col(id_column).isNull()))
+    """``docs`` with one row of each class of texts: that with the least id.
+
+    Rows that repeat an id are told apart by their words; of rows with the same id
+    and words one stays.  Rows without an id or without a word all stay.  Only
+    rows whose id occurs more than once have their texts shuffled.
+    """
+    spark = docs.sparkSession
+    with scope(spark) as keep:
+        members, vertices = _linked(docs, id_column, text_column, least, False)
+        judged = _joined(members, vertices, "_v", "_docs").select("_id", "_v", (F.col("_lead") & (F.col("_id") == F.col("_first"))).alias("_stays"))
+        repeated = _table(docs.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"))
+        again = repeated.count()
+        judged = _table(judged.where("NOT _stays").join(repeated.withColumn("_again", F.lit(True)), "_id", "left")) if again else judged.where("NOT _stays")
+        out = keep(judged.where("_again IS NULL").select("_id") if again else judged.select("_id"))
+        gone_again = keep(judged.where("_again").select("_id", "_v")) if again else None
+        repeated = keep(repeated) if again else None
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    named, who, what = free_names(docs.columns, ["_gone", "_who", "_what"])
+    gone = out.select(F.col("_id").alias(named))
+    kept = docs.join(few(gone), docs[id_column] == gone[named], "left_anti")
+    if not again:
+        return kept
+    twice = few(repeated.select(F.col("_id").alias(named)))
+    once = kept.join(twice, kept[id_column] == twice[named], "left_anti")
+    rows = _with_words(kept.join(twice, kept[id_column] == twice[named], "left_semi"), text_column, what)
+    lost = gone_again.select(F.col("_id").alias(who), F.col("_v").alias(f"{what}_lost"))
+    rows = rows.join(lost, (rows[id_column] == lost[who]) & (rows[what] == lost[f"{what}_lost"]), "left_anti")
+    wordy = rows.where(F.col(what).isNotNull()).dropDuplicates([id_column, what])
+    return once.unionByName(wordy.drop(what)).unionByName(rows.where(F.col(what).isNull()).drop(what))
+
+
+def _with_words(docs: DataFrame, text_column: str, name: str) -> DataFrame:
+    """``docs`` with the hash of the words of each text, null where there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, text_column, 1 << 20):
+            texts = batch.column(text_column).cast(pa.binary()).to_pylist()
+            hashes, sizes = word_hashes([t or b"" for t in texts])
+            found = fingerprints(hashes, sizes).view(np.int64)
+            yield batch.append_column(name, pa.array(found, pa.int64(), mask=sizes == 0))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
