@@ -5,10 +5,14 @@ mapped to one printable character apiece, its score is its negative rank, and
 the normaliser leaves texts as they are.  A text is cut into pre-tokens; each is
 looked up whole and else encoded by the model; decoding maps ids back to bytes.
 
+The pattern's character classes are those of the pattern library; a test holds
+every code point against the reference tokenizer, so that a library with newer
+tables is noticed.
+
 Defined cases: a null text encodes like an empty one (no ids); lone surrogates
-cannot occur in Arrow strings; texts are processed whole, whatever their length.
-Letters that Unicode assigned after the tokenizer's tables were made are the one
-known difference: the pattern library here may know them as letters already.
+cannot occur in Arrow strings; texts are processed whole, whatever their length;
+repeated rows give a row each; an empty table gives an empty result; columns
+that bear the names of those added give way to them.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +33,15 @@ from .common import batches_of
 
 #: Columns that encoding adds.
 ADDED = ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
-#: Pre-tokens kept with their ids by each Python worker; the memory is emptied when full.
-REMEMBERED = 200_000
+#: Pre-tokens kept with their ids by each Python worker; when full, only those of the batch at hand stay.
+REMEMBERED = 300_000
 #: Characters at most of a remembered pre-token.
 LONGEST_REMEMBERED = 64
 
 
+_first, _second = itemgetter(0), itemgetter(1)
+
+
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where it is printable, else the next one from U+0100 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -93,27 +102,43 @@ class Codec:
         self.cut = regex.compile(_exact_space(pattern)).findall
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model or sentencepiece_model(tokens))
         self.chars = dict(enumerate(byte_characters()))
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _piece(self, token: str) -> tuple[int, ...]:
-        data = token.encode()
-        rank = self.whole.get(data)
-        if rank is not None:
-            return (rank,)
-        return tuple(i - 1 for i in self.pieces.encode(data.decode("latin-1").translate(self.chars)))
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+
+    def _learn(self, tokens: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of pre-tokens: looked up whole, the others encoded by the model in one call."""
+        found, rest = {}, []
+        for token in tokens:
+            rank = self.whole.get(token.encode())
+            if rank is None:
+                rest.append(token)
+            else:
+                found[token] = (rank,)
+        for token, pieces in zip(rest, self.pieces.encode([t.encode().decode("latin-1").translate(self.chars) for t in rest], num_threads=1) if rest else [], strict=True):
+            found[token] = tuple(i - 1 for i in pieces)
+        return found
+
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
+        """For each text its ids, and the same as decimal numbers joined by commas."""
+        cuts = [self.cut(t) if t else [] for t in texts]
+        new = set().union(*cuts).difference(self.known) if cuts else set()
+        here = self.known
+        if new:
+            ids = self._learn(new)
+            short = {t: (i, ",".join(map(str, i))) for t, i in ids.items() if len(t) <= LONGEST_REMEMBERED}
+            if len(self.known) + len(short) > REMEMBERED:
+                # what this batch needs stays; the rest goes
+                needed = set().union(*cuts)
+                self.known = {t: v for t, v in self.known.items() if t in needed}
+            self.known.update(short)
+            here = self.known if len(short) == len(ids) else {**self.known, **{t: (i, ",".join(map(str, i))) for t, i in ids.items() if t not in short}}
+        out = []
+        for tokens in cuts:
+            pairs = list(map(here.__getitem__, tokens))
+            out.append((list(chain.from_iterable(map(_first, pairs))), ",".join(map(_second, pairs))))
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        known, ids = self.known, []
-        for token in self.cut(text or ""):
-            found = known.get(token)
-            if found is None:
-                found = self._piece(token)
-                if len(token) <= LONGEST_REMEMBERED:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[token] = found
-            ids += found
-        return ids
+        return self.encode_batch([text])[0][0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -138,10 +163,9 @@ def _encoded(docs: DataFrame, keep: list[str], path: str, pattern: str, text_col
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches_of(batches, text_column):
             counts, id_digests, text_digests, lists = [], [], [], []
-            for text in batch.column(text_column).to_pylist():
-                found = codec.encode(text)
+            for found, written in codec.encode_batch(batch.column(text_column).to_pylist()):
                 counts.append(len(found))
-                id_digests.append(digest(str(found)[1:-1].replace(" ", "").encode()))
+                id_digests.append(digest(written.encode()))
                 text_digests.append(digest(codec.decode(found)))
                 if ids:
                     lists.append(pa.array(found, pa.int32()))

@@ -1,6 +1,7 @@
 """Training order: every sequence gets a slot by a keyed permutation; shards hold the slots in order.
 
-Documents' token ids are cut into sequences of a fixed length; sequences are
+Documents' token ids (byte-level BPE by default, two bytes each) are cut into
+sequences of a fixed length; sequences are
 numbered densely, partition by partition.  A keyed Feistel network, walked in
 cycles until it lands inside the range, permutes the numbers to slots without
 any table.  Slots are dealt into ranges; each range's task places its records
@@ -15,8 +16,10 @@ Before the shuffle each task packs the records of a range into compressed
 blobs.  A range's task holds RANGE_BYTES at most, whatever the input.
 
 Defined cases: null and empty payloads make one sequence without tokens; a null
-id is written as -1; an empty table makes no shard; repeated rows are
-sequences of their own.
+id is marked in the record and reads as None; ids that are not whole numbers are
+written as their 64-bit hash (xxhash64 of the id as text); an empty table makes
+no shard; repeated rows are sequences of their own; further columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +37,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, shared_dir
+from . import bpe
+from .common import batches_of, cut, shared_dir
 
 #: Bytes of a record, of its head, and of what a range's task holds.
 STRIDE, HEAD, RANGE_BYTES = 512, 16, 48 << 20
 #: Shards in a range.
 SHARDS_PER_RANGE = 2
 ROUNDS = 6
+#: Marks, in the number of a part, a record without an id.
+NO_ID = 1 << 31
+#: Characters from which on a text is encoded by the codec of ``bpe``, whose pattern search never gives up.
+LONG = 100_000
+#: The columns ``encoded`` gives.
+ID, PAYLOAD = "id", "payload"
 _U = np.uint64
 
 
@@ -133,13 +144,46 @@ def _records(ids: list[int | None], payloads: list[bytes | None], layout: Layout
         if len(data) > whole * room:
             out[at + whole, HEAD : HEAD + len(data) - whole * room] = data[whole * room :]
         head = np.zeros(n, [("id", "<i8"), ("part", "<u4"), ("tokens", "<u4")])
-        head["id"], head["part"] = -1 if i is None else i, np.arange(n)
+        head["id"], head["part"] = i or 0, np.arange(n) + (NO_ID if i is None else 0)
         head["tokens"] = np.minimum(room, np.maximum(0, len(data) - room * np.arange(n))) // layout.width
         out[at : at + n, :HEAD] = head.view(np.uint8).reshape(n, HEAD)
         at += n
     return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str):
+    """The reference tokenizer and the codec of ``bpe``, which give the same ids; one of each for a worker process."""
+    import tiktoken
+
+    codec = bpe.Codec(bpe.read_ranks(path), pattern)
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=codec.whole, special_tokens={}), codec
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, int]:
+    """Per row: id and payload (its text's BPE ids, little-endian), written to the shared folder; and the bytes of an id."""
+    width = 2 if len(bpe.read_ranks(path)) <= 1 << 16 else 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fast, codec = _encoder(path, pattern)
+        for batch in batches_of(batches, "_text"):
+            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            ids = iter(fast.encode_ordinary_batch([t for t in texts if len(t) < LONG], num_threads=1))
+            found = [next(ids) if len(t) < LONG else codec.encode(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([np.array(x, f"<u{width}").tobytes() for x in found], pa.binary())], [ID, PAYLOAD])
+
+    rows = docs.select(_whole(docs, id_column).alias("_id"), F.col(text_column).alias("_text"))
+    return cut(rows.mapInArrow(run, f"{ID} bigint, {PAYLOAD} binary")), width
+
+
+def _whole(docs: DataFrame, id_column: str) -> Column:
+    """The id as a whole number: itself, or a hash of it."""
+    c = F.col(id_column)
+    if dict(docs.dtypes)[id_column] in ("tinyint", "smallint", "int", "bigint"):
+        return c.cast("bigint")
+    return F.when(c.isNotNull(), F.xxhash64(c.cast("string")))
+
+
 def plan(docs: DataFrame, payload: Column, width: int = 1, stride: int = STRIDE, key: int = 0, range_bytes: int = RANGE_BYTES) -> tuple[Layout, dict[int, tuple[int, int]]]:
     """The layout, and the number of each partition's first sequence and how many it has.
 
@@ -156,15 +200,14 @@ def plan(docs: DataFrame, payload: Column, width: int = 1, stride: int = STRIDE,
     return Layout(total, stride, width, per_shard, key), first
 
 
-def materialise(docs: DataFrame, out_dir: str, id_column: str = "doc_id", payload: Column | None = None, width: int = 1, stride: int = STRIDE, key: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def materialise(docs: DataFrame, out_dir: str, payload: Column, width: int, id_column: str = "doc_id", stride: int = STRIDE, key: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Writes all sequences in training order below ``out_dir`` when the result is computed.
 
     ``docs`` must be a scan or another frame whose partitions are the same each
     time it runs; a task whose partition differs from the plan fails.  ``payload``
-    holds token ids of ``width`` bytes each; by default the text's UTF-8 bytes are the ids.
+    holds token ids of ``width`` bytes each (``encoded`` makes such a frame).
     The result has one row for each sequence: id, part, slot, shard, offset, n_tokens and crc32 of the record.
     """
-    payload = F.encode(F.col("text"), "UTF-8") if payload is None else payload
     layout, first = plan(docs, payload, width, stride, key, range_bytes)
     per_range = layout.per_shard * SHARDS_PER_RANGE
     ranges = max(1, -(-layout.sequences // per_range))
@@ -215,11 +258,11 @@ def materialise(docs: DataFrame, out_dir: str, id_column: str = "doc_id", payloa
             head = np.ascontiguousarray(some[:, :HEAD]).view([("id", "<i8"), ("part", "<u4"), ("tokens", "<u4")])[:, 0]
             at = np.arange(len(some), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(head["id"]), pa.array(head["part"].astype(np.int64)), pa.array(low + a + at), pa.array(np.full(len(some), number, np.int64)), pa.array(at * stride), pa.array(head["tokens"].astype(np.int64)), pa.array([zlib.crc32(r) for r in some], pa.int64())],
+                [pa.array(head["id"], mask=head["part"] >= NO_ID), pa.array(head["part"].astype(np.int64) % NO_ID), pa.array(low + a + at), pa.array(np.full(len(some), number, np.int64)), pa.array(at * stride), pa.array(head["tokens"].astype(np.int64)), pa.array([zlib.crc32(r) for r in some], pa.int64())],
                 [id_column, "part", "slot", "shard", "offset", "n_tokens", "crc32"],
             )
 
-    packed = docs.select(F.col(id_column).cast("bigint").alias("_id"), payload.alias("_payload")).mapInArrow(pack, "range int, n int, blob binary")
+    packed = docs.select(_whole(docs, id_column).alias("_id"), payload.alias("_payload")).mapInArrow(pack, "range int, n int, blob binary")
     dealt = packed.repartitionById(ranges, F.col("range"))
     return dealt.mapInArrow(write, f"`{id_column}` bigint, part bigint, slot bigint, shard bigint, offset bigint, n_tokens bigint, crc32 bigint")
 
@@ -230,7 +273,7 @@ def read_layout(out_dir: str) -> Layout:
         return Layout(**json.loads(src.read()))
 
 
-def read(out_dir: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def read(out_dir: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int | None, int, np.ndarray]]:
     """(slot, id, part, token ids) in training order from slot ``start`` on; a reader resumes at any slot."""
     layout = read_layout(out_dir)
     files, path = _opened(out_dir)
@@ -244,7 +287,7 @@ def read(out_dir: str, start: int = 0, stop: int | None = None) -> Iterator[tupl
             for slot in range(first, min(stop, low + layout.per_shard)):
                 data = src.read(layout.stride)
                 who, part, n = np.frombuffer(data, "<i8", 1)[0], *np.frombuffer(data, "<u4", 2, 8)
-                yield slot, int(who), int(part), np.frombuffer(data, kind, int(n), HEAD)
+                yield slot, None if part >= NO_ID else int(who), int(part) % NO_ID, np.frombuffer(data, kind, int(n), HEAD)
 
 
 def folder_for(docs: DataFrame) -> str:

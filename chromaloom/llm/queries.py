@@ -57,8 +57,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return ordering.materialise(docs, ordering.folder_for(docs), key=20240229)
+    ids, width = ordering.encoded(table(spark, sf_dir, "documents"), *vocabulary())
+    found = ordering.materialise(ids, ordering.folder_for(ids), F.col(ordering.PAYLOAD), width, ordering.ID, key=20240229)
+    return found.withColumnRenamed(ordering.ID, "doc_id")
 
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,28 @@ def test_bpe_equals_the_reference_tokenizer():
     assert c.encode("z" * 20_000) == other.encode_ordinary("z" * 20_000)
 
 
+def test_every_code_point_is_cut_alike():
+    """Letters, numbers and spaces are those of the reference tokenizer's tables."""
+    import tiktoken
+
+    c = codec()
+    other = tiktoken.Encoding("own", pat_str=vocabulary()[1], mergeable_ranks=c.whole, special_tokens={})
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    for a in range(0, len(points), 4096):
+        text = "".join(f"a{chr(p)}1 " for p in points[a : a + 4096])
+        assert c.encode(text) == other.encode_ordinary(text), hex(points[a])
+
+
+def test_bpe_forgets_what_it_needs_not(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    c = codec()
+    texts = ["one two three", None, "", "zqxj zqxk " * 3, "x" * 200, "one two"]
+    want = [codec().encode(t) for t in texts]
+    for part in (texts[:3], texts[3:5], texts[5:], texts):
+        got = c.encode_batch(part)
+        assert [g for g, _ in got] == [want[texts.index(t)] for t in part] and all(w == ",".join(map(str, g)) for g, w in got)
+
+
 def test_bpe_columns(documents):
     docs = documents((1, "Hello wörld"), (2, None), (3, ""), (3, "")).withColumn("n_tokens", F.lit("x"))
     out = bpe.with_tokens(docs, *vocabulary())
@@ -233,11 +255,12 @@ def test_permutation(n):
 
 
 def test_shards_hold_every_sequence(spark, documents, tmp_path):
-    docs = documents(*((i, "é" * (i * 37 % 400)) for i in range(60)), (60, None), (7, "again"), (None, "no id"))
+    docs = documents(*((i, "é" * (i * 37 % 400)) for i in range(60)), (60, None), (-1, "minus one"), (7, "again"), (None, "no id"))
     docs.write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
     out = str(tmp_path / "shards")
-    result = ordering.materialise(docs, out, key=5, stride=128, range_bytes=4096).collect()
+    payload = F.encode("text", "UTF-8")
+    result = ordering.materialise(docs, out, payload, 1, key=5, stride=128, range_bytes=4096).collect()
     layout = ordering.read_layout(out)
     found = defaultdict(list)
     for slot, who, part, ids in ordering.read(out):
@@ -245,15 +268,32 @@ def test_shards_hold_every_sequence(spark, documents, tmp_path):
     assert sorted(r["slot"] for r in result) == list(range(layout.sequences))
     texts = defaultdict(list)
     for r in docs.collect():
-        texts[-1 if r["doc_id"] is None else r["doc_id"]].append((r["text"] or "").encode())
+        texts[r["doc_id"]].append((r["text"] or "").encode())
     for who, want in texts.items():
         if len(want) == 1:
             assert b"".join(x[2] for x in sorted(found[who])) == want[0]
     assert [x[0] for x in ordering.read(out, 11, 14)] == [11, 12, 13]
     assert all(r["offset"] == r["slot"] % layout.per_shard * 128 and r["shard"] == r["slot"] // layout.per_shard for r in result)
-    again = ordering.materialise(docs, out, key=5, stride=128, range_bytes=4096).collect()
+    again = ordering.materialise(docs, out, payload, 1, key=5, stride=128, range_bytes=4096).collect()
     assert {(r["slot"], r["crc32"]) for r in again} == {(r["slot"], r["crc32"]) for r in result}
-    assert ordering.materialise(docs.limit(0), str(tmp_path / "none")).count() == 0
+    assert ordering.materialise(docs.limit(0), str(tmp_path / "none"), payload, 1).count() == 0
+
+
+def test_shards_hold_token_ids(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordering, "LONG", 200)
+    texts = {"a": "Hello wörld, 12 times. " * 3, "b": "longer " * 300, "c": None}
+    docs = documents(*((i, t) for i, t in enumerate(texts.values()))).selectExpr("element_at(array('a', 'b', 'c'), int(doc_id + 1)) AS doc_id", "text", "1 AS payload", "2 AS id")
+    ids, width = ordering.encoded(docs, *vocabulary())
+    found = defaultdict(list)
+    out = str(tmp_path / "ids")
+    names = {r["id"] for r in ordering.materialise(ids, out, F.col("payload"), width, "id", stride=64).collect()}
+    for _, who, part, got in ordering.read(out):
+        found[who] += [(part, x) for x in got.tolist()]
+    c = codec()
+    hashes = {r["h"]: r["doc_id"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    assert names == set(hashes) and width == 2
+    for h, name in hashes.items():
+        assert [x for _, x in sorted(found[h], key=lambda p: p[0])] == c.encode(texts[name])
 
 
 # 6 -----------------------------------------------------------------------------------
@@ -369,7 +409,7 @@ def test_weak_supervision_adds_spans(documents):
 
 def test_reliabilities_are_learned():
     p, table = pii.estimate(["email"] * 2, ["++++0", "0-0-0"], np.array([90.0, 10.0]))
-    assert p[0] > 0.9 > 0.5 > p[1] and np.allclose(table.sum(2), 1)
+    assert p[0] > 0.9 > 0.5 > p[1] and (table[1, :3] > table[0, :3]).all()
 
 
 # 8 -----------------------------------------------------------------------------------
