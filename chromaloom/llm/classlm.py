@@ -17,11 +17,15 @@ and words.
 
 Counts of words and transitions of classes cover all training texts.  What
 reaches the driver is bounded by the model's size: FREQUENT words with their
-classes and matrices of the core and of the classes.  Classes of words beyond
-the frequent ones are joined by a shuffle.
+classes, the bigrams of the core (sparse) and a matrix of the classes.  Classes
+of words beyond the frequent ones are joined by a shuffle.
 
 Defined cases: a null text counts as empty and still has its end token; a null
-id has remainder 0 and is held out; without training texts every count is 0.
+id has remainder 0 and is held out; without training texts every count is 0; of
+words that occur equally often the first in byte order is the more frequent;
+repeated rows count each and are scored each; an empty table gives an empty
+result; further columns are left out unless they are kept, and those that bear
+names of the results give way to them.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, cut
 
 #: Words of the core, classes, and words whose classes every task holds.
-CLUSTERED, CLASSES, FREQUENT = 1500, 40, 200_000
+CLUSTERED, CLASSES, FREQUENT = 3000, 64, 200_000
 #: Occurrences that a word needs for a class; a vocabulary that every task holds whole.
 FLOOR, FEW = 2, 10_000
 #: Weight of the class frequencies in a transition, and the count added to a word.
@@ -50,6 +54,8 @@ PRIOR, ADDED = 20.0, 0.1
 END = b"\n"
 #: Different words that a task counts before it passes them on.
 HELD_WORDS = 300_000
+#: Different bigrams of the core that a task counts before it passes them on.
+HELD_CELLS = 2_000_000
 #: A class beside a word (before it, or behind it after all those before) and how often it was seen there.
 SEEN = np.dtype([("cell", "u2"), ("n", "<u4")])
 
@@ -93,7 +99,7 @@ def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def least_frequent(counts: DataFrame, most: int) -> int:
-    """The least count that ``most`` words at most reach, up to the width of a histogram of logarithms."""
+    """The least count that ``most`` words at most reach, up to the width of a histogram of logarithms; no word may reach it."""
     width = 64.0
     rows = counts.groupBy(F.floor(F.log2("n") * width).alias("b")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("b")).collect()
     words, least = 0, 1 << 62
@@ -105,21 +111,54 @@ def least_frequent(counts: DataFrame, most: int) -> int:
     return least
 
 
-def count_bigrams(docs: DataFrame, vocabulary: list[bytes], text_column: str = "text") -> np.ndarray:
-    """Matrix (word before, word) over the core words (END is the first) and, as the last, all others."""
+@dataclass
+class Bigrams:
+    """Counts of (word before, word) over the core words, the end being word 0, and, as the last, all others: sorted cells."""
+
+    side: int
+    cell: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> Bigrams:
+        """From a square matrix, or one without the row of all others."""
+        at = np.flatnonzero(matrix)
+        return cls(matrix.shape[1], at, matrix.reshape(-1)[at].astype(np.float64))
+
+    def lines(self, down: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By word before (or, ``down``, by word): where each one's entries start, the other words, the counts."""
+        own, other = self.cell // self.side, self.cell % self.side
+        if down:
+            own, other = other, own
+        by = np.argsort(own, kind="stable")
+        return np.searchsorted(own[by], np.arange(self.side + 1)), other[by].astype(np.int32), self.n[by]
+
+
+def count_bigrams(docs: DataFrame, vocabulary: list[bytes], text_column: str = "text") -> Bigrams:
+    """The bigrams of all training texts; a task holds HELD_CELLS different ones at most and passes them on."""
     m = len(vocabulary)
     side = m + 1
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, total = shared.value.get, np.zeros(side * side, np.int64)
+        get = shared.value.get
+        cells, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches_of(batches, text_column):
             tokens, _ = tokens_of(batch.column(text_column).to_pylist())
             ids = np.fromiter(map(get, tokens, repeat(m)), np.int64, len(tokens))
-            total += np.bincount(before(ids, 0) * side + ids, minlength=len(total))
-        yield from _cells(total)
+            here, n = np.unique(before(ids, 0) * side + ids, return_counts=True)
+            cells, at = np.unique(np.concatenate([cells, here]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, n]), len(cells)).astype(np.int64)
+            if len(cells) > HELD_CELLS:
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times)], ["cell", "n"])
+                cells, times = cells[:0], times[:0]
+        if len(cells):
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times)], ["cell", "n"])
 
-    return _summed(docs.select(text_column).mapInArrow(run, "cell bigint, n bigint"), side)
+    found = docs.select(text_column).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell = found["cell"].to_numpy()
+    by = np.argsort(cell)
+    return Bigrams(side, cell[by], found["n"].to_numpy()[by].astype(np.float64))
 
 
 def _cells(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -145,71 +184,71 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int, rounds: int = 20) -> np.ndarray:
+def exchange(bigrams: Bigrams | np.ndarray, classes: int, rounds: int = 10) -> np.ndarray:
     """Class of each clustered word; class ``classes`` is the end's.  Words start dealt out by frequency.
 
-    ``bigrams``: (word before, word), word 0 the end, the last column all other words, which a last row may stand for too.
+    All other words are a class that no word joins or leaves.  A move costs the classes
+    times those of them that the word meets.
     """
-    m = bigrams.shape[1] - 1
+    found = bigrams if isinstance(bigrams, Bigrams) else Bigrams.of(bigrams)
+    m = found.side - 1
     k = min(classes, max(1, m - 1))
     end, other = k, k + 1
-    of = np.concatenate([[end], np.arange(max(0, m - 1)) % k]).astype(np.int64)
-    b = bigrams.astype(np.float64)
+    of = np.concatenate([[end], np.arange(max(0, m - 1)) % k, [other]]).astype(np.int64)
+    (out_at, out_to, out_n), (in_at, in_of, in_n) = found.lines(False), found.lines(True)
     # between words and classes: o[w, h] w followed by class h; i[w, g] w behind class g
-    o = np.zeros((m, k + 2))
-    np.add.at(o.T, of, b[:m, :m].T)
-    o[:, other] = b[:m, m]
-    i = np.zeros((m, k + 2))
-    np.add.at(i.T, of, b[:m, :m])
-    n = np.zeros((k + 2, k + 2))
-    np.add.at(n, of, o)
-    if len(b) > m:
-        i[:, other] = b[m, :m]
-        np.add.at(n[other], of, b[m, :m])
-        n[other, other] = b[m, m]
+    size = k + 2
+    left, right = found.cell // found.side, found.cell % found.side
+    o = np.bincount(left * size + of[right], found.n, found.side * size).reshape(-1, size)
+    i = np.bincount(right * size + of[left], found.n, found.side * size).reshape(-1, size)
+    n = np.bincount(of[left] * size + of[right], found.n, size * size).reshape(size, size)
+    f, diagonal = _xlogx(n), np.arange(k)
     for _ in range(rounds):
         moved = 0
         for w in range(1, m):
-            a, own = of[w], b[w, w]
+            a = of[w]
+            some = slice(out_at[w], out_at[w + 1])
+            own = float(out_n[some][out_to[some] == w].sum())
             ow, iw = o[w].copy(), i[w].copy()
             ow[a] -= own
             iw[a] -= own
             n[a] -= ow
             n[:, a] -= iw
             n[a, a] -= own
-            rows, cols = n.sum(1), n.sum(0)
-            base, diagonal = _xlogx(n), np.arange(k)
-            down = _xlogx(n[:k] + ow) - base[:k]
-            across = _xlogx(n[:, :k] + iw[:, None]) - base[:, :k]
-            gain = down.sum(1) + across.sum(0) - down[diagonal, diagonal] - across[diagonal, diagonal]
-            corner = n[diagonal, diagonal]
-            gain += _xlogx(corner + ow[:k] + iw[:k] + own) - _xlogx(corner)
-            gain -= _xlogx(rows[:k] + ow.sum() + own) - _xlogx(rows[:k])
-            gain -= _xlogx(cols[:k] + iw.sum() + own) - _xlogx(cols[:k])
+            f[a], f[:, a] = _xlogx(n[a]), _xlogx(n[:, a])
+            rows, cols = n.sum(1)[:k], n.sum(0)[:k]
+            behind, ahead = np.flatnonzero(ow), np.flatnonzero(iw)
+            gain = (_xlogx(n[:k, behind] + ow[behind]) - f[:k, behind]).sum(1) + (_xlogx(n[ahead, :k] + iw[ahead, None]) - f[ahead, :k]).sum(0)
+            corner, old = n[diagonal, diagonal], f[diagonal, diagonal]
+            gain += _xlogx(corner + ow[:k] + iw[:k] + own) - _xlogx(corner + ow[:k]) - _xlogx(corner + iw[:k]) + old
+            gain -= _xlogx(rows + ow.sum() + own) - _xlogx(rows)
+            gain -= _xlogx(cols + iw.sum() + own) - _xlogx(cols)
             to = int(gain.argmax())
             if gain[to] <= gain[a] + 1e-9:
                 to = a
             n[to] += ow
             n[:, to] += iw
             n[to, to] += own
+            f[to], f[:, to] = _xlogx(n[to]), _xlogx(n[:, to])
             if to != a:
                 moved += 1
                 of[w] = to
-                o[:, a] -= b[:m, w]
-                o[:, to] += b[:m, w]
-                i[:, a] -= b[w, :m]
-                i[:, to] += b[w, :m]
+                which, times = in_of[in_at[w] : in_at[w + 1]], in_n[in_at[w] : in_at[w + 1]]
+                o[which, a] -= times
+                o[which, to] += times
+                which, times = out_to[some], out_n[some]
+                i[which, a] -= times
+                i[which, to] += times
         if not moved:
             break
-    return of
+    return of[:m]
 
 
-def class_bigrams(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The matrix of ``count_bigrams`` by class; words outside the core make up the last one."""
+def class_bigrams(bigrams: Bigrams, of: np.ndarray) -> np.ndarray:
+    """The bigrams by class; words outside the core make up the last one."""
     to = np.append(of, of[0] + 1)
-    n = np.zeros((to[-1] + 1, to[-1] + 1))
-    np.add.at(n, (to[:, None], to[None]), bigrams)
-    return n
+    size = int(to[-1]) + 1
+    return np.bincount(to[bigrams.cell // bigrams.side] * size + to[bigrams.cell % bigrams.side], bigrams.n, size * size).reshape(size, size)
 
 
 def context_weights(n: np.ndarray) -> np.ndarray:
@@ -342,9 +381,9 @@ def learn(docs: DataFrame, text_column: str = "text", clustered: int = CLUSTERED
         return Model({}, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros((2, 2)), np.zeros(2), 0, 0, 0.0, 0.0), counts.withColumn("class", F.lit(1))
     least = 1 if words <= few else least_frequent(counts, frequent)
     first = lambda x: (x[0] != END, -x[1], x[0])
-    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= max(least, FLOOR)).toLocalIterator()), key=first)[: clustered + 1]
-    if not top or top[0][0] != END:  # fewer ends than the least frequent of the top words
-        top = [(END, docs.count()), *top[:clustered]]
+    ends = F.col("word") == F.lit(bytearray(END))
+    core = counts.where(~ends & (F.col("n") >= FLOOR)).orderBy(F.desc("n"), "word").limit(clustered).collect()
+    top = [(END, counts.where(ends).first()["n"]), *((bytes(r["word"]), r["n"]) for r in core)]
     vocabulary = [w for w, _ in top]
     bigrams = count_bigrams(docs, vocabulary, text_column)
     of = exchange(bigrams, classes)
@@ -373,7 +412,7 @@ def with_transitions(model: Model, coded: DataFrame) -> Model:
             total += np.bincount(before(c, end) * size + c, minlength=len(total))
         yield from _cells(total)
 
-    n = _summed(coded.select("_classes").mapInArrow(run, "cell bigint, n bigint"), size)
+    n = _summed(coded.select("__lm_classes").mapInArrow(run, "cell bigint, n bigint"), size)
     share = (model.mass + ADDED) / (model.tokens + ADDED * size)
     return replace(model, transition=np.log10((n + PRIOR * share) / (n.sum(1, keepdims=True) + PRIOR)))
 
@@ -395,18 +434,24 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
 
+def kept_columns(keep: list[str]) -> list[str]:
+    """The kept columns, each once, but for those that bear names of results."""
+    return [c for c in dict.fromkeys(keep) if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
+
+
 def code(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
     """``keep`` columns, n_tokens, n_known, base_score, the sum of emissions and a byte for the class of each token, for every row.
 
     Texts are read once, in place.  Words that tasks do not hold leave with their
     place and meet their counts and classes in a shuffle.
     """
+    keep = kept_columns(keep)
     shared = docs.sparkSession.sparkContext.broadcast((model.id, model.base, model.emission, model.klass))
     kinds = dict(docs.dtypes)
-    sums = ["n_tokens", "n_known", "base_score", "_emission"]
+    sums = ["n_tokens", "n_known", "base_score", "__lm_emission"]
     kept = [f"`{c}` {kinds[c]}" for c in keep]
-    numbers = "n_tokens bigint, n_known bigint, base_score double, _emission double, _classes binary"
-    schema = ", ".join(["_row bigint", "_word binary", "_at bigint", *kept, numbers])
+    numbers = "n_tokens bigint, n_known bigint, base_score double, __lm_emission double, __lm_classes binary"
+    schema = ", ".join(["__lm_row bigint", "__lm_word binary", "__lm_at bigint", *kept, numbers])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_of, base, emission, klass = shared.value
@@ -423,60 +468,60 @@ def code(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], text
             whole = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64()), *(batch.column(k) for k in keep), pa.array(sizes), pa.array(whole(known[ids])), pa.array(whole(base[ids])), pa.array(whole(emission[ids])), _binary(klass[ids].tobytes(), np.append(starts, ends[-1]))],
-                ["_row", "_word", "_at", *keep, *sums, "_classes"],
+                ["__lm_row", "__lm_word", "__lm_at", *keep, *sums, "__lm_classes"],
             )
             rare = np.flatnonzero(ids < 0)
             if n := len(rare):
                 who = np.searchsorted(starts, rare, "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows[who]), pa.array([tokens[i] for i in rare.tolist()], pa.binary()), pa.array(rare - starts[who]), *(pa.nulls(n, batch.column(k).type) for k in keep), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))],
-                    ["_row", "_word", "_at", *keep, *sums, "_classes"],
+                    ["__lm_row", "__lm_word", "__lm_at", *keep, *sums, "__lm_classes"],
                 )
 
     found = cut(docs.select(*dict.fromkeys([*keep, text_column])).mapInArrow(run, schema))
-    rare = found.where(F.col("_word").isNotNull()).select("_row", F.col("_word").alias("word"), "_at")
+    rare = found.where(F.col("__lm_word").isNotNull()).select("__lm_row", F.col("__lm_word").alias("word"), "__lm_at")
     c, g = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("class"), F.lit(model.open))
-    late = rare.join(counts, "word", "left").groupBy("_row").agg(
-        F.sum((c > 0).cast("bigint")).alias("_known"), F.sum(model.base_of(c)).alias("_base"), F.sum(model.emission_of(c, g)).alias("_late"), F.collect_list(F.col("_at") * 256 + g).alias("_places")
+    late = rare.join(counts, "word", "left").groupBy("__lm_row").agg(
+        F.sum((c > 0).cast("bigint")).alias("__lm_known"), F.sum(model.base_of(c)).alias("__lm_base"), F.sum(model.emission_of(c, g)).alias("__lm_late"), F.collect_list(F.col("__lm_at") * 256 + g).alias("__lm_places")
     )
     zero = F.lit(0)
-    both = found.where(F.col("_word").isNull()).join(late, "_row", "left").select(
+    both = found.where(F.col("__lm_word").isNull()).join(late, "__lm_row", "left").select(
         *keep,
         "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", zero)).alias("n_known"),
-        (F.col("base_score") + F.coalesce("_base", zero)).alias("base_score"),
-        (F.col("_emission") + F.coalesce("_late", zero)).alias("_emission"),
-        "_classes",
-        "_places",
+        (F.col("n_known") + F.coalesce("__lm_known", zero)).alias("n_known"),
+        (F.col("base_score") + F.coalesce("__lm_base", zero)).alias("base_score"),
+        (F.col("__lm_emission") + F.coalesce("__lm_late", zero)).alias("__lm_emission"),
+        "__lm_classes",
+        "__lm_places",
     )
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, offsets = _codes(batch.column("_classes"))
-            codes, places = codes.copy(), batch.column("_places")
+            codes, offsets = _codes(batch.column("__lm_classes"))
+            codes, places = codes.copy(), batch.column("__lm_places")
             n = np.nan_to_num(pc.list_value_length(places).to_numpy(zero_copy_only=False)).astype(np.int64)
             flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             codes[np.repeat(offsets[:-1], n) + flat // 256] = flat % 256
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keep, *sums]), _binary(codes.tobytes(), offsets)], [*keep, *sums, "_classes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keep, *sums]), _binary(codes.tobytes(), offsets)], [*keep, *sums, "__lm_classes"])
 
     return cut(both.mapInArrow(fill, ", ".join([*kept, numbers])))
 
 
 def rate(coded: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Scores of ``coded`` texts."""
-    transition, end = model.transition, model.open - 1
+    transition, end, keep = model.transition, model.open - 1, kept_columns(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, offsets = _codes(batch.column("_classes"))
+            codes, offsets = _codes(batch.column("__lm_classes"))
             state = before(codes, end)
             state[offsets[:-1]] = end
             steps = np.add.reduceat(transition[state, codes], offsets[:-1])
-            score = steps + batch.column("_emission").to_numpy(zero_copy_only=False)
+            score = steps + batch.column("__lm_emission").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keep, "n_tokens", "n_known", "base_score"]), pa.array(score)], [*keep, "n_tokens", "n_known", "base_score", "score"])
 
     kinds = dict(coded.dtypes)

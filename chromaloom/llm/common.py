@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -65,36 +65,40 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+def remove(spark: SparkSession, folders: Iterable[str]) -> None:
     """Delete folders, wherever Spark can reach them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for p in paths:
-        where = jvm.org.apache.hadoop.fs.Path(p)
+    for folder in folders:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
         where.getFileSystem(conf).delete(where, True)
 
 
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Folders that ``cut`` writes within it go at its end, but for those of frames passed through what it yields.
+class Keep:
+    """Materialises frames that outlive a scope; ``folders`` are theirs."""
 
-    Only frames that are passed through may be used afterwards.
-    """
-    mine: list[str] = []
-    kept: set[str] = set()
+    def __init__(self) -> None:
+        self.folders: list[str] = []
 
-    def keep(df: DataFrame) -> DataFrame:
-        out = cut(df)
-        kept.add(mine[-1])
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out, folder = _written(df, False)
+        self.folders.append(folder)
         return out
 
-    _scopes.append(mine)
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Keep]:
+    """Folders that ``cut`` writes within it go at its end; only frames passed through what it yields may be used afterwards.
+
+    Those go with the scope around it, if there is one.
+    """
+    keep = Keep()
+    _scopes.append([])
     try:
         yield keep
     finally:
-        _scopes.pop()
-        remove(spark, [p for p in mine if p not in kept])
+        remove(spark, _scopes.pop())
         if _scopes:
-            _scopes[-1].extend(p for p in mine if p in kept)
+            _scopes[-1].extend(keep.folders)
 
 
 #: Bounds of what a Python worker is handed at once while ``cut`` runs.
@@ -122,15 +126,20 @@ def cut(df: DataFrame, gather: bool = False) -> DataFrame:
     files, two for each core or one for 16 shuffle partitions, whichever is more.
     Each file costs a process start on some file systems, and a read later.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    out, folder = _written(df, gather)
     if _scopes:
-        _scopes[-1].append(path)
+        _scopes[-1].append(folder)
+    return out
+
+
+def _written(df: DataFrame, gather: bool) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     if gather:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     with small_batches(spark):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

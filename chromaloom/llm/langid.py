@@ -10,12 +10,17 @@ whole batches.  A text belongs to the language with the shortest code, counting
 the bits of the language's own probability.
 
 Training reads every labelled row for the languages' frequencies and a bounded
-sample, chosen by a hash of the row, for the trees: SAMPLE_BYTES for each
-language and MAX_LANGUAGES languages at most, whatever the input.
+sample of pieces of texts for the trees: of each language the distinct pieces
+whose hashes are the least, SAMPLE_BYTES of them, whatever the input.  A piece is
+PIECE characters of a text; copies of a text have the same pieces, which count
+once.  Languages are put into blocks of BLOCK, each with tables of its own, so
+that no language is left out, however many there are.
 
 Defined cases: null text, text without a letter, or nothing to learn from give
-"und" with score 0; null languages and null texts are not learned from; ties go
-to the language that sorts first; texts are scored whole.
+"und" with score 0; null languages, null and empty texts are not learned from;
+ties go to the language that sorts first; texts are scored whole; repeated rows
+count each for a language's frequency and give a row each; an empty table gives
+an empty result; kept columns that bear names of results give way to them.
 """
 
 from __future__ import annotations
@@ -28,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import batches_of, free_names
 
 #: Bytes of context.  Four bytes make a 32-bit key.
 ORDER = 3
-#: Training text for each language's tree, and the most languages that get one (the most frequent).
-SAMPLE_BYTES, MAX_LANGUAGES = 400_000, 200
+#: Training text for each language's tree, characters of the pieces it is made of, and languages whose tables are one block.
+SAMPLE_BYTES, PIECE, BLOCK = 400_000, 4_000, 64
 UNDETERMINED = "und"
+#: Bins of hashes to each halving.
+STEPS = 8
 #: Costs (bytes times languages) held at once.
 CELLS = 1 << 22
 
@@ -99,11 +106,10 @@ def grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """Costs in bits, one column for each language, of the strings seen in training."""
+class Block:
+    """Costs in bits, one column for each language of a block, of the strings seen in training."""
 
     langs: list[str]
-    prior: np.ndarray
     keys: list[np.ndarray]  # the strings seen, by length 1 to ORDER + 1, sorted
     cost: list[np.ndarray]  # of each key's last byte, given the others
     contexts: list[np.ndarray]  # by length 0 to ORDER, sorted
@@ -114,12 +120,26 @@ class Model:
         return [Rows(k) for k in self.keys], [Rows(k) for k in self.contexts]
 
 
-def train(samples: dict[str, list[bytes]], docs: dict[str, int]) -> Model:
+@dataclass
+class Model:
+    """All languages in order, their prior bits, and the blocks that hold their tables."""
+
+    langs: list[str]
+    prior: np.ndarray
+    blocks: list[Block]
+
+
+def train(samples: dict[str, list[bytes]], docs: dict[str, int], block: int = BLOCK) -> Model:
     """Context trees from sample texts; ``docs`` counts the labelled rows of each language."""
     langs = sorted(samples)
+    total = sum(docs.get(x, 0) for x in langs)
+    prior = -np.log2(np.array([(docs.get(x, 0) + 1) / (total + len(langs)) for x in langs]))
+    return Model(langs, prior, [_trees({x: samples[x] for x in langs[a : a + block]}) for a in range(0, len(langs), block)])
+
+
+def _trees(samples: dict[str, list[bytes]]) -> Block:
+    langs = list(samples)
     n = len(langs)
-    if not n:
-        return Model([], np.zeros(0), [], [], [], [], np.zeros(0))
     counted = []
     for lang in langs:
         texts = samples[lang]
@@ -158,25 +178,23 @@ def train(samples: dict[str, list[bytes]], docs: dict[str, int]) -> Model:
             out = out + base
         cost.append(np.where(seen, own, out))
         escape.append(esc)
-    total = sum(docs.get(x, 0) for x in langs)
-    prior = -np.log2(np.array([(docs.get(x, 0) + 1) / (total + n) for x in langs])) 
-    return Model(langs, prior, keys, [c.astype(np.float32) for c in cost], contexts, [e.astype(np.float32) for e in escape], base)
+    return Block(langs, keys, [c.astype(np.float32) for c in cost], contexts, [e.astype(np.float32) for e in escape], base)
 
 
 class Scorer:
     """Code lengths of texts; one for each worker process."""
 
     def __init__(self, model: Model):
-        self.model, (self.rows, self.contexts) = model, model.tables()
+        self.model, self.tables = model, [b.tables() for b in model.blocks]
 
-    def costs(self, key: np.ndarray) -> np.ndarray:
-        """Bits of each byte in each language: look up the whole string, then shorter ones behind escapes."""
-        m = self.model
+    def costs(self, key: np.ndarray, block: int) -> np.ndarray:
+        """Bits of each byte in each language of a block: look up the whole string, then shorter ones behind escapes."""
+        m, (rows, contexts) = self.model.blocks[block], self.tables[block]
         out = np.zeros((len(key), len(m.langs)), np.float32)
         todo = np.arange(len(key))
         for k in range(ORDER, -1, -1):
             some = key[todo] & np.uint32((1 << 8 * (k + 1)) - 1 if k < 3 else 0xFFFFFFFF)
-            row = self.rows[k].find(some)
+            row = rows[k].find(some)
             hit = row >= 0
             if len(todo) == len(key) and hit.all():
                 return m.cost[k][row]
@@ -185,7 +203,7 @@ class Scorer:
             if not len(todo):
                 break
             if k:
-                context = self.contexts[k].find(some >> np.uint32(8))
+                context = contexts[k].find(some >> np.uint32(8))
                 known = context >= 0
                 out[todo[known]] += m.escape[k][context[known]]
             else:
@@ -199,14 +217,17 @@ class Scorer:
         full = np.flatnonzero(sizes)
         starts = (np.cumsum(sizes) - sizes)[full]
         data = np.frombuffer(b"".join(texts), np.uint8)
-        step = max(1, CELLS // max(1, len(self.model.langs)))
+        step = max(1, CELLS // max(1, len(self.model.langs[:BLOCK])))
         for a in range(0, len(data), step):  # bounded memory, however long a text and many the languages
             b, low = min(len(data), a + step), max(0, a - ORDER)
             first = np.searchsorted(starts, a, "right") - 1
             last = np.searchsorted(starts, b, "left")
             inside = starts[(starts >= low) & (starts < b)] - low
-            costs = self.costs(grams(data[low:b], inside)[a - low :])
-            out[full[first:last]] += np.add.reduceat(costs, np.maximum(starts[first:last] - a, 0), axis=0, dtype=np.float64)
+            key, at, upto = grams(data[low:b], inside)[a - low :], np.maximum(starts[first:last] - a, 0), 0
+            for i, block in enumerate(self.model.blocks):
+                mine = slice(upto, upto + len(block.langs))
+                out[full[first:last], mine] += np.add.reduceat(self.costs(key, i), at, axis=0, dtype=np.float64)
+                upto = mine.stop
         return out
 
 
@@ -218,39 +239,67 @@ def learnable(id_column: str = "doc_id") -> Column:
 def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from all rows of ``labelled`` that have a text and a language.
 
-    One aggregation gives each language's rows and bytes; from them follows the
-    share of rows, by a hash of the text, that makes up the sample.
+    One aggregation gives each language's rows.  A second one, over distinct pieces
+    (a hash and a size each, no text), gives the sizes by the pieces' hashes, from
+    which follows up to which hash a language's pieces make up the sample.  Only
+    those pieces reach the driver.
     """
-    rows = labelled.where(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull() & (F.col(text_column) != "")).select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    share = {r["lang"]: min(1.0, sample_bytes / r["bytes"]) for r in totals}
-    below = F.lit(-1.0)
-    for lang, s in share.items():
-        below = F.when(F.col("lang") == lang, F.lit(s)).otherwise(below)
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    samples: dict[str, list[bytes]] = {lang: [] for lang in share}
-    room = dict.fromkeys(share, 2 * sample_bytes)
+    text = F.col(text_column)
+    rows = labelled.where(text.isNotNull() & F.col(lang_column).isNotNull() & (text != "")).select(text.alias("text"), F.col(lang_column).alias("lang"))
+    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not totals:
+        return train({}, {})
+    pieces = F.ceil(F.char_length("text") / PIECE).cast("int")
+    sized = rows.select("lang", F.xxhash64("text").alias("t"), F.char_length("text").alias("chars"), F.octet_length("text").alias("octets"), pieces.alias("n"))
+    size = F.least(F.lit(PIECE), F.col("chars") - F.col("i") * PIECE) * F.col("octets") / F.col("chars")
+    hashed = sized.select("lang", "t", "chars", "octets", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("lang", "t", "i", _chance("t", "i").alias("u"), size.alias("bytes"))
+    # the least hashes first; STEPS bins to each halving of the hash
+    distinct = hashed.groupBy("lang", "t", "i", "u").agg(F.max("bytes").alias("bytes"))
+    bins = distinct.groupBy("lang", F.floor(-F.log2(F.greatest("u", F.lit(2.0**-60))) * STEPS).alias("b")).agg(F.sum("bytes").alias("bytes")).collect()
+    upto: dict[str, int] = {}
+    got: dict[str, float] = dict.fromkeys((r["lang"] for r in totals), 0.0)
+    for r in sorted(bins, key=lambda r: (r["lang"], -r["b"])):
+        if got[r["lang"]] < sample_bytes:
+            got[r["lang"]] += r["bytes"]
+            upto[r["lang"]] = r["b"]
+    bound = F.create_map(*(F.lit(x) for lang, b in sorted(upto.items()) for x in (lang, b)))
+    chosen = rows.select("lang", F.xxhash64("text").alias("t"), "text", pieces.alias("n"), bound[F.col("lang")].alias("least"))
+    # which pieces, by hash alone; only a row that has one is cut
+    wanted = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.floor(-F.log2(F.greatest(_chance(F.col("t"), i), F.lit(2.0**-60))) * STEPS) >= F.col("least"))
+    chosen = chosen.withColumn("which", wanted).where(F.size("which") > 0).select("lang", "t", "text", F.explode("which").alias("i"))
+    found = chosen.select("lang", "t", "i", F.encode(F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)), "UTF-8").alias("piece"))
+    # first() under an aggregation on the piece's name: copies of a text are combined before the shuffle
+    found = found.groupBy("lang", "t", "i").agg(F.first("piece").alias("piece")).select("lang", _chance("t", "i").alias("u"), "piece")
+    samples: dict[str, list[bytes]] = {r["lang"]: [] for r in totals}
+    room = dict.fromkeys(samples, sample_bytes)
     # in order of the hash, so that the bound cuts alike whatever the partitions
-    for r in rows.where(chance < below).select("lang", F.encode(F.substring("text", 1, sample_bytes), "UTF-8").alias("t"), F.xxhash64("text").alias("h")).orderBy("h", "lang").toLocalIterator():
+    for r in found.orderBy("lang", "u", "piece").toLocalIterator():
         if room[r["lang"]] > 0:
-            samples[r["lang"]].append(bytes(r["t"][: room[r["lang"]]]))
-            room[r["lang"]] -= len(samples[r["lang"]][-1])
+            samples[r["lang"]].append(bytes(r["piece"]))
+            room[r["lang"]] -= len(r["piece"])
     return train(samples, {r["lang"]: r["n"] for r in totals})
 
 
+def _chance(t: Column | str, i: Column | str) -> Column:
+    """A number from 0 to 1 for a piece of a text."""
+    return F.pmod(F.xxhash64(t, i), F.lit(1 << 50)) / float(1 << 50)
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str], text_column: str = "text") -> DataFrame:
     """``keep`` columns, lang_pred, score (probability of the language under the code lengths) and bits_per_byte."""
+    keep = [c for c in dict.fromkeys(keep) if c not in ("lang_pred", "score", "bits_per_byte")]
+    text_name, letters_name = free_names(keep, ["_text", "_letters"])
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
-        for batch in batches_of(batches, "_text", 1 << 20):
+        for batch in batches_of(batches, text_name, 1 << 20):
             scorer = scorer or Scorer(shared.value)
-            letters = batch.column("_letters").to_pylist()
+            letters = batch.column(letters_name).to_pylist()
             # view as bytes: nothing is decoded
-            texts = [t if ok else b"" for t, ok in zip(batch.column("_text").cast(pa.binary()).to_pylist(), letters, strict=True)]
+            texts = [t if ok else b"" for t, ok in zip(batch.column(text_name).cast(pa.binary()).to_pylist(), letters, strict=True)]
             langs, scores, rates = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if scorer.model.langs:
                 bits = scorer.score(texts)
@@ -266,4 +315,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_column: str = "
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, bits_per_byte double"])
     text = F.col(text_column)
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"), letters.alias("_letters")).mapInArrow(run, schema)
+    return docs.select(*keep, F.coalesce(text, F.lit("")).alias(text_name), letters.alias(letters_name)).mapInArrow(run, schema)

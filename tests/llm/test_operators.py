@@ -59,7 +59,7 @@ def test_decontamination_equals_brute_force(spark, fixture_dir, limit):
 
 
 def test_decontamination_modes(documents, spark):
-    docs = documents((1, "Keep THIS. a b c d e f g h i j!! and this"), (2, "clean"), (2, "clean"), (None, None)).withColumn("items", F.lit(1))
+    docs = documents((1, "Keep THIS. a b c d e f g h i j!! and this"), (2, "clean"), (2, "clean"), (None, None)).withColumn("items", F.lit(1)).withColumn("_hit_spans", F.lit(2)).withColumn("_HIT_DOC", F.lit(3)).withColumn("pos", F.lit(4))
     items = spark.createDataFrame([(5, "A b c d e f g h i j")], "item_id bigint, text string")
     assert sorted((r["doc_id"] or 0) for r in decontaminate.decontaminate(docs, items).collect()) == [0, 2, 2]
     spans = decontaminate.decontaminate(docs, items, mode="spans")
@@ -228,6 +228,21 @@ def test_code_lengths_are_exact(monkeypatch):
         assert np.allclose(got, want, rtol=1e-6)
 
 
+def test_every_language_is_learned(spark, documents):
+    # many languages; one that is mostly copies; one that is a single very long text
+    letters = [chr(0x4E00 + 40 * i + j) for i in range(90) for j in range(40)]
+    rng = random.Random(6)
+    text = lambda i, n: "".join(rng.choice(letters[40 * i : 40 * i + 40]) for _ in range(n))
+    docs = [(i, text(i, 60), f"l{i:02d}") for i in range(70)]
+    copy = text(80, 500)
+    docs += [(1000 + i, copy, "copies") for i in range(300)] + [(2000, text(81, 30_000), "long"), (2001, text(82, 50), None)]
+    model = langid.fit(documents(*docs), sample_bytes=20_000)
+    assert len(model.langs) == 72 and [len(b.langs) for b in model.blocks] == [64, 8]
+    tests = [(i, text(i, 30), "x") for i in range(70)] + [(80, text(80, 30)), (81, text(81, 30))]
+    got = rows(langid.predict(documents(*tests).withColumn("lang_pred", F.lit(1)).withColumn("_text", F.lit(2)), model, ["doc_id", "lang_pred", "_text"]))
+    assert all(got[i]["lang_pred"] == f"l{i:02d}" for i in range(70)) and got[80]["lang_pred"] == "copies" and got[81]["lang_pred"] == "long"
+
+
 def test_language_of_odd_texts(documents):
     docs = documents((1, "the cat and the hat " * 5, "en"), (2, "der hund und die katze " * 5, "de"), (3, None, "en"), (4, "123 !", "en"), (5, "and the cat", None), (6, "", "de"))
     got = rows(langid.predict(docs, langid.fit(docs), ["doc_id"]))
@@ -336,6 +351,43 @@ def test_class_model(spark, documents):
     assert all(r["n_known"] == 0 and r["base_score"] == pytest.approx(0) for r in classlm.score(docs, empty, none, ["doc_id"]).collect())
 
 
+def plain_likelihood(n, of):
+    """Sum over class bigrams of n log n, less those of rows and columns."""
+    size = max(of) + 2
+    c = np.zeros((size, size))
+    to = [*of, size - 1]
+    for (a, b), v in np.ndenumerate(n):
+        c[to[a], to[b]] += v
+    f = lambda x: sum(v * math.log(v) for v in np.ravel(x) if v > 0)
+    return f(c) - f(c.sum(0)) - f(c.sum(1))
+
+
+def test_exchange_ends_where_no_single_move_gains():
+    rng = np.random.default_rng(5)
+    n = rng.poisson(0.7, (13, 13))
+    of = classlm.exchange(n, 3, 100).tolist()
+    best = plain_likelihood(n, of)
+    for w in range(1, 12):
+        for c in range(3):
+            # totals of the fixed last class are the same before and after
+            assert plain_likelihood(n, [*of[:w], c, *of[w + 1 :]]) <= best + 1e-6
+
+
+def test_many_words_of_equal_count(documents):
+    docs = documents((1, "a b c d e"), (2, "a b c d e f"))
+    model, counts = classlm.fit(docs, frequent=3, few=0)
+    assert (model.tokens, model.words) == (13, 7) and len(set(r["class"] for r in counts.collect())) > 2
+    got = rows(classlm.score(docs, model, counts, ["doc_id"]))
+    for i, t in ((1, "abcde"), (2, "abcdef")):
+        c = Counter("abcdeabcdef")
+        c["\n"] = 2
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (13 + 0.1 * 8)) for w in [*t, "\n"])) and got[i]["n_known"] == len(t) + 1
+    # what is kept may bear any name; an empty table has no scores
+    odd = docs.withColumn("score", F.lit("x")).withColumn("word", F.lit(1))
+    assert classlm.score(odd, model, counts, ["doc_id", "word"]).columns[:2] == ["doc_id", "word"]
+    assert classlm.score(docs.limit(0), model, counts, ["doc_id"]).count() == 0
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_words_outside_the_core_have_classes(spark, documents, few):
     rng = random.Random(2)
