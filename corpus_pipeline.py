@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaloom.llm import bpe, decontaminate, dedup, quality, secrets
-from chromaloom.llm.common import cut, table
+from chromaloom.llm.common import remove, scope, table
 from chromaloom.llm.queries import vocabulary
 
 
@@ -60,9 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
-    return docs
+    docs, done = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with scope(spark) as keep:  # what a stage leaves behind goes, but for its result
+            docs = keep(stage(spark, docs, sf_dir))
+        remove(spark, done)
+        done = keep.folders
+    return STAGES[-1][1](spark, docs, sf_dir)
