@@ -23,7 +23,6 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +33,11 @@ from .common import batches_of
 #: Columns that encoding adds.
 ADDED = ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 #: Pre-tokens kept with their ids by each Python worker; when full, only those of the batch at hand stay.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters at most of a remembered pre-token.
 LONGEST_REMEMBERED = 64
 
 
-_first, _second = itemgetter(0), itemgetter(1)
-
-
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where it is printable, else the next one from U+0100 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -102,11 +98,12 @@ class Codec:
         self.cut = regex.compile(_exact_space(pattern)).findall
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model or sentencepiece_model(tokens))
         self.chars = dict(enumerate(byte_characters()))
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(self.whole.values())  # one object for each id
 
     def _learn(self, tokens: set[str]) -> dict[str, tuple[int, ...]]:
         """The ids of pre-tokens: looked up whole, the others encoded by the model in one call."""
-        found, rest = {}, []
+        found, rest, number = {}, [], self.numbers
         for token in tokens:
             rank = self.whole.get(token.encode())
             if rank is None:
@@ -114,31 +111,29 @@ class Codec:
             else:
                 found[token] = (rank,)
         for token, pieces in zip(rest, self.pieces.encode([t.encode().decode("latin-1").translate(self.chars) for t in rest], num_threads=1) if rest else [], strict=True):
-            found[token] = tuple(i - 1 for i in pieces)
+            found[token] = tuple([number[i - 1] for i in pieces])
         return found
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
-        """For each text its ids, and the same as decimal numbers joined by commas."""
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text."""
         cuts = [self.cut(t) if t else [] for t in texts]
-        new = set().union(*cuts).difference(self.known) if cuts else set()
+        used: set[str] = set().union(*cuts)
         here = self.known
-        if new:
+        if new := used.difference(here):
             ids = self._learn(new)
-            short = {t: (i, ",".join(map(str, i))) for t, i in ids.items() if len(t) <= LONGEST_REMEMBERED}
-            if len(self.known) + len(short) > REMEMBERED:
-                # what this batch needs stays; the rest goes
-                needed = set().union(*cuts)
-                self.known = {t: v for t, v in self.known.items() if t in needed}
-            self.known.update(short)
-            here = self.known if len(short) == len(ids) else {**self.known, **{t: (i, ",".join(map(str, i))) for t, i in ids.items() if t not in short}}
-        out = []
-        for tokens in cuts:
-            pairs = list(map(here.__getitem__, tokens))
-            out.append((list(chain.from_iterable(map(_first, pairs))), ",".join(map(_second, pairs))))
-        return out
+            long = {t: i for t, i in ids.items() if len(t) > LONGEST_REMEMBERED}
+            if len(here) + len(ids) > REMEMBERED:  # what this batch needs stays; the rest goes
+                here = self.known = {t: v for t, v in here.items() if t in used}
+            here.update(ids)
+            if long:
+                here = dict(here)
+                for t in long:
+                    del self.known[t]
+        get = here.__getitem__
+        return [list(chain.from_iterable(map(get, tokens))) for tokens in cuts]
 
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_batch([text])[0][0]
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -163,9 +158,9 @@ def _encoded(docs: DataFrame, keep: list[str], path: str, pattern: str, text_col
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches_of(batches, text_column):
             counts, id_digests, text_digests, lists = [], [], [], []
-            for found, written in codec.encode_batch(batch.column(text_column).to_pylist()):
+            for found in codec.encode_batch(batch.column(text_column).to_pylist()):
                 counts.append(len(found))
-                id_digests.append(digest(written.encode()))
+                id_digests.append(digest(str(found)[1:-1].replace(" ", "").encode()))
                 text_digests.append(digest(codec.decode(found)))
                 if ids:
                     lists.append(pa.array(found, pa.int32()))

@@ -142,7 +142,7 @@ def _written(df: DataFrame, gather: bool) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(folder), folder
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slice Arrow batches so that ``column`` holds about ``max_bytes`` at a time (one long row may exceed it)."""
     for batch in batches:
         sizes = batch.column(column)

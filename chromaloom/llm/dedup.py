@@ -194,34 +194,46 @@ def weighted_signatures(elements: np.ndarray, weights: np.ndarray, count: np.nda
     owner = np.repeat(np.arange(texts), count)
     weights = np.maximum(np.asarray(weights, np.float64), 0.0)
     total = np.bincount(owner, weights, texts)
-    # regions of weight: [0, 1), [1, 2), [2, 4) and so on, as far as the weight reaches
-    levels = 1 + np.ceil(np.log2(np.maximum(weights, 1.0))).astype(np.int64)
-    of = np.repeat(np.arange(len(elements)), levels)
-    level = np.arange(len(of)) - np.repeat(np.cumsum(levels) - levels, levels)
-    low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
-    width = np.where(level > 0, low, 1.0)
-    seeds = np.where(level > 0, mix(elements[of] + level.astype(np.uint64) * _U(0xE7037ED1A0B428DB)), elements[of])
-    owner, top = owner[of], weights[of]
+    # regions of weight: [0, 1) for all, then [1, 2), [2, 4) and so on, as far as the weight reaches
+    seeds, low, top = [elements], [np.zeros(len(elements))], [weights]
+    owners, level, at = [owner], 0, np.flatnonzero(weights > 1)
+    while len(at):
+        level += 1
+        start = 2.0 ** (level - 1)
+        seeds.append(mix(elements[at] + _U(level * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF)))
+        low.append(np.full(len(at), start))
+        top.append(weights[at])
+        owners.append(owner[at])
+        at = at[weights[at] > 2 * start]
+    seed, below, above, who = (np.concatenate(x) if level else x[0] for x in (seeds, low, top, owners))
+    width = np.maximum(below, 1.0)
+    partial = above < below + width  # the region reaches beyond the weight: darts above it miss
+    plain = not level and not partial.any()
     unit = lambda h: (h >> _U(11)).astype(np.float64) * 2.0**-53
     bound = size * (np.log(size) + SLACK) / np.where(total > 0, total, 1.0)
     todo = total > 0
     while todo.any():
-        at = np.flatnonzero(todo[owner])
-        rank, turn = np.zeros(len(at)), 0
+        at = np.flatnonzero(todo[who])
+        base, of, rank, turn = seed[at], who[at], np.zeros(len(at)), 0
+        wide = None if plain else width[at]
         best[todo] = np.inf
-        while len(at):
+        while len(base):
             turn += 1
-            h = mix(seeds[at] + _U(turn * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
-            rank = rank - np.log1p(-unit(h)) / width[at]
-            live = rank < bound[owner[at]]
-            at, rank, h = at[live], rank[live], h[live]
+            h = mix(base + _U(turn * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
+            gap = np.log1p(-unit(h))
+            rank = rank - (gap if plain else gap / wide)
+            live = rank < bound[of]
+            base, of, rank, h = base[live], of[live], rank[live], h[live]
             dart = mix(h ^ _U(0x589965CC75374CC3))
-            cell, hit = owner[at] * size + (dart % _U(size)).astype(np.int64), top[at] >= low[at] + width[at]
-            if not hit.all():  # the region reaches beyond the weight: darts above it miss
-                hit |= low[at] + unit(mix(h ^ _U(0xA0761D6478BD642F))) * width[at] < top[at]
-                cell, dart, when = cell[hit], dart[hit], rank[hit]
-            else:
-                when = rank
+            cell, when = of * size + (dart % _U(size)).astype(np.int64), rank
+            if not plain:
+                at, wide = at[live], wide[live]
+                some = np.flatnonzero(partial[at])
+                if len(some):
+                    missed = some[below[at[some]] + unit(mix(h[some] ^ _U(0xA0761D6478BD642F))) * wide[some] >= above[at[some]]]
+                    hit = np.ones(len(at), bool)
+                    hit[missed] = False
+                    cell, when, dart = cell[hit], when[hit], dart[hit]
             flat, ids = best.reshape(-1), out.reshape(-1)
             np.minimum.at(flat, cell, when)
             won = flat[cell] == when
@@ -469,12 +481,12 @@ def _across(keyed: DataFrame, least: float) -> DataFrame:
 
 def _joined(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
     """``rows`` with the columns of ``groups`` (a row for each key, ``n`` rows belong to it), large groups by broadcast."""
-    total = groups.agg(F.sum(n).alias("n")).first()["n"] or 0
-    large = F.col(n) > max(SMALL_GROUP, total // LARGE_GROUPS)
-    heavy = _table(groups.where(large))
-    near = rows.join(F.broadcast(heavy), key)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups.where(~large), key)
-    return near.unionByName(rest)
+    found = groups.agg(F.sum(n).alias("n"), F.max(n).alias("most")).first()
+    bound = max(SMALL_GROUP, (found["n"] or 0) // LARGE_GROUPS)
+    if (found["most"] or 0) <= bound:
+        return rows.join(groups, key)
+    heavy = F.broadcast(groups.where(F.col(n) > bound))
+    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(groups.where(F.col(n) <= bound), key))
 
 
 def _linked(docs: DataFrame, id_column: str, text_column: str, least: float, tied: bool) -> tuple[DataFrame, DataFrame]:
