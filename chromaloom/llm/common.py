@@ -80,7 +80,7 @@ class Keep:
         self.folders: list[str] = []
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        out, folder = _written(df, False)
+        out, folder = _written(df, False, {})
         self.folders.append(folder)
         return out
 
@@ -119,26 +119,26 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def cut(df: DataFrame, gather: bool = False) -> DataFrame:
+def cut(df: DataFrame, gather: bool = False, options: dict[str, str] | None = None) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that neither a lost executor nor a second use recomputes it.
 
     ``gather`` is for narrow tables behind a shuffle: they are written as fewer
     files, two for each core or one for 16 shuffle partitions, whichever is more.
     Each file costs a process start on some file systems, and a read later.
     """
-    out, folder = _written(df, gather)
+    out, folder = _written(df, gather, options or {})
     if _scopes:
         _scopes[-1].append(folder)
     return out
 
 
-def _written(df: DataFrame, gather: bool) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, gather: bool, options: dict[str, str]) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     if gather:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     with small_batches(spark):
-        df.write.parquet(folder)
+        df.write.options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder), folder
 
 

@@ -49,6 +49,8 @@ ROUNDS = 6
 NO_ID = 1 << 31
 #: Characters from which on a text is encoded by the codec of ``bpe``, whose pattern search never gives up.
 LONG = 100_000
+#: How ids are compressed while they wait for their place: in the shared folder, and in the shuffle.
+PACKED, LEVEL = {"compression": "zstd", "parquet.compression.codec.zstd.level": "7"}, 6
 #: The columns ``encoded`` gives.
 ID, PAYLOAD = "id", "payload"
 _U = np.uint64
@@ -163,17 +165,17 @@ def _encoder(path: str, pattern: str):
 def encoded(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, int]:
     """Per row: id and payload (its text's BPE ids, little-endian), written to the shared folder; and the bytes of an id."""
     width = 2 if len(bpe.read_ranks(path)) <= 1 << 16 else 4
+    kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fast, codec = _encoder(path, pattern)
         for batch in batches_of(batches, "_text"):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
-            ids = iter(fast.encode_ordinary_batch([t for t in texts if len(t) < LONG], num_threads=1))
-            found = [next(ids) if len(t) < LONG else codec.encode(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([np.array(x, f"<u{width}").tobytes() for x in found], pa.binary())], [ID, PAYLOAD])
+            found = (fast.encode_to_numpy(t).astype(kind) if len(t) < LONG else np.array(codec.encode(t), kind) for t in texts)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([x.tobytes() for x in found], pa.binary())], [ID, PAYLOAD])
 
     rows = docs.select(_whole(docs, id_column).alias("_id"), F.col(text_column).alias("_text"))
-    return cut(rows.mapInArrow(run, f"{ID} bigint, {PAYLOAD} binary")), width
+    return cut(rows.mapInArrow(run, f"{ID} bigint, {PAYLOAD} binary"), options=PACKED), width
 
 
 def _whole(docs: DataFrame, id_column: str) -> Column:
@@ -220,7 +222,7 @@ def materialise(docs: DataFrame, out_dir: str, payload: Column, width: int, id_c
         part = TaskContext.get().partitionId()
         number, expected = starts.value.get(part, (0, 0))
         end = number + expected
-        order = Permutation(layout.sequences, layout.key)
+        order, codec = Permutation(layout.sequences, layout.key), pa.Codec("zstd", compression_level=LEVEL)
         for batch in batches_of(batches, "_payload", 8 << 20):
             records = _records(batch.column("_id").to_pylist(), batch.column("_payload").to_pylist(), layout)
             slots = order.slot(np.arange(number, number + len(records)))
@@ -230,20 +232,20 @@ def materialise(docs: DataFrame, out_dir: str, payload: Column, width: int, id_c
             of = slots // per_range
             cuts = np.flatnonzero(np.diff(of, prepend=-1))
             ends = [*cuts[1:].tolist(), len(of)]
-            blobs = [zlib.compress(slots[a:b].astype("<i8").tobytes() + records[a:b].tobytes(), 1) for a, b in zip(cuts.tolist(), ends, strict=True)]
+            blobs = [codec.compress(slots[a:b].astype("<i8").tobytes() + records[a:b].tobytes(), asbytes=True) for a, b in zip(cuts.tolist(), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(of[cuts], pa.int32()), pa.array([b - a for a, b in zip(cuts.tolist(), ends, strict=True)], pa.int32()), pa.array(blobs, pa.binary())], ["range", "n", "blob"])
         if number != end:
             raise RuntimeError(f"partition {part} has other rows than when its sequences were counted")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, low, got = None, 0, 0
+        held, low, got, codec = None, 0, 0, pa.Codec("zstd")
         for batch in batches:
             for which, n, blob in zip(*(batch.column(c) for c in ("range", "n", "blob")), strict=True):
                 if held is None:
                     low = which.as_py() * per_range
                     held = np.zeros((min(per_range, layout.sequences - low), stride), np.uint8)
                 n = n.as_py()
-                data = zlib.decompress(blob.as_buffer())
+                data = codec.decompress(blob.as_buffer(), n * (8 + stride))
                 slots = np.frombuffer(data, "<i8", n)
                 held[slots - low] = np.frombuffer(data, np.uint8, offset=8 * n).reshape(n, stride)
                 got += n
