@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, cut
 
 #: Words of the core, classes, and words whose classes every task holds.
-CLUSTERED, CLASSES, FREQUENT = 3000, 64, 200_000
+CLUSTERED, CLASSES, FREQUENT = 2000, 64, 200_000
 #: Occurrences that a word needs for a class; a vocabulary that every task holds whole.
 FLOOR, FEW = 2, 10_000
 #: Weight of the class frequencies in a transition, and the count added to a word.
@@ -54,8 +54,6 @@ PRIOR, ADDED = 20.0, 0.1
 END = b"\n"
 #: Different words that a task counts before it passes them on.
 HELD_WORDS = 300_000
-#: Different bigrams of the core that a task counts before it passes them on.
-HELD_CELLS = 2_000_000
 #: A class beside a word (before it, or behind it after all those before) and how often it was seen there.
 SEEN = np.dtype([("cell", "u2"), ("n", "<u4")])
 
@@ -135,25 +133,19 @@ class Bigrams:
 
 
 def count_bigrams(docs: DataFrame, vocabulary: list[bytes], text_column: str = "text") -> Bigrams:
-    """The bigrams of all training texts; a task holds HELD_CELLS different ones at most and passes them on."""
+    """The bigrams of all training texts; a task holds a table of them, the driver those that occur."""
     m = len(vocabulary)
     side = m + 1
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        cells, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        get, total = shared.value.get, np.zeros(side * side, np.int64)
         for batch in batches_of(batches, text_column):
             tokens, _ = tokens_of(batch.column(text_column).to_pylist())
             ids = np.fromiter(map(get, tokens, repeat(m)), np.int64, len(tokens))
-            here, n = np.unique(before(ids, 0) * side + ids, return_counts=True)
-            cells, at = np.unique(np.concatenate([cells, here]), return_inverse=True)
-            times = np.bincount(at, np.concatenate([times, n]), len(cells)).astype(np.int64)
-            if len(cells) > HELD_CELLS:
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times)], ["cell", "n"])
-                cells, times = cells[:0], times[:0]
-        if len(cells):
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times)], ["cell", "n"])
+            cells, times = np.unique(before(ids, 0) * side + ids, return_counts=True)
+            total[cells] += times
+        yield from _cells(total)
 
     found = docs.select(text_column).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell = found["cell"].to_numpy()
