@@ -6,7 +6,6 @@ their distributions come from NumPy, on batches of finished statistics.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -110,36 +109,8 @@ def find_markers(values: DataFrame, groups: DataFrame, method: str = "ttest", by
 
 
 def false_discovery(df: DataFrame, p: str, name: str = "q") -> DataFrame:
-    """Benjamini-Hochberg over a whole table without one window over all rows.
-
-    Ranks come from a range-partitioned sort: counts and least values of the
-    partitions are combined on the driver (two numbers for each), rows are
-    finished within their partition.
-    """
-    ordered = df.orderBy(p).withColumn("_part", F.spark_partition_id())
-    from chromaloom.sources.shared import written
-
-    ordered = written(ordered)
-    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("low")).orderBy("low").collect()
-    total = sum(r["n"] for r in parts)
-    before, seen = {}, 0
-    for r in parts:
-        before[r["_part"]] = seen
-        seen += r["n"]
-    spark = df.sparkSession
-    starts = spark.createDataFrame([(k, v) for k, v in before.items()], "_part int, _before bigint")
-    from pyspark.sql import Window as W
-
-    within = W.partitionBy("_part").orderBy(p)
-    ranked = ordered.join(F.broadcast(starts), "_part").withColumn("_rank", F.row_number().over(within) + F.col("_before")).withColumn("_raw", F.lit(float(total)) / F.col("_rank") * F.col(p))
-    lows = {r["_part"]: r["m"] for r in ranked.groupBy("_part").agg(F.min("_raw").alias("m")).collect()}
-    after, least = {}, math.inf
-    for r in reversed(parts):
-        after[r["_part"]] = least
-        least = min(least, lows[r["_part"]])
-    ends = spark.createDataFrame([(k, v) for k, v in after.items()], "_part int, _after double")
-    later = within.rowsBetween(0, W.unboundedFollowing)
-    return ranked.join(F.broadcast(ends), "_part").withColumn(name, F.least(F.min("_raw").over(later), "_after")).drop("_part", "_before", "_rank", "_raw", "_after")
+    """Benjamini-Hochberg over a whole table, without a window over all rows; a p that many rows share is one row there."""
+    return adjust_p(df, p, [], "fdr", name)
 
 
 def simple_diff(values: DataFrame, groups: DataFrame, by: list[str], level: float = 0.05) -> DataFrame:

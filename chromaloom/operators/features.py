@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromaloom.functions.coords import Region, bin_start, in_region, midpoint_bin, parse_region
-from chromaloom.operators.primitives import interval_join
+from chromaloom.operators.primitives import interval_join, islands
 
 
 def fetch(particles: DataFrame, where: str | Region | tuple, resolution: int | None = None, query: str | None = None, closed: bool = False) -> DataFrame:
@@ -33,11 +33,8 @@ def slab(particles: DataFrame, width: float, axis: str = "x", middle: float = 0.
 
 def merge_overlaps(fragments: DataFrame, by: list[str], keep: list[str] | None = None) -> DataFrame:
     """Unions of intervals that overlap or touch, within the columns ``by``: by, start, end."""
-    order = W.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(F.col("start") <= reach, 0).otherwise(1)
-    numbered = fragments.select(*by, "start", "end").withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    spots = fragments.select(*by, "start", "end").distinct()
+    return islands(spots, by, "start", "end", 0, "_run").groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def three_prime_ends(fragments: DataFrame) -> DataFrame:

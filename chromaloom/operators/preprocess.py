@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaloom.functions.coords import bare_chromosome, without_haplotype
-from chromaloom.operators.primitives import chains, count_in_range, covering_end
+from chromaloom.operators.primitives import chain_numbers, count_in_range, covering_end
 
 #: Least phase probability of a phased contact.
 PHASED = 0.75
 #: The suffixes that phases 0 and 1 give a chromosome.
 SUFFIX = {"0": "(pat)", "1": "(mat)"}
+#: Exons, a row for each bin they touch, that are broadcast; bins of that width.
+BROADCAST_EXONS, EXON_BIN = 1_000_000, 100_000
 PHASE_COLUMNS = ["phase_prob00", "phase_prob01", "phase_prob10", "phase_prob11"]
 
 
@@ -71,9 +73,19 @@ def exons_of(gtf: DataFrame) -> DataFrame:
     return gtf.where((F.col("feature") == "exon") & (F.col("source") == "HAVANA")).select(F.col("seqname").alias("chrom"), "start", "end")
 
 
-def clean_splicing(pairs: DataFrame, exons: DataFrame, block: int = 1_000_000) -> DataFrame:
-    """Pairs of which no exon holds both legs: start < lower leg and upper leg <= end, on one chromosome."""
+def clean_splicing(pairs: DataFrame, exons: DataFrame, block: int = 1_000_000, most: int = BROADCAST_EXONS) -> DataFrame:
+    """Pairs of which no exon holds both legs: start < lower leg and upper leg <= end, on one chromosome.
+
+    Exons are counted (a job over them): while few, they are broadcast by the bins
+    they touch and the pairs stay where they are; more of them meet the pairs'
+    positions in windows over blocks.
+    """
     low, high = F.least("pos1", "pos2"), F.greatest("pos1", "pos2")
+    first, last = F.floor((F.col("start") + 1) / EXON_BIN), F.floor(F.col("end") / EXON_BIN)
+    binned = exons.where("end > start").select(F.col("chrom").alias("_chrom"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.explode(F.sequence(first, F.greatest(first, last))).alias("_bin"))
+    if binned.count() <= most:
+        inside = (F.col("chrom1") == F.col("chrom2")) & (F.col("chrom1") == F.col("_chrom")) & (F.floor(low / EXON_BIN) == F.col("_bin")) & (F.col("_start") < low) & (F.col("_end") >= high)
+        return pairs.join(F.broadcast(binned), inside, "left_anti")
     cis = pairs.where(F.col("chrom1") == F.col("chrom2")).withColumn("chrom", F.col("chrom1")).withColumn("_low", low)
     kept = covering_end(exons.select("chrom", "start", "end"), cis, ["chrom"], "_low", block, "_reach").where(F.col("_reach").isNull() | (F.col("_reach") < high))
     return kept.select(*pairs.columns).unionByName(pairs.where(~F.col("chrom1").eqNullSafe(F.col("chrom2"))))
@@ -151,10 +163,12 @@ def dedup_pairs(pairs: DataFrame, order: str = "read_id", gap: int = 500, keys:
     keys = ["cell"] if keys is None else keys
     out = pairs
     for i in (1, 2):
-        out = chains(out, [*keys, f"chrom{i}"], f"pos{i}", gap, f"_chain{i}")
+        by = [*keys, f"chrom{i}"]
+        out = out.join(chain_numbers(pairs, by, f"pos{i}", gap, f"_chain{i}"), [*by, f"pos{i}"])
     names = [*keys, "chrom1", "chrom2", "_chain1", "_chain2"]
-    least = out.groupBy(*names).agg(F.min(order).alias(order))
-    return out.join(least, [*names, order], "left_semi").dropDuplicates(names).select(*pairs.columns)
+    rest = [c for c in pairs.columns if c not in (*keys, "chrom1", "chrom2", order)]
+    first = out.groupBy(*names).agg(F.min(F.struct(order, *rest)).alias("_first"))
+    return first.select(*names, "_first.*").select(*pairs.columns)
 
 
 def removed_share(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ split those that are skewed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
 
@@ -85,9 +86,10 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], bin_size:
         b = right.withColumn("_bin", F.explode(bins("r_start", "r_end")))
         first = F.floor(F.greatest(F.col("start"), F.col("r_start")) / bin_size)
         return a.join(b, [*keys, "_bin"]).where(test & (F.col("_bin") == first)).drop("_bin")
-    marked = left.withColumn("_row", F.monotonically_increasing_id())
-    hits = interval_join(marked.select(*keys, "start", "end", "_row"), right, keys, bin_size, mode).select("_row").distinct()
-    return marked.join(hits, "_row", how).drop("_row")
+    # rows with the same interval fare alike, so the distinct intervals decide; no row numbers, which a retry may deal anew
+    spots = left.select(*keys, "start", "end").distinct()
+    hits = interval_join(spots, right, keys, bin_size, mode).select(*keys, "start", "end").distinct()
+    return left.join(hits, [*keys, "start", "end"], how).select(*left.columns)
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, bin_size: int) -> DataFrame:
@@ -108,21 +110,54 @@ def densify(values: DataFrame, extents: DataFrame, keys: list[str], size: str, r
     return out if fill is None else out.na.fill(fill, columns)
 
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: Column | int = 0, name: str = "island") -> DataFrame:
-    """Numbers runs of intervals: a new run begins where start exceeds the farthest end so far by more than ``gap``."""
-    order = W.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)
-    return df.withColumn("_fresh", fresh).withColumn(name, F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_fresh")
+#: Positions of one block of the windows of ``islands`` and ``chains``.
+RUN_BLOCK = 5_000_000
 
 
-def chains(df: DataFrame, keys: list[str], pos: str, gap: int, name: str) -> DataFrame:
-    """Numbers chains of positions whose neighbours are ``gap`` apart at most (distinct positions first, so hot ones stay small)."""
-    places = df.select(*keys, pos).distinct()
-    order = W.partitionBy(*keys).orderBy(pos)
-    fresh = F.when(F.col(pos) - F.lag(pos).over(order) <= gap, 0).otherwise(1)
-    numbered = places.withColumn("_fresh", fresh).withColumn(name, F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("bigint")).drop("_fresh")
-    return df.join(numbered, [*keys, pos])
+def _carried(df: DataFrame, keys: list[str], value: Column, how: Callable[[str], Column], name: str) -> DataFrame:
+    """``df`` (with _block) with ``how`` of ``value`` over all earlier blocks of its keys; the window runs over a row for each block."""
+    blocks = df.groupBy(*keys, "_block").agg(value.alias("_of"))
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    return df.join(blocks.select(*keys, "_block", how("_of").over(earlier).alias(name)), [*keys, "_block"])
+
+
+def _numbered(flagged: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Running number of the rows marked _fresh: within blocks, and carried from block to block."""
+    within = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    carried = _carried(flagged, keys, F.sum("_fresh"), F.sum, "_before")
+    return carried.withColumn(name, (F.sum("_fresh").over(within) + F.coalesce("_before", F.lit(0))).cast("bigint")).drop("_fresh", "_before", "_block")
+
+
+def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, name: str = "island", block: int = RUN_BLOCK) -> DataFrame:
+    """Numbers runs of intervals: a new run begins where start exceeds the farthest end so far by more than ``gap``.
+
+    Distinct intervals are numbered, in blocks of starts; what crosses a border is carried by a row for each block.
+    """
+    spots = df.select(*keys, start, end).distinct().withColumn("_block", F.floor(F.col(start) / block))
+    before = W.partitionBy(*keys, "_block").orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
+    reach = F.greatest(F.max(end).over(before), F.col("_reach"))
+    carried = _carried(spots, keys, F.max(end), F.max, "_reach")
+    flagged = carried.withColumn("_fresh", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)).drop("_reach")
+    return df.join(_numbered(flagged, keys, [start, end], name), [*keys, start, end]).select(*df.columns, name)
+
+
+def chain_numbers(df: DataFrame, keys: list[str], pos: str, gap: int, name: str, block: int = RUN_BLOCK) -> DataFrame:
+    """keys, pos and the number of the chain: neighbours in a chain are ``gap`` apart at most.
+
+    Distinct positions first, so hot ones stay small; windows run within blocks,
+    and the last position of the blocks before is carried by a row for each block.
+    """
+    spots = df.select(*keys, pos).distinct().withColumn("_block", F.floor(F.col(pos) / block))
+    within = W.partitionBy(*keys, "_block").orderBy(pos)
+    last = F.coalesce(F.lag(pos).over(within), F.col("_last"))
+    carried = _carried(spots, keys, F.max(pos), F.max, "_last")
+    flagged = carried.withColumn("_fresh", F.when(F.col(pos) - last <= gap, 0).otherwise(1)).drop("_last")
+    return _numbered(flagged, keys, [pos], name)
+
+
+def chains(df: DataFrame, keys: list[str], pos: str, gap: int, name: str, block: int = RUN_BLOCK) -> DataFrame:
+    """``df`` with the numbers of ``chain_numbers``."""
+    return df.join(chain_numbers(df, keys, pos, gap, name, block), [*keys, pos]).select(*df.columns, name)
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -132,24 +167,63 @@ def average_rank(value: str, keys: list[str]) -> Column:
 
 
 def adjust_p(df: DataFrame, p: str, keys: list[str], method: str = "fdr", name: str = "q") -> DataFrame:
-    """Multiple-testing correction of non-null p: fdr (not clipped), bonferroni (not clipped) or holm (no monotone step)."""
-    everyone = W.partitionBy(*keys)
-    n = F.count(p).over(everyone)
-    if method == "bonferroni":
-        return df.withColumn(name, n * F.col(p))
-    rank = F.row_number().over(everyone.orderBy(F.col(p).asc_nulls_last(), *_ties(df, p, keys)))
-    if method == "holm":
-        return df.withColumn(name, (n - rank + 1) * F.col(p))
-    if method != "fdr":
-        raise ValueError(f"unknown method {method!r}")
-    raw = df.withColumn("_q", n / rank * F.col(p)).withColumn("_rank", rank)
-    later = everyone.orderBy("_rank").rowsBetween(0, W.unboundedFollowing)
-    return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.min("_q").over(later))).drop("_q", "_rank")
-
+    """Multiple-testing correction of non-null p: fdr (not clipped), bonferroni (not clipped) or holm (no monotone step).
 
-def _ties(df: DataFrame, p: str, keys: list[str]) -> list[str]:
-    kinds = dict(df.dtypes)
-    return [c for c in df.columns if c not in (p, *keys) and not kinds[c].startswith(("map", "array", "struct"))]
+    Rows with equal p get equal values: the last rank of the tie for fdr, the first for holm.  Without ``keys``
+    ranks come from range partitions whose sums are combined on the driver, so no window spans the table.
+    """
+    if method not in ("fdr", "bonferroni", "holm"):
+        raise ValueError(f"unknown method {method!r}")
+    # a row for each distinct p: ranks of ties are running counts, whatever the number of rows that share a p
+    tally = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_t"))
+    if keys:
+        upto = W.partitionBy(*keys).orderBy(p).rowsBetween(W.unboundedPreceding, 0)
+        ranked = tally.withColumn("_last", F.sum("_t").over(upto)).withColumn("_n", F.sum("_t").over(W.partitionBy(*keys)))
+    else:
+        ranked = _ranked(tally, p)
+    q = {"bonferroni": F.col("_n") * F.col(p), "holm": (F.col("_n") - F.col("_last") + F.col("_t")) * F.col(p), "fdr": F.col("_n") / F.col("_last") * F.col(p)}[method]
+    ranked = ranked.withColumn(name, q)
+    if method == "fdr":
+        later = W.partitionBy(*keys).orderBy(p).rowsBetween(0, W.unboundedFollowing)
+        ranked = ranked.withColumn(name, F.min(name).over(later)) if keys else _lowered(ranked, p, name)
+    found = ranked.select(*keys, F.col(p).alias("_p"), name)
+    same = df[p] == found["_p"]
+    for k in keys:
+        same = same & df[k].eqNullSafe(found[k])
+    return df.join(found, same, "left").select(*(df[c] for c in df.columns if c != name), found[name])
+
+
+def _parts(ordered: DataFrame, p: str, value: Column) -> list:
+    """One value for each range partition of ``ordered``, in order: a number of rows that the partitions bound."""
+    return ordered.groupBy("_part").agg(F.min(p).alias("low"), value.alias("v")).orderBy("low").collect()
+
+
+def _with(ordered: DataFrame, values: dict[int, float], name: str, kind: str) -> DataFrame:
+    rows = ordered.sparkSession.createDataFrame(list(values.items()), f"_part int, {name} {kind}")
+    return ordered.join(F.broadcast(rows), "_part")
+
+
+def _ranked(tally: DataFrame, p: str) -> DataFrame:
+    """``tally`` (distinct p, _t rows each) over a whole table, in range partitions: _last (rows up to p), _n (all rows)."""
+    from chromaloom.sources.shared import written
+
+    ordered = written(tally.orderBy(p).withColumn("_part", F.spark_partition_id()))
+    before, seen = {}, 0
+    for r in _parts(ordered, p, F.sum("_t")):
+        before[r["_part"]] = seen
+        seen += r["v"]
+    within = W.partitionBy("_part").orderBy(p).rowsBetween(W.unboundedPreceding, 0)
+    return _with(ordered, before, "_before", "bigint").withColumn("_last", F.sum("_t").over(within) + F.col("_before")).withColumn("_n", F.lit(seen)).drop("_before")
+
+
+def _lowered(ranked: DataFrame, p: str, name: str) -> DataFrame:
+    """The least of ``name`` from each p on, in the partitions of ``_ranked``."""
+    after, least = {}, float("inf")
+    for r in reversed(_parts(ranked, p, F.min(name))):
+        after[r["_part"]] = least
+        least = min(least, r["v"])
+    later = W.partitionBy("_part").orderBy(p).rowsBetween(0, W.unboundedFollowing)
+    return _with(ranked, after, "_after", "double").withColumn(name, F.least(F.min(name).over(later), "_after")).drop("_after")
 
 
 def distance(axes: tuple[str, ...] = ("x", "y", "z"), left: str = "", right: str = "r_") -> Column:
