@@ -218,3 +218,58 @@ def volcano(markers: DataFrame, annotation: DataFrame) -> DataFrame:
 def corrected(df: DataFrame, p: str, method: str = "fdr", keys: list[str] | None = None, name: str = "q") -> DataFrame:
     """Correction within groups by a window (for groups of bounded size); see ``false_discovery`` for whole tables."""
     return adjust_p(df, p, keys or [], method, name)
+
+
+def dealt_groups(cells: DataFrame, mode: str, groups: DataFrame | None = None, trials: int = 30, sizes: tuple[int, ...] = (20, 40, 60, 80, 100, 120, 140, 160, 180), seed: int = 31) -> DataFrame:
+    """Groups for repeated tests: trial, cell, group.  ``cells`` has a row for each cell; ``groups`` (cell, group) for two of the modes.
+
+    celltype: the groups as they are, one trial.  allele: every cell's two alleles
+    (cells named by cell and allele letter a or b) against each other, one trial.
+    random: cells dealt anew into halves, ``trials`` times.  sample: ``sizes`` cells of
+    group 1 drawn against the whole of group 2.  Draws go by a hash of seed and name.
+    """
+    from pyspark.sql import Window as W
+
+    if mode in ("celltype", "sample") and groups is None:
+        raise ValueError(f"mode {mode} needs groups")
+    spark = cells.sparkSession
+    one = F.lit(1).cast("bigint").alias("trial")
+    if mode == "celltype":
+        return groups.select(one, "cell", "group")
+    if mode == "allele":
+        return cells.select(one, F.explode(F.array(*[F.struct(F.concat("cell", F.lit(x)).alias("cell"), F.lit(g).alias("group")) for x, g in (("a", 1), ("b", 2))])).alias("_a")).select("trial", "_a.*")
+    drawn = F.md5(F.concat_ws("_", "trial", "cell"))
+    if mode == "random":
+        dealt = cells.select("cell").distinct().crossJoin(F.broadcast(spark.range(seed, seed + trials).select(F.col("id").alias("trial"))))
+        place = F.row_number().over(W.partitionBy("trial").orderBy(drawn, "cell"))
+        half = F.ceil(F.count(F.lit(1)).over(W.partitionBy("trial")) / 2)
+        return dealt.select("trial", "cell", F.when(place <= half, 1).otherwise(2).alias("group"))
+    if mode != "sample":
+        raise ValueError(f"unknown mode {mode!r}")
+    rounds = F.broadcast(spark.createDataFrame([(int(x),) for x in sizes], "trial bigint"))
+    first = groups.where(F.col("group") == 1).crossJoin(rounds)
+    taken = first.withColumn("_place", F.row_number().over(W.partitionBy("trial").orderBy(drawn, "cell"))).where(F.col("_place") <= F.col("trial"))
+    return taken.select("trial", "cell", "group").unionByName(groups.where(F.col("group") == 2).crossJoin(rounds).select("trial", "cell", "group"))
+
+
+def trial_statistics(values: DataFrame, dealt: DataFrame, by: list[str], welch: bool = True) -> DataFrame:
+    """t statistics of every trial of ``dealt_groups``: trial, by, n1, n2, mean1, mean2, t, df."""
+    return t_statistics(values.join(dealt, "cell"), ["trial", *by], welch)
+
+
+def trial_tests(values: DataFrame, dealt: DataFrame, by: list[str], method: str = "welch", most: float = 5.0) -> DataFrame:
+    """Every trial's tests with p and q, q within the trial; loci whose lesser mean reaches ``most`` go."""
+    rows = values.join(dealt, "cell")
+    if method == "wilcox":
+        tested = u_statistics(rows, ["trial", *by]).withColumn("p", F.coalesce(normal_probability("z"), F.lit(1.0)))
+    elif method in ("ttest", "welch"):
+        tested = t_statistics(rows, ["trial", *by], method == "welch").withColumn("p", F.coalesce(t_probability("t", "df"), F.lit(1.0)))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return adjust_p(tested.where(F.least("mean1", "mean2") < most), "p", ["trial"], "fdr")
+
+
+def band_results(tested: DataFrame, resolution: int, bins: int) -> DataFrame:
+    """Results of tests on a band (chrom, pos1, pos2, ...) that have a p, within ``bins`` of the diagonal, with its number k, in order."""
+    k = F.floor((F.col("pos2") - F.col("pos1")) / resolution)
+    return tested.withColumn("k", k).where((F.col("k") >= 0) & (F.col("k") < bins) & (F.col("p") > 0)).orderBy("chrom", "pos1", "pos2")

@@ -341,3 +341,10 @@ def shifted_bins(lines: DataFrame, shift: int = 10_000) -> DataFrame:
 def springs_within(pairs: DataFrame, most: int) -> DataFrame:
     """Pairs that are trans or at most ``most`` apart."""
     return pairs.where((F.col("chrom1") != F.col("chrom2")) | (F.abs(F.col("pos1") - F.col("pos2")) <= most))
+
+
+def labelled(values: DataFrame, track: DataFrame, how: str = "inner") -> DataFrame:
+    """``values`` joined with a track (chrom, pos, ...) by locus; right and full keep loci without a value."""
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"unknown join {how!r}")
+    return values.join(track, ["chrom", "pos"], how)

@@ -180,3 +180,40 @@ def gini(values: DataFrame, by: list[str]) -> DataFrame:
     n = F.col("n")
     raw = F.try_divide(2 * F.col("_w"), n * F.col("_s")) - (n + 1) / n
     return sums.select(*by, "n", (raw * F.try_divide(n.cast("double"), n - 1)).alias("gini"))
+
+
+def all_rmsd(particles: DataFrame, mirror: bool = True) -> DataFrame:
+    """Per pair of cells: cell1, cell2, n (loci that all cells share) and the RMSD after the best rotation.
+
+    ``mirror`` takes the mirror image of the second cell where that fits better.  Sums
+    over loci come from one aggregation; only they reach the alignment.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from chromaloom.functions.numeric import kabsch_from
+
+    axes = ("x", "y", "z")
+    n_cells = particles.select("cell").distinct().count()
+    shared = particles.groupBy("chrom", "pos").agg(F.count_distinct("cell").alias("_n")).where(F.col("_n") == n_cells).select("chrom", "pos")
+    rows = particles.join(shared, ["chrom", "pos"], "left_semi").select("cell", "chrom", "pos", *[F.col(c).cast("double").alias(c) for c in axes])
+    other = rows.select(F.col("cell").alias("cell2"), "chrom", "pos", *[F.col(c).alias(f"r_{c}") for c in axes])
+    both = rows.withColumnRenamed("cell", "cell1").join(other, ["chrom", "pos"]).where("cell1 < cell2")
+    sums = both.groupBy("cell1", "cell2").agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(c, f"r_{d}").alias(f"p_{c}{d}") for c in axes for d in axes], *[F.var_pop(c).alias(f"v_{c}") for c in (*axes, *(f"r_{c}" for c in axes))])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                cross = np.array([[getattr(r, f"p_{c}{d}") for d in axes] for c in axes]) * r.n
+                squares = sum(getattr(r, f"v_{c}") for c in (*axes, *(f"r_{c}" for c in axes))) * r.n
+                found = kabsch_from(cross, squares, r.n)[1]
+                out.append(min(found, kabsch_from(-cross, squares, r.n)[1]) if mirror else found)
+            yield pd.DataFrame({"cell1": pdf["cell1"], "cell2": pdf["cell2"], "n": pdf["n"], "rmsd": out})
+
+    return sums.mapInPandas(run, "cell1 string, cell2 string, n bigint, rmsd double")
+
+
+def rmsd_summary(pairs: DataFrame) -> DataFrame:
+    """One row: root mean square and median of all pairs' RMSD."""
+    return pairs.agg(F.sqrt(F.avg(F.col("rmsd") * F.col("rmsd"))).alias("rms"), F.percentile("rmsd", F.lit(0.5)).alias("median"))

@@ -186,11 +186,11 @@ def adjust_p(df: DataFrame, p: str, keys: list[str], method: str = "fdr", name:
     if method == "fdr":
         later = W.partitionBy(*keys).orderBy(p).rowsBetween(0, W.unboundedFollowing)
         ranked = ranked.withColumn(name, F.min(name).over(later)) if keys else _lowered(ranked, p, name)
-    found = ranked.select(*keys, F.col(p).alias("_p"), name)
-    same = df[p] == found["_p"]
-    for k in keys:
-        same = same & df[k].eqNullSafe(found[k])
-    return df.join(found, same, "left").select(*(df[c] for c in df.columns if c != name), found[name])
+    found = ranked.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(p).alias("_p"), F.col(name).alias("_adjusted"))
+    same = F.col(p) == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return df.join(found, same, "left").select(*[F.col(c) for c in df.columns if c != name], F.col("_adjusted").alias(name))
 
 
 def _parts(ordered: DataFrame, p: str, value: Column) -> list:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromaloom.functions.coords import Region
-from chromaloom.operators.primitives import average_rank, bucket_join, squared_distance
+from chromaloom.operators.primitives import average_rank, bucket_join, distance, squared_distance
 
 AXES = ("x", "y", "z")
 AGGREGATIONS = ("sum", "mean", "max", "min", "count")
@@ -427,3 +427,42 @@ def nearest_of_top(particles: DataFrame, feature: str, share: float, k: int, sta
     keys = ["cell"] if keys is None else keys
     top = top_share(particles, feature, share, keys)
     return k_nearest(top, k, start, keys).groupBy(*keys, "chrom", "pos").agg(F.avg("distance").alias("mean"))
+
+
+def drawn(particles: DataFrame, n: Column | int, by: list[str], salt: Column | str, name: str = "_place") -> DataFrame:
+    """The first ``n`` particles of each group in the order of a hash of salt, chromosome and position."""
+    from pyspark.sql import Window as W
+
+    salt = F.lit(salt) if isinstance(salt, str) else salt
+    order = W.partitionBy(*by).orderBy(F.md5(F.concat_ws("_", salt, "chrom", "pos")), "chrom", "pos")
+    return particles.withColumn(name, F.row_number().over(order)).where(F.col(name) <= n).drop(name)
+
+
+def nearest_of_random(particles: DataFrame, share: float, k: int, start: float, seed: str = "0", keys: list[str] | None = None) -> DataFrame:
+    """The random arm beside ``nearest_of_top``: as many particles, drawn by hash: keys, chrom, pos, mean distance to the ``k`` nearest others drawn."""
+    keys = ["cell"] if keys is None else keys
+    n = particles.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) * share).alias("_n"))
+    some = drawn(particles.join(n, keys), F.col("_n"), keys, seed).drop("_n")
+    return k_nearest(some, k, start, keys).groupBy(*keys, "chrom", "pos").agg(F.avg("distance").alias("mean"))
+
+
+def sampled_distances(particles: DataFrame, feature: str, threshold: float, own: int = 50, others: int = 100, seed: str = "0", keys: list[str] | None = None) -> DataFrame:
+    """Distances between chromosomes, sampled: keys, arm, chrom, distance.
+
+    For each chromosome ``own`` of its particles meet ``others`` of the rest, both drawn
+    by hash: arm 1 draws from all particles, arm 2 from those above the threshold.
+    A chromosome's part has own times others rows, whatever the input.
+    """
+    keys = ["cell"] if keys is None else keys
+    out = None
+    for arm, rows in ((1, particles), (2, particles.where(F.col(feature) > threshold))):
+        rows = rows.select(*keys, "chrom", "pos", "x", "y", "z")
+        targets = rows.select(*keys, F.col("chrom").alias("_target")).distinct()
+        near = drawn(rows, own, [*keys, "chrom"], seed).select(*keys, F.col("chrom").alias("_target"), "x", "y", "z")
+        # a draw per chromosome of the rest needs at most others of each other chromosome
+        few = drawn(rows, others, [*keys, "chrom"], f"{seed}o")
+        far = few.join(F.broadcast(targets) if not keys else targets, keys) if keys else few.crossJoin(F.broadcast(targets))
+        far = drawn(far.where(F.col("chrom") != F.col("_target")), others, [*keys, "_target"], f"{seed}o").select(*keys, "_target", *[F.col(c).alias(f"r_{c}") for c in "xyz"])
+        found = near.join(far, [*keys, "_target"]).select(*keys, F.lit(arm).alias("arm"), F.col("_target").alias("chrom"), distance().alias("distance"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -91,7 +91,14 @@ def insulation(pixels: DataFrame) -> DataFrame:
     return mx.insulation(pixels, R, 5).drop("cell")
 
 
-@query("insulation_correlation", None, "pairs")
+_IS = """{n}s AS (SELECT cell, chrom, bin1, bin2, value FROM {n} UNION ALL SELECT cell, chrom, bin2, bin1, value FROM {n} WHERE bin1 <> bin2),
+{n}e AS (SELECT cell, chrom, max(bin2) // 20000 + 1 AS n FROM {n} GROUP BY ALL), {n}i AS (SELECT cell, chrom, n, CAST(unnest(range(0, n)) AS BIGINT) AS i FROM {n}e),
+{n}t AS (SELECT i.cell, i.chrom, i.i, i.n, sum(CASE WHEN bin1 // 20000 < i.i AND bin2 // 20000 > i.i THEN value ELSE 0 END) AS c, sum(value) AS t FROM {n}i i LEFT JOIN {n}s s ON s.cell = i.cell AND s.chrom = i.chrom AND bin1 // 20000 BETWEEN i.i - 5 AND least(i.n - 1, i.i + 6) - 1 AND bin2 // 20000 BETWEEN i.i - 5 AND least(i.n - 1, i.i + 6) - 1 GROUP BY ALL),
+{n}r AS (SELECT cell, chrom, i * 20000 AS pos, CASE WHEN i < 5 OR i >= n - 5 OR t IS NULL OR t = 0 THEN 1.0e0 ELSE c / t END AS v FROM {n}t)"""
+
+
+@query("insulation_correlation", """own AS (SELECT cell, chrom1 AS chrom, least(pos1 - pos1 % 20000, pos2 - pos2 % 20000) AS bin1, greatest(pos1 - pos1 % 20000, pos2 - pos2 % 20000) AS bin2, CAST(count(*) AS DOUBLE) AS value FROM pairs WHERE chrom1 = chrom2 GROUP BY ALL),
+bulk AS (SELECT '' AS cell, chrom, bin1, bin2, sum(value) AS value FROM own GROUP BY ALL), """ + _IS.format(n="own") + ", " + _IS.format(n="bulk") + " SELECT a.cell, corr(a.v, b.v) AS r FROM ownr a JOIN bulkr b USING (chrom, pos) GROUP BY a.cell", "pairs")
 def insulation_correlation(pairs: DataFrame) -> DataFrame:
     return mx.insulation_correlation(mx.pixels_of(pairs, R), R, 5)
 
@@ -106,7 +113,9 @@ def neighbor_mean(pixels: DataFrame) -> DataFrame:
     return mx.smoothed(pixels, R, 1).drop("cell")
 
 
-@query("gaussian_smooth", None, "pixels")
+@query("gaussian_smooth", f"""{SYM}, g AS (SELECT a.o AS i, b.o AS j, exp(-(a.o * a.o + b.o * b.o) / 2.0e0) AS w FROM range(-2, 3) a(o), range(-2, 3) b(o)), o AS (SELECT i, j, w / (SELECT sum(w) FROM g) AS w FROM g),
+e AS (SELECT chrom, max(bin2) AS last FROM pixels GROUP BY 1), m AS (SELECT s.chrom, bin1 + i * 20000 AS bin1, bin2 + j * 20000 AS bin2, value * w AS v FROM sym s, o)
+SELECT m.chrom, bin1, bin2, sum(v) AS value FROM m JOIN e USING (chrom) WHERE bin1 >= 0 AND bin1 <= bin2 AND bin2 <= last GROUP BY ALL""", "pixels")
 def gaussian_smooth(pixels: DataFrame) -> DataFrame:
     return mx.smoothed(pixels, R, 2, mx.gaussian_kernel(2, 1.0)).drop("cell")
 
@@ -194,9 +203,9 @@ def chromatic(pixels: DataFrame, track: DataFrame) -> DataFrame:
     return mx.chromatic(pixels, track.withColumnRenamed("cpg", "v")).drop("cell")
 
 
-@query("bad_bins_removed", "v AS (SELECT cell, chrom, pos, CASE WHEN value < 420 THEN NULL ELSE value END AS value FROM loci), l AS (SELECT chrom, pos FROM v GROUP BY ALL HAVING count(*) - count(value) <= 3), k AS (SELECT v.* FROM v JOIN l USING (chrom, pos)) SELECT * FROM k WHERE cell IN (SELECT cell FROM k GROUP BY cell HAVING count(*) - count(value) <= 3)", "loci")
+@query("bad_bins_removed", "v AS (SELECT cell, chrom, pos, CASE WHEN value < 350 THEN NULL ELSE value END AS value FROM loci), l AS (SELECT chrom, pos FROM v GROUP BY ALL HAVING count(*) - count(value) <= 3), k AS (SELECT v.* FROM v JOIN l USING (chrom, pos)) SELECT * FROM k WHERE cell IN (SELECT cell FROM k GROUP BY cell HAVING count(*) - count(value) <= 3)", "loci")
 def bad_bins_removed(loci: DataFrame) -> DataFrame:
-    return mx.bad_bins_removed(loci.withColumn("value", F.when(F.col("value") >= 420, F.col("value"))), 3)
+    return mx.bad_bins_removed(loci.withColumn("value", F.when(F.col("value") >= 350, F.col("value"))), 3)
 
 
 @query("contact_describe", """d AS (SELECT cell, abs(pos1 - pos2) * 150 AS d FROM pairs WHERE chrom1 = chrom2), n AS (SELECT cell, count(*) FILTER (d > 23000) AS a, count(*) FILTER (d > 23000 AND d < 2000000) AS s, count(*) FILTER (d > 2000000 AND d < 12000000) AS m, avg(d) FILTER (d > 4500000 AND d < 225000000) AS far_avg FROM d GROUP BY cell),

@@ -90,7 +90,13 @@ def moving_average(tdg: DataFrame) -> DataFrame:
     return md.smooth(tdg, 5).select("chrom", "pos", "x", "y", "z")
 
 
-@query("gaussian_trajectory", None, "tdg")
+_SMOOTHED = ", ".join(f"sum({a} * w) AS {a}" for a in "xyz")
+
+
+@query("gaussian_trajectory", f"""n AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY chrom) AS m FROM tdg),
+k AS (SELECT o, exp(-(o * o) / (2 * (5 / 3.0e0) * (5 / 3.0e0))) AS w FROM range(-7, 8) t(o)), s AS (SELECT o, w / (SELECT sum(w) FROM k) AS w FROM k),
+j AS (SELECT n.chrom, n.pos, w, CASE WHEN i + o < 0 THEN -1 - (i + o) WHEN i + o >= m THEN 2 * m - 1 - (i + o) ELSE i + o END AS at FROM n, s)
+SELECT j.chrom, j.pos, {_SMOOTHED} FROM j JOIN n ON n.chrom = j.chrom AND n.i = j.at GROUP BY ALL""", "tdg")
 def gaussian_trajectory(tdg: DataFrame) -> DataFrame:
     return md.smooth_gaussian(tdg, 5).select("chrom", "pos", "x", "y", "z")
 
@@ -178,4 +184,5 @@ BOOK.sql["events_tumbling"] = "SELECT date_trunc('hour', ts) AS start, event_typ
 BOOK.sql["events_session"] = """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
 s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, g"""
 BOOK.sql["events_sliding"] = "SELECT date_trunc('hour', ts) - h * INTERVAL 1 HOUR AS start, count(*) AS n FROM events, (VALUES (0), (1)) t(h) GROUP BY ALL"
+BOOK.sql["stream_distinct"] = "SELECT DISTINCT user_id FROM events"
 BOOK.sql["stream_bins"] = "SELECT concat('c', user_id % 8) AS cell, concat('chr', 1 + user_id % 5) AS chrom, (event_id * 200 + user_id * 13) - (event_id * 200 + user_id * 13) % 20000 AS pos, count(*) AS count FROM events GROUP BY ALL"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaloom.plans import contacts, matrices, modelling, small, structures
+from chromaloom.plans import contacts, files, matrices, modelling, objects, small, structures
 
-MODULES = (contacts, structures, matrices, modelling, small)
+MODULES = (contacts, structures, matrices, modelling, small, files, objects)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

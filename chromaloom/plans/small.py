@@ -140,21 +140,33 @@ def export_summary(tdg: DataFrame) -> DataFrame:
     return summary_json(tdg)
 
 
-@query("export_cif", None, "tdg")
+def _loop(block: int, texts: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {block} AS _block, {i} AS _turn, '{t}' AS value" for i, t in enumerate(texts))
+
+
+@query("export_cif", f"""e AS (SELECT chrom, row_number() OVER (ORDER BY right(chrom, 1), CAST(regexp_extract(chrom, 'chr([0-9]+)', 1) AS INT), chrom) AS entity FROM (SELECT DISTINCT chrom FROM tdg)),
+r AS (SELECT tdg.*, entity, row_number() OVER (PARTITION BY tdg.chrom ORDER BY pos) AS atom, lead(pos) OVER (PARTITION BY tdg.chrom ORDER BY pos) AS ahead FROM tdg JOIN e ON e.chrom = tdg.chrom),
+a AS (SELECT 3 AS _block, row_number() OVER (ORDER BY entity, atom) AS _turn, concat_ws(' ', 'ATOM', atom, 'C CA CA', entity, atom, chrom, pos, printf('%.4f', x), printf('%.4f', y), printf('%.4f', z), '50.00') AS value FROM r),
+b AS (SELECT 5 AS _block, row_number() OVER (ORDER BY entity, atom) AS _turn, concat_ws(' ', 'covale', chrom, atom, atom + 1) AS value FROM r WHERE ahead IS NOT NULL)
+SELECT * FROM ({_loop(0, ['data_proxy', 'loop_', '_entity.id', '_entity.description', '_entity.type'])}) UNION ALL SELECT 1, entity, concat_ws(' ', entity, chrom, 'polymer') FROM e
+UNION ALL SELECT * FROM ({_loop(2, ['loop_', *(f'_atom_site.{c}' for c in ('group_PDB', 'id', 'type_symbol', 'label_atom_id', 'label_comp_id', 'label_entity_id', 'label_seq_id', 'label_asym_id', 'pos', 'Cartn_x', 'Cartn_y', 'Cartn_z', 'B_iso_or_equiv'))])})
+UNION ALL SELECT * FROM a UNION ALL SELECT * FROM ({_loop(4, ['loop_', *(f'_struct_conn.{c}' for c in ('conn_type_id', 'label_asym_id', 'atom_1', 'atom_2'))])}) UNION ALL SELECT * FROM b""", "tdg")
 def export_cif(tdg: DataFrame) -> DataFrame:
     from chromaloom.sources.writers import cif_lines
 
     return cif_lines(tdg, "proxy", 20_000)
 
 
-@query("export_pdb", None, "tdg")
+@query("export_pdb", """m AS (SELECT *, dense_rank() OVER (ORDER BY chrom) - 1 AS c, row_number() OVER (ORDER BY chrom, pos) AS s FROM tdg)
+SELECT 1 AS _block, s AS _turn, printf('ATOM  %5d  CA  ALA %s%4d    %8.3f%8.3f%8.3f  1.00  0.00           C', s % 100000, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', CAST(c % 62 + 1 AS BIGINT), 1), (pos // 20000 + 1) % 10000, x, y, z) AS value FROM m UNION ALL SELECT 2, 0, 'END'""", "tdg")
 def export_pdb(tdg: DataFrame) -> DataFrame:
     from chromaloom.sources.writers import pdb_lines
 
     return pdb_lines(tdg, 20_000)
 
 
-@query("export_xyz", None, "tdg")
+@query("export_xyz", """SELECT 0 AS _block, 0 AS _turn, CAST(count(*) AS VARCHAR) AS value FROM tdg UNION ALL SELECT 0, 1, 'chromatin structure'
+UNION ALL SELECT 1, row_number() OVER (ORDER BY chrom, pos), printf('C %12.6f %12.6f %12.6f', x, y, z) FROM tdg""", "tdg")
 def export_xyz(tdg: DataFrame) -> DataFrame:
     from chromaloom.sources.writers import xyz_lines
 

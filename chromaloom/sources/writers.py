@@ -15,6 +15,13 @@ from chromaloom.functions.coords import karyotype_order
 from chromaloom.sources import schema as sc
 
 
+def one_cell(df: DataFrame) -> DataFrame:
+    """``df``, or an error if it holds several cells: a single ordered file is for one."""
+    if "cell" in df.columns and len(names := df.select("cell").distinct().limit(2).collect()) > 1:
+        raise ValueError(f"a single file is for one cell, not for {names[0]['cell']} and {names[1]['cell']}; write them apart or with store()")
+    return df
+
+
 def _text(lines: DataFrame, path: str, compress: bool = False) -> None:
     """``lines``: _block, _turn, value; written in that order as a single part."""
     ordered = lines.orderBy("_block", "_turn").select("value").coalesce(1)
@@ -40,6 +47,7 @@ def write_pairs(pairs: DataFrame, path: str, comments: list[str] | None = None,
     if not single:
         pairs.select(line.alias("value")).write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
         return
+    one_cell(pairs)
     names = ["readID" if c == "read_id" else c for c in columns]
     texts = [*(comments or ["## pairs format v1.0"])]
     texts = (texts[:-1] if texts[-1].startswith("#columns") else texts) + ["#columns: " + " ".join(names)]
@@ -69,6 +77,7 @@ def xyz_lines(particles: DataFrame) -> DataFrame:
 
 
 def write_xyz(particles: DataFrame, path: str) -> None:
+    one_cell(particles)
     _text(xyz_lines(particles), path)
 
 
@@ -81,6 +90,7 @@ def pdb_lines(particles: DataFrame, resolution: int) -> DataFrame:
 
 
 def write_pdb(particles: DataFrame, path: str, resolution: int) -> None:
+    one_cell(particles)
     _text(pdb_lines(particles, resolution), path)
 
 
@@ -113,6 +123,7 @@ def cif_lines(particles: DataFrame, name: str, resolution: int, factor: str | No
 
 
 def write_cif(particles: DataFrame, path: str, name: str, resolution: int, factor: str | None = None, gap: int | None = None) -> None:
+    one_cell(particles)
     _text(cif_lines(particles, name, resolution, factor, gap), path)
 
 
@@ -140,3 +151,23 @@ def store(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 def split_by_chromosome(pairs: DataFrame, path: str) -> None:
     """One folder for each first chromosome."""
     pairs.withColumn("chrom", F.col("chrom1")).write.mode("overwrite").partitionBy("chrom").option("sep", "\t").csv(path)
+
+
+def store_structures(particles: DataFrame, path: str) -> None:
+    """One file for each cell, path/<cell>/<cell>.3dg, written where its rows are: a cell's particles fit a task."""
+    spark = particles.sparkSession
+    line = F.concat_ws("\t", "chrom", *[F.col(c).cast("string") for c in ("pos", "x", "y", "z")])
+    rows = particles.repartition("cell").sortWithinPartitions("cell", "chrom", "pos").select(F.col("cell").alias("_cell"), line.alias("value"))
+    rows.write.partitionBy("_cell").text(path)
+    # the sink names parts by task; the format's readers name a sample by its file
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    files = base.getFileSystem(conf)
+    for folder in files.listStatus(base):
+        where = folder.getPath()
+        if folder.isDirectory() and where.getName().startswith("_cell="):
+            name = where.getName().removeprefix("_cell=")
+            for part in files.listStatus(where):
+                if part.getPath().getName().startswith("part-"):
+                    files.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(where, f"{name}.3dg"))
+            files.rename(where, jvm.org.apache.hadoop.fs.Path(base, name))
