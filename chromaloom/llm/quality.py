@@ -150,7 +150,8 @@ def _rejected(judged: DataFrame, host: str, failed: list[Column]) -> tuple[DataF
     if bad.count() <= BROADCAST_HOSTS:
         return verdicts, bad.drop("n_docs"), None
     ranked = cut(bad.orderBy(F.desc("n_docs"), "_bad_host").limit(BROADCAST_HOSTS), gather=True).drop("n_docs")
-    return verdicts, ranked, bad.drop("n_docs").join(ranked, F.col("_bad_host").eqNullSafe(ranked["_bad_host"]), "left_anti")
+    large = ranked.withColumnRenamed("_bad_host", "_large")
+    return verdicts, ranked, bad.drop("n_docs").join(large, F.col("_bad_host").eqNullSafe(F.col("_large")), "left_anti")
 
 
 def judge(docs: DataFrame, keep: list[str], host_column: str = "source", text_column: str = "text") -> DataFrame:
