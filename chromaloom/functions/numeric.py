@@ -32,6 +32,40 @@ def beta_inc(a: float, b: float, x: float) -> float:
     return front * f
 
 
+def beta_inc_many(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``beta_inc`` of arrays; NaN where an argument is."""
+    a, b, x = (np.asarray(v, float).copy() for v in np.broadcast_arrays(a, b, x))
+    swap = x > (a + 1) / (a + b + 2)
+    a[swap], b[swap], x[swap] = b[swap], a[swap], 1 - x[swap]
+    out = np.where(np.isnan(a + b + x), np.nan, np.where(x <= 0, 0.0, 1.0))
+    at = np.flatnonzero((x > 0) & (x < 1))
+    a1, b1, x1, tiny = a[at], b[at], x[at], 1e-300
+    # log gammas by value: degrees of freedom repeat
+    log_gamma = lambda v: (lambda u, i: np.array([math.lgamma(t) for t in u])[i])(*np.unique(v, return_inverse=True))
+    held = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    front = np.exp(log_gamma(a1 + b1) - log_gamma(a1) - log_gamma(b1) + a1 * np.log(x1) + b1 * np.log1p(-x1)) / a1
+    c, d = np.ones(len(at)), 1 / held(1.0 - (a1 + b1) * x1 / (a1 + 1))
+    f = d.copy()
+    for m in range(1, 500):
+        for top in (m * (b1 - m) * x1 / ((a1 + 2 * m - 1) * (a1 + 2 * m)), -(a1 + m) * (a1 + b1 + m) * x1 / ((a1 + 2 * m) * (a1 + 2 * m + 1))):
+            d = 1 / held(1 + top * d)
+            c = held(1 + top / c)
+            f *= c * d
+        if not len(at) or np.abs(c * d - 1).max() < 1e-15:
+            break
+    out[at] = front * f
+    return np.where(swap, 1 - out, out)
+
+
+def t_two_sided_many(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """``t_two_sided`` of arrays."""
+    t, df = np.asarray(t, float), np.asarray(df, float)
+    bad = np.isnan(t) | np.isnan(df) | (df <= 0)
+    far = np.isinf(t) & ~bad
+    n, v = np.where(bad, 1.0, df), np.where(bad | far, 0.0, t)
+    return np.where(bad, np.nan, np.where(far, 0.0, beta_inc_many(n / 2, 0.5, n / (n + v * v))))
+
+
 def gamma_inc_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function."""
     if x <= 0:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from chromaloom.functions.numeric import chi_square_upper, fisher_two_sided, normal_two_sided, t_two_sided
+from chromaloom.functions.numeric import chi_square_upper, fisher_two_sided, normal_two_sided, t_two_sided_many
 from chromaloom.operators.primitives import adjust_p, average_rank
 
 METHODS = ("ttest", "welch", "manwhitneyu")
@@ -30,7 +30,7 @@ def _udf(f: Callable[..., float]) -> Callable[..., Column]:
 @pandas_udf(DoubleType())
 def t_probability(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided P of Student's t."""
-    return _udf(t_two_sided)(t, df)
+    return pd.Series(t_two_sided_many(t, df)).where(lambda p: p.notna(), None)
 
 
 @pandas_udf(DoubleType())

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions.coords import Region, bin_start, in_region, midpoint_bin, parse_region
 from chromaloom.operators.primitives import interval_join, islands
+from chromaloom.sources.shared import written
+
+#: Genes that are broadcast.
+BROADCAST_GENES = 1_000_000
 
 
 def fetch(particles: DataFrame, where: str | Region | tuple, resolution: int | None = None, query: str | None = None, closed: bool = False) -> DataFrame:
@@ -151,17 +155,17 @@ def scgad(counts: DataFrame) -> DataFrame:
     Shares of each cell, squared deviations from the gene's mean share, scaled so
     that a cell's sum is the number of cells, square root.
     """
-    cells, genes = counts.select("cell").distinct(), counts.select("gene").distinct()
-    n_cells = cells.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
-    # every cell with every gene is the result's own shape
-    full = cells.withColumn("_k", F.lit(1)).join(genes.withColumn("_k", F.lit(1)), "_k").join(counts, ["cell", "gene"], "left").select("cell", "gene", "_k", F.coalesce("count", F.lit(0)).alias("count"))
+    counts = written(counts.select("cell", "gene", "count"))  # read several times, dear to make
     totals = counts.groupBy("cell").agg(F.sum("count").alias("_total"))
-    share = full.join(totals, "cell").withColumn("_share", F.col("count") / F.col("_total"))
-    means = counts.join(totals, "cell").groupBy("gene").agg(F.sum(F.col("count") / F.col("_total")).alias("_sum")).withColumn("_k", F.lit(1)).join(n_cells, "_k").select("gene", "_n", (F.col("_sum") / F.col("_n")).alias("_mean"))
-    off = F.col("_share") - F.col("_mean")
-    squared = share.join(means, "gene").withColumn("_off", off * off)
+    n_cells = totals.count()
+    shares = counts.join(totals, "cell").select("cell", "gene", (F.col("count") / F.col("_total")).alias("_share"))
+    means = shares.groupBy("gene").agg((F.sum("_share") / n_cells).alias("_mean"))
+    # every cell with every gene is the result's own shape; the genes of a genome are few, and are counted before they are broadcast
+    genes = F.broadcast(means) if means.count() <= BROADCAST_GENES else means
+    off = F.coalesce("_share", F.lit(0.0)) - F.col("_mean")
+    squared = totals.where("_total > 0").select("cell").crossJoin(genes).join(shares, ["cell", "gene"], "left").select("cell", "gene", (off * off).alias("_off"))
     sums = squared.groupBy("cell").agg(F.sum("_off").alias("_sum"))
-    return squared.join(sums, "cell").select("cell", "gene", F.sqrt(F.try_divide("_off", F.col("_sum")) * F.col("_n")).alias("score"))
+    return squared.join(sums, "cell").select("cell", "gene", F.sqrt(F.try_divide("_off", F.col("_sum")) * n_cells).alias("score"))
 
 
 def pair_distances(pairs: DataFrame, particles: DataFrame, resolution: int, keys: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions.coords import Region
 from chromaloom.operators.primitives import average_rank, bucket_join, distance, squared_distance
+from chromaloom.sources.shared import written
 
 AXES = ("x", "y", "z")
 AGGREGATIONS = ("sum", "mean", "max", "min", "count")
@@ -86,10 +87,11 @@ def k_nearest(particles: DataFrame, k: int, start: float, keys: list[str] | None
 
     Rings of the grid widen (the radius doubles) for those that have fewer than
     ``k`` neighbours so far; the last round's radius spans the cell.  Each round's
-    frame is part of one plan; particles found are not searched again.
+    results and what is left are written, so no round runs twice.
     """
     keys = ["cell"] if keys is None else keys
     here = [*keys, "chrom", "pos"]
+    full_of = lambda ranked: ranked.where(F.col("turn") == k).select(*here)
     todo, out, radius = particles.select(*here, *AXES), None, start
     for turn in range(rounds):
         if turn == rounds - 1:
@@ -98,10 +100,10 @@ def k_nearest(particles: DataFrame, k: int, start: float, keys: list[str] | None
         near = neighbours(todo, radius, [], keys, particles).where((F.col("chrom") != F.col("r_chrom")) | (F.col("pos") != F.col("r_pos")))
         order = W.partitionBy(*here).orderBy("d2", "r_chrom", "r_pos")
         ranked = near.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k)
-        full = ranked.where(F.col("turn") == k).select(*here)
-        done = ranked if turn == rounds - 1 else ranked.join(full, here, "left_semi")
+        ranked = written(ranked)
+        done = ranked if turn == rounds - 1 else ranked.join(full_of(ranked), here, "left_semi")
         out = done if out is None else out.unionByName(done)
-        todo = todo.join(full, here, "left_anti")
+        todo = written(todo.join(full_of(ranked), here, "left_anti"))
         if turn < rounds - 1 and not todo.limit(1).count():
             break
         radius *= 2
@@ -341,7 +343,7 @@ def nearest_value(particles: DataFrame, points: DataFrame, column: str, point: s
     keys = ["cell"] if keys is None else keys
     asked = points.select(*keys, point, *[F.col(a).alias(f"r_{a}") for a in AXES])
     best = F.min_by(column, F.struct(squared_distance().alias("d"), F.col("chrom"), F.col("pos")))
-    return particles.join(F.broadcast(asked), keys).groupBy(*keys, point).agg(best.alias(column))
+    return particles.join(asked, keys).groupBy(*keys, point).agg(best.alias(column))
 
 
 def top_share(particles: DataFrame, feature: str, share: float, keys: list[str] | None = None) -> DataFrame:

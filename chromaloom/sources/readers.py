@@ -64,12 +64,12 @@ def bin_sizes(rows: DataFrame) -> DataFrame:
 
 
 def shift_to_middle(rows: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(bin_sizes(rows)), "cell").withColumn("pos", F.col("pos") + F.floor(F.col("bin_size") / 2)).select(*rows.columns)
+    return rows.join(bin_sizes(rows), "cell").withColumn("pos", F.col("pos") + F.floor(F.col("bin_size") / 2)).select(*rows.columns)
 
 
 def shift_to_start(rows: DataFrame) -> DataFrame:
     """Positions from middles to starts of bins; a negative start fails."""
-    moved = rows.join(F.broadcast(bin_sizes(rows)), "cell").withColumn("pos", F.col("pos") - F.floor(F.col("bin_size") / 2))
+    moved = rows.join(bin_sizes(rows), "cell").withColumn("pos", F.col("pos") - F.floor(F.col("bin_size") / 2))
     checked = F.when(F.col("pos") >= 0, F.col("pos")).otherwise(F.raise_error(F.lit("a position would be negative")).cast("bigint"))
     return moved.withColumn("pos", checked).select(*rows.columns)
 

@@ -112,3 +112,12 @@ def test_dbscan_and_kmeans(spark):
     assert len({got[p * 10] for p in range(20)}) == 1 and len({got[p * 10] for p in range(20, 40)}) == 1
     assert got[0] != got[200] and got[400] is None
     assert md.kmeans(df, 3).select("cluster").distinct().count() == 3
+
+
+def test_arrays_equal_single_values():
+    rng = np.random.default_rng(8)
+    t = np.concatenate([rng.normal(size=200) * 5, [0.0, np.inf, -np.inf, np.nan, 1.0, 1e-12, 1e6]])
+    df = np.concatenate([rng.choice([1.0, 2.5, 7, 30, 400.25], 200), [3, 3, 3, 3, np.nan, 5, 5]])
+    from chromaloom.functions.numeric import t_two_sided, t_two_sided_many
+
+    assert np.allclose(t_two_sided_many(t, df), [t_two_sided(float(a), float(b)) for a, b in zip(t, df)], rtol=1e-12, equal_nan=True)
