@@ -51,36 +51,43 @@ def feature_means(values: DataFrame, n_cells: int | None = None) -> DataFrame:
     return sums.withColumn("_k", F.lit(1)).join(n, "_k").select("chrom", "pos", (F.col("_sum") / F.col("_n")).alias("mean"))
 
 
-def _bounded(particles: DataFrame, region: Region) -> DataFrame:
-    return particles.where(in_region(region))
+def _bounded(particles: DataFrame, region: Region | None) -> DataFrame:
+    return particles if region is None else particles.where(in_region(region))
 
 
-def distance_matrix(particles: DataFrame, region: Region, combine_cells: bool = True, threshold: float | None = None) -> DataFrame:
+def _by(region: Region | None) -> list[str]:
+    """What keys the results beside positions: a region is one chromosome's, without one all chromosomes are taken."""
+    return ["chrom"] if region is None else []
+
+
+def distance_matrix(particles: DataFrame, region: Region | None = None, combine_cells: bool = True, threshold: float | None = None) -> DataFrame:
     """Distances between all bins of a region, or how often they are below ``threshold`` (strictly): pos1 < pos2 and the mean over cells.
 
-    A region is meant to be small: its bins are paired within each cell, on the
-    cell as the key, after the filter has been pushed into the scan.
+    Without a region the bins of every chromosome, keyed by chrom.  Bins are paired
+    within each cell and chromosome, after the filter has been pushed into the scan.
     """
-    a = _bounded(particles, region).select("cell", F.col("pos").alias("pos1"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    b = _bounded(particles, region).select("cell", F.col("pos").alias("pos2"), *[F.col(c).cast("double").alias(f"r_{c}") for c in "xyz"])
+    by = _by(region)
+    a = _bounded(particles, region).select("cell", *by, F.col("pos").alias("pos1"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    b = _bounded(particles, region).select("cell", *by, F.col("pos").alias("pos2"), *[F.col(c).cast("double").alias(f"r_{c}") for c in "xyz"])
     d = F.sqrt(squared_distance())
     value = d if threshold is None else (d < threshold).cast("double")
-    pairs = a.join(b, "cell").where("pos1 < pos2").select("cell", "pos1", "pos2", value.alias("value"))
-    return pairs.groupBy("pos1", "pos2").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n")) if combine_cells else pairs
+    pairs = a.join(b, ["cell", *by]).where("pos1 < pos2").select("cell", *by, "pos1", "pos2", value.alias("value"))
+    return pairs.groupBy(*by, "pos1", "pos2").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n")) if combine_cells else pairs
 
 
-def feature_matrix(particles: DataFrame, region: Region, feature: str, threshold: float | None = None) -> DataFrame:
-    """1 / (d + 1), or d < threshold, between bins of a region in every cell; 0 where either bin lacks the feature."""
-    a = _bounded(particles, region).select("cell", F.col("pos").alias("pos1"), F.col(feature).alias("_f1"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    b = _bounded(particles, region).select("cell", F.col("pos").alias("pos2"), F.col(feature).alias("_f2"), *[F.col(c).cast("double").alias(f"r_{c}") for c in "xyz"])
+def feature_matrix(particles: DataFrame, region: Region | None, feature: str, threshold: float | None = None) -> DataFrame:
+    """1 / (d + 1), or d < threshold, between bins of a region (of every chromosome without one) in every cell; 0 where either bin lacks the feature."""
+    by = _by(region)
+    a = _bounded(particles, region).select("cell", *by, F.col("pos").alias("pos1"), F.col(feature).alias("_f1"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    b = _bounded(particles, region).select("cell", *by, F.col("pos").alias("pos2"), F.col(feature).alias("_f2"), *[F.col(c).cast("double").alias(f"r_{c}") for c in "xyz"])
     d = F.sqrt(squared_distance())
     value = 1 / (d + 1) if threshold is None else (d < threshold).cast("double")
     both = (F.coalesce("_f1", F.lit(0.0)) != 0) & (F.coalesce("_f2", F.lit(0.0)) != 0)
-    return a.join(b, "cell").where("pos1 < pos2").select("cell", "pos1", "pos2", F.when(both, value).otherwise(0.0).alias("value"))
+    return a.join(b, ["cell", *by]).where("pos1 < pos2").select("cell", *by, "pos1", "pos2", F.when(both, value).otherwise(0.0).alias("value"))
 
 
-def slice_covariance(particles: DataFrame, region: Region, width: float, slices: int, seed: int = 0) -> DataFrame:
-    """Covariance over random planar slices of two bins being cut: pos1 <= pos2, value.
+def slice_covariance(particles: DataFrame, region: Region | None, width: float, slices: int, seed: int = 0) -> DataFrame:
+    """Covariance over random planar slices of two bins being cut: pos1 <= pos2, value; without a region keyed by chrom.
 
     Each cell is cut ``slices`` times by a plane through its centre with a seeded
     random normal; a bin is cut within half the width.
@@ -91,29 +98,36 @@ def slice_covariance(particles: DataFrame, region: Region, width: float, slices:
     flat = F.sqrt(1 - F.col("_u") * F.col("_u"))
     cuts = cuts.select("cell", "_s", "cx", "cy", "cz", (flat * F.cos("_p")).alias("_nx"), (flat * F.sin("_p")).alias("_ny"), F.col("_u").alias("_nz"))
     away = sum(((F.col(c) - F.col(f"c{c}")) * F.col(f"_n{c}") for c in "xyz"), F.lit(0.0))
-    member = _bounded(particles, region).join(cuts, "cell").select("cell", "_s", "pos", (F.abs(away) < width / 2).cast("double").alias("m"))
-    return membership_covariance(member, ["cell", "_s"])
+    by = _by(region)
+    member = _bounded(particles, region).join(cuts, "cell").select("cell", "_s", *by, "pos", (F.abs(away) < width / 2).cast("double").alias("m"))
+    return membership_covariance(member, ["cell", "_s"], by)
 
 
-def sphere_covariance(particles: DataFrame, region: Region, radius: float, spheres: int = 2000, seed: int = 0) -> DataFrame:
-    """The same over balls: each draws, by a seeded hash of its number, a cell and then one of the cell's particles in the region, with replacement."""
+def sphere_covariance(particles: DataFrame, region: Region | None, radius: float, spheres: int = 2000, seed: int = 0) -> DataFrame:
+    """The same over balls: each draws, by a seeded hash of its number, a cell and then one of the cell's particles in the region, with replacement.
+
+    Without a region every chromosome has ``spheres`` balls of its own.
+    """
+    by = _by(region)
     inside = _bounded(particles, region)
     cells = sorted(r["cell"] for r in inside.select("cell").distinct().collect())
     if not cells:
-        return membership_covariance(inside.select("cell", F.lit(0).alias("_s"), "pos", F.lit(0.0).alias("m")), ["cell", "_s"])
+        return membership_covariance(inside.select("cell", F.lit(0).alias("_s"), *by, "pos", F.lit(0.0).alias("m")), ["cell", "_s"], by)
     draw = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), n)
     balls = particles.sparkSession.range(spheres).select(F.col("id").alias("_s"), F.get(F.lit(cells), draw(1, F.lit(len(cells))).cast("int")).alias("cell"), draw(2, F.lit(1 << 40)).alias("_u"))
-    centers = inside.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("_p"))
+    centers = inside.groupBy("cell", *by).agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("_p"))
     one = F.get("_p", F.pmod("_u", F.size("_p")).cast("int"))
-    drawn = balls.join(centers, "cell").select("cell", "_s", *[one[c].alias(f"r_{c}") for c in "xyz"])
-    member = inside.join(F.broadcast(drawn), "cell").select("cell", "_s", "pos", (F.sqrt(squared_distance()) <= radius).cast("double").alias("m"))
-    return membership_covariance(member, ["cell", "_s"])
+    drawn = balls.join(centers, "cell").select("cell", "_s", *by, *[one[c].alias(f"r_{c}") for c in "xyz"])
+    # a ball is a row for each chromosome: as many as asked for
+    member = inside.join(F.broadcast(drawn), ["cell", *by]).select("cell", "_s", *by, "pos", (F.sqrt(squared_distance()) <= radius).cast("double").alias("m"))
+    return membership_covariance(member, ["cell", "_s"], by)
 
 
-def membership_covariance(member: DataFrame, by: list[str]) -> DataFrame:
-    """Population covariance of membership (by, pos, m) for every pair of loci that are asked together."""
+def membership_covariance(member: DataFrame, asked: list[str], by: list[str] | None = None) -> DataFrame:
+    """Population covariance of membership (asked, by, pos, m) for every pair of loci of ``by`` (say chrom) that are asked together."""
+    by = by or []
     a, b = member.withColumnsRenamed({"pos": "pos1", "m": "_a"}), member.withColumnsRenamed({"pos": "pos2", "m": "_b"})
-    return a.join(b, by).where("pos1 <= pos2").groupBy("pos1", "pos2").agg(F.covar_pop("_a", "_b").alias("value"), F.count(F.lit(1)).alias("n"))
+    return a.join(b, [*asked, *by]).where("pos1 <= pos2").groupBy(*by, "pos1", "pos2").agg(F.covar_pop("_a", "_b").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 def stack_mean(frames: DataFrame, n: int) -> DataFrame:

@@ -270,37 +270,39 @@ def combine_wide(loci: DataFrame) -> DataFrame:
     return mc.wide(loci, ["c0", "c7"])
 
 
-REGION = Region("chr1", 0, 600_000)
+@query("distance_matrix_mean", f"SELECT a.chrom, a.pos AS pos1, b.pos AS pos2, avg({DIST}) AS value, count(*) AS n FROM cells3d a JOIN cells3d b ON a.cell = b.cell AND a.chrom = b.chrom AND a.pos < b.pos GROUP BY ALL", "cells3d")
+def distance_matrix_mean(cells: DataFrame) -> DataFrame:
+    return mc.distance_matrix(cells)
 
 
-@query("distance_matrix_mean", f"SELECT a.pos AS pos1, b.pos AS pos2, avg({DIST}) AS value, count(*) AS n FROM cells3d a JOIN cells3d b ON a.cell = b.cell AND a.chrom = 'chr1' AND b.chrom = 'chr1' AND a.pos < b.pos AND b.pos < 600000 GROUP BY ALL", "cells3d")
-def distance_matrix_mean(cells: DataFrame) -> DataFrame:
-    return mc.distance_matrix(cells, REGION)
+@query("distance_matrix_region", f"SELECT a.pos AS pos1, b.pos AS pos2, avg({DIST}) AS value, count(*) AS n FROM cells3d a JOIN cells3d b ON a.cell = b.cell AND a.chrom = 'chr1' AND b.chrom = 'chr1' AND a.pos < b.pos AND b.pos < 600000 GROUP BY ALL", "cells3d")
+def distance_matrix_region(cells: DataFrame) -> DataFrame:
+    return mc.distance_matrix(cells, Region("chr1", 0, 600_000))
 
 
-@query("proximity_freq", f"SELECT a.pos AS pos1, b.pos AS pos2, avg(CASE WHEN {DIST} < 3 THEN 1.0e0 ELSE 0 END) AS value, count(*) AS n FROM cells3d a JOIN cells3d b ON a.cell = b.cell AND a.chrom = 'chr1' AND b.chrom = 'chr1' AND a.pos < b.pos AND b.pos < 600000 GROUP BY ALL", "cells3d")
+@query("proximity_freq", f"SELECT a.chrom, a.pos AS pos1, b.pos AS pos2, avg(CASE WHEN {DIST} < 3 THEN 1.0e0 ELSE 0 END) AS value, count(*) AS n FROM cells3d a JOIN cells3d b ON a.cell = b.cell AND a.chrom = b.chrom AND a.pos < b.pos GROUP BY ALL", "cells3d")
 def proximity_freq(cells: DataFrame) -> DataFrame:
-    return mc.distance_matrix(cells, REGION, threshold=3.0)
+    return mc.distance_matrix(cells, threshold=3.0)
 
 
-@query("feature_matrix", f"SELECT a.cell, a.pos AS pos1, b.pos AS pos2, CASE WHEN a.feature <> 0 AND b.feature <> 0 THEN 1 / ({DIST} + 1) ELSE 0 END AS value FROM cells3d a JOIN cells3d b ON a.cell = b.cell AND a.chrom = 'chr1' AND b.chrom = 'chr1' AND a.pos < b.pos AND b.pos < 600000", "cells3d")
+@query("feature_matrix", f"SELECT a.cell, a.chrom, a.pos AS pos1, b.pos AS pos2, CASE WHEN a.feature <> 0 AND b.feature <> 0 THEN 1 / ({DIST} + 1) ELSE 0 END AS value FROM cells3d a JOIN cells3d b ON a.cell = b.cell AND a.chrom = b.chrom AND a.pos < b.pos", "cells3d")
 def feature_matrix(cells: DataFrame) -> DataFrame:
-    return mc.feature_matrix(cells, REGION, "feature")
+    return mc.feature_matrix(cells, None, "feature")
 
 
 @query("gam_covariance", None, "cells3d")
 def gam_covariance(cells: DataFrame) -> DataFrame:
-    return mc.slice_covariance(cells, REGION, 2.0, 10)
+    return mc.slice_covariance(cells, None, 2.0, 10)
 
 
 @query("sprite_covariance", None, "cells3d")
 def sprite_covariance(cells: DataFrame) -> DataFrame:
-    return mc.sphere_covariance(cells, REGION, 3.0)
+    return mc.sphere_covariance(cells, None, 3.0)
 
 
-@query("membership_covariance", "m AS (SELECT cell, pos, CASE WHEN value > 500 THEN 1.0e0 ELSE 0 END AS m FROM loci WHERE chrom = 'chr1') SELECT a.pos AS pos1, b.pos AS pos2, covar_pop(a.m, b.m) AS value, count(*) AS n FROM m a JOIN m b ON a.cell = b.cell AND a.pos <= b.pos GROUP BY ALL", "loci")
+@query("membership_covariance", "m AS (SELECT cell, chrom, pos, CASE WHEN value > 500 THEN 1.0e0 ELSE 0 END AS m FROM loci) SELECT a.chrom, a.pos AS pos1, b.pos AS pos2, covar_pop(a.m, b.m) AS value, count(*) AS n FROM m a JOIN m b ON a.cell = b.cell AND a.chrom = b.chrom AND a.pos <= b.pos GROUP BY ALL", "loci")
 def membership_covariance(loci: DataFrame) -> DataFrame:
-    return mc.membership_covariance(loci.where("chrom = 'chr1'").select("cell", "pos", F.when(F.col("value") > 500, 1.0).otherwise(0.0).alias("m")), ["cell"])
+    return mc.membership_covariance(loci.select("cell", "chrom", "pos", F.when(F.col("value") > 500, 1.0).otherwise(0.0).alias("m")), ["cell"], ["chrom"])
 
 
 @query("stack_mean", "SELECT chrom, bin1, bin2, sum(value) / 4 / 2 AS value FROM pixels GROUP BY ALL", "pixels")
