@@ -8,6 +8,7 @@ unless its docstring says so.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromaloom.functions.coords import bare_chromosome, without_haplotype
@@ -52,19 +53,22 @@ def clean_isolated(pairs: DataFrame, distance: int = 10_000_000, dense: int = 5,
     """Pairs with ``dense`` other contacts at least in their L0.5 ball: (sqrt|d1| + sqrt|d2|)^2 <= distance.
 
     The ball lies in the square of that side, so contacts meet in a grid of such
-    cells on both axes.  Equal contacts are summed first.
+    cells on both axes: within a cell, and with the four of the eight cells around
+    that lie ahead, where a meeting counts for both.  Equal contacts are summed first.
     """
     keys = ["cell"] if keys is None else keys
     by = [*keys, "chrom1", "chrom2"]
     points = pairs.groupBy(*by, "pos1", "pos2").agg(F.count(F.lit(1)).alias("n"))
     cell = lambda c: F.floor(F.col(c) / distance)
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    here = points.select(*by, "pos1", "pos2", cell("pos1").alias("_a"), cell("pos2").alias("_b"))
-    there = points.withColumn("_near", near).select(*by, F.col("pos1").alias("_q1"), F.col("pos2").alias("_q2"), "n", (cell("pos1") + F.col("_near.a")).alias("_a"), (cell("pos2") + F.col("_near.b")).alias("_b"))
+    ahead = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    here = points.select(*by, "pos1", "pos2", "n", cell("pos1").alias("_a"), cell("pos2").alias("_b"))
+    there = points.withColumn("_d", ahead).select(*by, F.col("pos1").alias("_q1"), F.col("pos2").alias("_q2"), F.col("n").alias("_m"), (cell("pos1") + F.col("_d.a")).alias("_a"), (cell("pos2") + F.col("_d.b")).alias("_b"), ((F.col("_d.a") == 0) & (F.col("_d.b") == 0)).alias("_own"))
     reach = F.sqrt(F.abs(F.col("pos1") - F.col("_q1"))) + F.sqrt(F.abs(F.col("pos2") - F.col("_q2")))
     # the square of a sum of square roots may miss its true value by a little
-    inside = reach * reach <= distance * (1 + 1e-12)
-    crowded = here.join(there, [*by, "_a", "_b"]).where(inside).groupBy(*by, "pos1", "pos2").agg(F.sum("n").alias("n_near")).where(F.col("n_near") >= dense + 1)
+    met = here.join(there, [*by, "_a", "_b"]).where(reach * reach <= distance * (1 + 1e-12))
+    one = lambda x, y, n: F.struct(F.col(x).alias("pos1"), F.col(y).alias("pos2"), F.col(n).alias("n"))
+    both = F.when(F.col("_own"), F.array(one("pos1", "pos2", "_m"))).otherwise(F.array(one("pos1", "pos2", "_m"), one("_q1", "_q2", "n")))
+    crowded = met.select(*by, F.explode(both).alias("_p")).groupBy(*by, "_p.pos1", "_p.pos2").agg(F.sum("_p.n").alias("n_near")).where(F.col("n_near") >= dense + 1)
     return pairs.join(crowded.drop("n_near"), [*by, "pos1", "pos2"], "left_semi").select(*pairs.columns)
 
 
@@ -166,9 +170,9 @@ def dedup_pairs(pairs: DataFrame, order: str = "read_id", gap: int = 500, keys:
         by = [*keys, f"chrom{i}"]
         out = out.join(chain_numbers(pairs, by, f"pos{i}", gap, f"_chain{i}"), [*by, f"pos{i}"])
     names = [*keys, "chrom1", "chrom2", "_chain1", "_chain2"]
-    rest = [c for c in pairs.columns if c not in (*keys, "chrom1", "chrom2", order)]
-    first = out.groupBy(*names).agg(F.min(F.struct(order, *rest)).alias("_first"))
-    return first.select(*names, "_first.*").select(*pairs.columns)
+    # a group's first row is taken before the shuffle already, so a large group sends one row from each task
+    first = F.row_number().over(W.partitionBy(*names).orderBy(order))
+    return out.withColumn("_turn", first).where("_turn = 1").select(*pairs.columns)
 
 
 def removed_share(before: DataFrame, after: DataFrame) -> DataFrame:
