@@ -14,14 +14,17 @@ the exact similarity of the two shingle sets reaches the threshold.
 
 Texts with the same words are one vertex, named by a 64-bit hash of the words,
 so a group of copies of any size is one candidate.  In a band each vertex meets
-only the band's center, the one that shares most with most others.  Where that
-does not settle the matter (members in different classes), small bands are
-paired in full, and large ones go by their tokens: relative to the center of the
-band, a pair at the threshold either shares a shingle that the center lacks, of
-which a prefix in hash order suffices, or both lie in the center so far that
-their sizes betray them.  Both conditions are equi-joins, so no group is paired
-in full and no link between classes is lost to the shortcut.  Before an exact
-test, pairs whose signatures agree too rarely for the threshold are left out.
+only the band's center, the one that shares most with most others, and what those
+links connect is one class.  Where that does not settle the matter (members in
+different classes), small bands are paired in full, and large ones go by their
+tokens: relative to the center of the band, a pair at the threshold either shares
+a shingle that the center lacks, of which a prefix suffices, or both lie in the
+center so far that their sizes betray them.  The prefix is taken in the order of
+how many documents around the center have a shingle, told by a sample: what a
+family of them has in common comes last, so a family is not paired in full for
+it.  Any order finds every pair, a good one finds few others.  Both conditions
+are equi-joins, so no link between classes is lost to the shortcut.  Before an
+exact test, pairs whose signatures agree too rarely for the threshold are left out.
 
 Groups that may hold many rows (copies, classes) are joined in two parts: the
 large groups, of which there are LARGE_GROUPS at most, by broadcast, the others
@@ -62,6 +65,8 @@ LARGE_GROUPS, SMALL_GROUP = 10_000, 1_000
 SMALL_BAND = 16
 #: Sizes of one class differ by less than this factor.
 SIZE_STEP = 1.01
+#: Documents around a center, about, that tell how frequent a shingle is there: so many or this share, whichever is more.
+FREQUENCY_SAMPLE, FREQUENCY_SHARE = 512, 1 / 8
 #: Expected darts beyond those that fill all coordinates on average, in units of the coordinates.
 SLACK = 2.5
 
@@ -398,10 +403,43 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _places(units: np.ndarray, center: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of ``units`` in the center's table of frequencies, and the size of that, some four times the center's."""
+    size = 1 << min(22, max(8, (4 * len(center)).bit_length()))
+    return (units & _U(size - 1)).astype(np.int64), size
+
+
+def _frequencies(members: DataFrame, centers: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per center c of ``members`` (c, d, n of them): frequencies, place * 256 + level of shingles that it lacks and several of a sample of its documents have.
+
+    Levels rise with the logarithm of the count; of shingles with the same place the most frequent one's counts.
+    """
+    kind = dict(members.dtypes)["d"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, "_x", 1 << 20):
+            take, keys, places = [], [], []
+            for i, (x, y) in enumerate(zip(batch.column("_x"), batch.column("_y"), strict=True)):
+                own, center = _unpacked(x), _unpacked(y)
+                other = own[~_shared_units(own, center)]
+                take.append(np.full(len(other), i))
+                keys.append(other.view(np.int64))
+                places.append(_places(other, center)[0])
+            if take:
+                yield pa.RecordBatch.from_arrays([batch.column("c").take(pa.array(np.concatenate(take))), *(pa.array(np.concatenate(x)) for x in (keys, places))], ["c", "key", "place"])
+
+    some = members.where(F.pmod(F.xxhash64("c", "d"), F.col("n")) < F.greatest(F.lit(FREQUENCY_SAMPLE), F.col("n") * FREQUENCY_SHARE)).select("c", "d")
+    rows = some.join(centers, "c").join(sets.select(F.col("_id").alias("d"), F.col("_set").alias("_x")), "d").repartition("c", "d")
+    counts = rows.select("c", "_x", "_y").mapInArrow(run, f"c {kind}, key bigint, place bigint").groupBy("c", "key", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    level = F.least(F.lit(255), F.floor(8 * F.log2(F.col("n").cast("double")))).cast("int")
+    return counts.groupBy("c", "place").agg(F.max(level).alias("level")).groupBy("c").agg(F.collect_list((F.col("place") * 256 + F.col("level")).cast("int")).alias("frequencies"))
+
+
 def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Join keys of documents (d, root, asks) around their band's center (c): c, kind, key, d, root, n, o, rest.
+    """Join keys of documents (d, root, asks) around their band's center (c, n of them): c, kind, key, d, root, n, o, rest.
 
-    kind 1: shingles that the center lacks (a prefix, in hash order).  kind 2 and 3:
+    kind 1: shingles that the center lacks (a prefix, the rare ones around it first,
+    then in hash order; ``frequencies`` tells).  kind 2 and 3:
     sizes of documents that could be linked to d by the center's shingles alone,
     asked for and owned.  n counts the shingles of d, o those that the center has,
     rest those from the key on that it lacks.  ``sizes`` lists the classes of sizes
@@ -424,14 +462,20 @@ def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_x", 8 << 20):
             take, kinds, keys, numbers = [], [], [], []
-            last, center, known = None, None, np.zeros(0, np.int64)
-            for i, (x, y, c, asks, around) in enumerate(zip(batch.column("_x"), batch.column("_y"), batch.column("c").to_pylist(), batch.column("asks").to_pylist(), batch.column("sizes").to_pylist(), strict=True)):
+            last, center, known, levels = None, None, np.zeros(0, np.int64), None
+            for i, (x, y, c, asks, around, often) in enumerate(zip(batch.column("_x"), batch.column("_y"), batch.column("c").to_pylist(), batch.column("asks").to_pylist(), batch.column("sizes"), batch.column("frequencies"), strict=True)):
                 if last is None or c != last:
-                    last, center, known = c, _unpacked(y), np.array(around, np.int64)
+                    last, center, known, levels = c, _unpacked(y), around.values.to_numpy(), None
+                    if often.is_valid:
+                        told = often.values.to_numpy()
+                        levels = np.zeros(_places(center[:0], center)[1], np.uint8)
+                        levels[told >> 8] = told & 255
                 own = _unpacked(x)
                 inside = _shared_units(own, center)
                 n, o = len(own), int(inside.sum())
                 other = own[~inside]
+                if levels is not None:
+                    other = other[np.argsort(levels[_places(other, center)[0]], kind="stable")]
                 partner = least_partner(n, known)
                 fewest = int(np.ceil(share * (n + partner) - 1e-9))  # shingles in common with any partner
                 needed = max(1, fewest - o)
@@ -456,9 +500,10 @@ def _around(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys)), *(pa.array(number[:, j]) for j in range(3))], ["c", "d", "root", "kind", "key", "n", "o", "rest"])
 
     own = sets.select(F.col("_id").alias("d"), F.col("_set").alias("_x"))
-    center = sets.select(F.col("_id").alias("c"), F.col("_set").alias("_y"))
+    centers = _table(sets.select(F.col("_id").alias("c"), F.col("_set").alias("_y")).join(members.select("c").distinct(), "c"))
+    centers = _table(centers.join(_frequencies(members, centers, sets), "c", "left"))
     # dealt anew by both, as many documents may share a center and a document may have many
-    rows = members.join(center, "c").join(own, "d").select("c", "d", "root", "asks", "sizes", "_x", "_y").repartition("c", "d")
+    rows = members.join(centers, "c").join(own, "d").select("c", "d", "root", "asks", "sizes", "_x", "_y", "frequencies").repartition("c", "d")
     return rows.mapInArrow(run, f"c {kind}, d {kind}, root {kind}, kind int, key bigint, n bigint, o bigint, rest bigint")
 
 
@@ -518,14 +563,11 @@ def _linked(docs: DataFrame, id_column: str, text_column: str, least: float, tie
     sets = cut(_shingle_sets(docs, wanted, first, id_column, text_column))
     close = _table(_verified(trials, sets, least))
 
-    # who a vertex hangs from: the heaviest center it is linked to, centers likewise (weights rise, so this ends)
-    up = _table(close.join(central.select(F.col("d").alias("a"), "weight"), "a").groupBy(F.col("b").alias("v")).agg(F.max_by("a", F.struct(F.col("weight"), F.col("a"))).alias("root")))
-    for _ in range(2):
-        jump = up.select(F.col("v").alias("root"), F.col("root").alias("_further"))
-        up = _table(up.join(jump, "root", "left").select("v", F.coalesce("_further", "root").alias("root")))
+    # what the links to centers connect is settled: only vertices of different roots are held against each other
+    up = components(reduce(DataFrame.union, [close, *links]))
     rooted = lambda df, c, name: df.join(up.select(F.col("v").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
 
-    # bands whose members hang from different roots
+    # bands whose members have different roots
     of = rooted(bands, "d", "root")
     mixed = of.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("band")
     left = _table(of.join(mixed, "band", "left_semi"))
@@ -534,20 +576,20 @@ def _linked(docs: DataFrame, id_column: str, text_column: str, least: float, tie
     few = x.join(y, "band").where("ra <> rb AND a < b").select("a", "b")
     inside = left.where(F.col("n") > SMALL_BAND).select("c", "d", "root").distinct()
     inside = _table(inside.join(first.select(F.col("_v").alias("d"), F.floor(F.log(F.col("_n").cast("double")) / F.log(F.lit(SIZE_STEP))).alias("_size")), "d"))
-    sizes = inside.groupBy("c").agg(F.collect_set("_size").alias("sizes"))
-    around = rooted(inside.join(sizes, "c"), "c", "_rc").select("c", "d", "root", (F.col("root") != F.col("_rc")).alias("asks"), "sizes")
+    sizes = inside.groupBy("c").agg(F.collect_set("_size").alias("sizes"), F.count(F.lit(1)).alias("n"))
+    around = rooted(inside.join(sizes, "c"), "c", "_rc").select("c", "d", "root", (F.col("root") != F.col("_rc")).alias("asks"), "sizes", "n")
     keyed = cut(_around(around, sets, least))
     few = few.union(_across(keyed, least)).distinct()
     few = _table(_agreeing(few.join(trials.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sigs))
     more = few.select(F.explode(F.array("a", "b")).alias("_id")).distinct().join(sets.select("_id"), "_id", "left_anti")
     bridges = _table(_verified(few, sets.unionByName(_shingle_sets(docs, _table(more), first, id_column, text_column).join(sets.select("_id"), "_id", "left_anti")), least))
 
-    # what remains is a graph of roots: links between vertices that hang from different ones
-    between = rooted(rooted(reduce(DataFrame.union, [close, bridges, *links]), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    # what remains is a graph of roots: links between vertices that have different ones
+    between = rooted(rooted(bridges, "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     top = components(between)
     hung = up.select("v", "root").join(top.select(F.col("v").alias("root"), F.col("root").alias("_top")), "root", "left").select("v", F.coalesce("_top", "root").alias("root"))
     alone = top.join(up.select("v"), "v", "left_anti")
-    tree = hung.union(alone.select("v", "root")).union(up.select(F.col("root").alias("v")).join(up.select("v"), "v", "left_anti").join(top.select("v"), "v", "left_anti").select("v", F.col("v").alias("root")))
+    tree = hung.union(alone.select("v", "root"))
 
     # classes of several vertices get their least id; every other vertex is a class of its own
     vertices = _table(tree.distinct().select(F.col("v").alias("_v"), F.col("root").alias("_root")).join(first.select("_v", "_first", "_docs"), "_v"))

@@ -42,6 +42,23 @@ def test_large_groups_are_joined_apart(spark, monkeypatch):
     assert got == {i: (i % 3, 10) if i < 30 else (i, 1) for i in range(40)}
 
 
+def test_families_around_a_center_are_not_paired_in_full(spark, monkeypatch):
+    """Texts of a passage, one of four further ones and words of their own: alike below the threshold, but for one pair in each family."""
+    words = (f"w{i}" for i in range(1_000_000))
+    fresh = lambda n: [next(words) for _ in range(n)]
+    common, rows = fresh(100), []
+    for _ in range(4):
+        family = fresh(40)
+        rows += [common + family + fresh(25) for _ in range(80)]
+        rows.append([*rows[-1][:-1], "other"])
+    made, across = [], dedup._across
+    monkeypatch.setattr(dedup, "_across", lambda *args: made.append(across(*args).count()) or across(*args))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_duplicates(docs).collect()}
+    assert got == {i: i - 1 if i % 81 == 80 else i for i in range(len(rows))}
+    assert made[0] <= len(rows)  # 3,861 when the order of the prefix was that of hashes
+
+
 def test_weighted_sets_agree_like_their_similarity(spark):
     rng = np.random.default_rng(1)
     names = [f"e{i}" for i in range(60)]
