@@ -59,6 +59,18 @@ def test_families_around_a_center_are_not_paired_in_full(spark, monkeypatch):
     assert made[0] <= len(rows)  # 3,861 when the order of the prefix was that of hashes
 
 
+def test_what_centers_connect_is_not_searched_again(spark, monkeypatch):
+    """A chain of texts, each like its neighbours only: one class by the links to centers, nothing left to search."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [words[a : a + 100] for a in range(0, 300, 2)]
+    monkeypatch.setattr(dedup, "SMALL_BAND", 1)
+    left, around = [], dedup._around
+    monkeypatch.setattr(dedup, "_around", lambda members, *args: left.append(members.count()) or around(members, *args))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    assert {r["class_id"] for r in dedup.near_duplicates(docs).collect()} == {0}
+    assert left == [0]  # 571 when a vertex hung from one center only
+
+
 def test_weighted_sets_agree_like_their_similarity(spark):
     rng = np.random.default_rng(1)
     names = [f"e{i}" for i in range(60)]
