@@ -132,5 +132,7 @@ def test_holm_ranks_ties_by_the_columns_given(spark):
     want = {r[0]: (len(rows) - i) * r[1] for i, r in enumerate(order)}
     got = {r["id"]: r["q"] for r in adjust_p(df, "p", [], "holm", ties=["id"]).collect()}
     assert got == want
+    twice = sorted(r["q"] for r in adjust_p(df.union(df), "p", [], "holm", ties=["id"]).collect())
+    assert twice == sorted((12 - i) * p for i, (_, p) in enumerate(sorted(rows + rows, key=lambda r: (r[1], r[0]))))
     with_key = df.selectExpr("1 AS k", "*")
     assert {r["id"]: r["q"] for r in adjust_p(with_key, "p", ["k"], "holm", ties=["id"]).collect()} == want
