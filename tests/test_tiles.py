@@ -120,3 +120,28 @@ def test_pairwise_all_deals_a_cell_out(spark):
     counts = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     sizes = [r["count"] for r in df.where("cell IS NOT NULL").groupBy("cell").count().collect()]
     assert sum(counts) == sum(s * s for s in sizes) and max(counts) < sum(counts) / 20
+
+
+def test_first_axis_without_the_matrix(monkeypatch):
+    p = np.random.default_rng(2).normal(0, 1, (500, 3)) * [3.0, 1.5, 1.0]
+    whole = md._first_axis(p)
+    monkeypatch.setattr(md, "WHOLE_MOST", 100)
+    found = md._first_axis(p)
+    assert np.allclose(found * np.sign(found @ whole), whole, atol=1e-8)
+
+
+def test_autocorrelation_deals_simulations_out(spark):
+    out = md.corrected_correlation(spark.createDataFrame(_points(300), SCHEMA), 0.5, 3.0, 4)
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().analyzed().toString()  # pairs go by tiles, not by cell
+    assert out.count() == 18 and out.where("cell IS NULL").count() == 6
+
+
+def test_running_frames_begin_at_an_end(spark):
+    """A frame that begins at the row is gone through anew for each row: quadratic in a chromosome or partition."""
+    from chromaloom.operators.primitives import adjust_p
+
+    df = spark.createDataFrame(_points(60), SCHEMA)
+    out = md.interpolate(df)
+    p = df.selectExpr("pos", "1 / (1 + pos) AS p")
+    for frame in (out, adjust_p(p, "p", []), adjust_p(p, "p", ["pos"])):
+        assert "currentrow$(), unboundedfollowing$()" not in frame._jdf.queryExecution().analyzed().toString()
